@@ -208,7 +208,7 @@ def can_i(questions: DataFrame, bindings: DataFrame, roles: DataFrame) -> DataFr
     held = bindings.groupBy("subject", "namespace").agg(F.collect_set("role").alias("roles"))
     rules = roles.select("role", F.explode("rules").alias("r")).select("role", "r.*")
     per_role = rules.groupBy("role").agg(F.collect_list(F.struct("api_groups", "resources", "verbs")).alias("rules"))
-    asked = questions.join(held, ["subject", "namespace"], "left").withColumn("_q", F.monotonically_increasing_id())
+    asked = questions.join(held, ["subject", "namespace"], "left")
     covers = lambda xs, x: F.arrays_overlap(xs, F.array(x, F.lit("*")))
     tested = asked.select("*", F.explode_outer("roles").alias("role")).join(per_role, "role", "left")
     hit = F.exists(
