@@ -58,7 +58,7 @@ def short_id(c: Column, n: int = 7) -> Column:
 
 def split_list(c: Column, separator: str = ",") -> Column:
     """Parts, trimmed, without empties."""
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def int_or(c: Column, default: int, positive: bool = False) -> Column:

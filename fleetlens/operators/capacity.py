@@ -74,12 +74,12 @@ def concurrency(
     jobs: DataFrame, by: list[str], start: str, end: str, limit: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Running jobs after each instant at which one starts or ends; an end frees its place at that instant."""
-    change = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d"))))
-    steps = jobs.select(*by, change.alias("c")).filter("c.at is not null").groupBy(*by, F.col("c.at").alias("at")).agg(
+    change = F.explode(F.array(F.struct(F.col(start).alias("instant"), F.lit(1).alias("d")), F.struct(F.col(end).alias("instant"), F.lit(-1).alias("d"))))
+    steps = jobs.select(*by, change.alias("c")).filter("c.instant is not null").groupBy(*by, "c.instant").agg(
         F.sum("c.d").alias("_d")
     )
-    out = running(steps, by, ["at"], {"running": Scan("sum", F.col("_d"))}, rows_per_task)
-    return out.drop("_d").withColumn("over", F.col("running") > limit)
+    out = running(steps, by, ["instant"], {"running": Scan("sum", F.col("_d"))}, rows_per_task)
+    return out.drop("_d").withColumn("over_limit", F.col("running") > limit)
 
 
 def throttle_state(
