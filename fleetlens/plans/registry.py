@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.sources.tables import Tables
 
+BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):
+        BUILDS[name] = build
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql

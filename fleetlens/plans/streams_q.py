@@ -1 +1,222 @@
+"""Streams run to their end over the given tables, and batched prediction."""
 
+from pyspark.sql import functions as F
+
+from fleetlens.operators import inference, intake
+from fleetlens.plans.registry import ORACLES, query
+from fleetlens.plans.rows_q import ROUTES
+from fleetlens.plans.sequences_q import DAY_US, HOUR_US, job_requests
+from fleetlens.sources import files, queue
+from fleetlens.streaming import intake as intake_s
+from fleetlens.streaming import metrics as metrics_s
+from fleetlens.streaming import tracking as tracking_s
+from fleetlens.streaming.runs import folder_stream, new_folder, run_to_end, table_stream
+
+
+def closing_stream(t, rows, name):
+    """A batch as a stream, followed by one far later row that closes every window.
+
+    The late row repeats the last one a year later; its time marks it for removal.
+    """
+    path = new_folder(t.spark, name)
+    rows.write.parquet(path)
+    last = rows.agg(F.max_by(F.struct(*rows.columns), "ts").alias("r")).select("r.*")
+    late = last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 366 DAYS"))
+    late.select(*rows.columns).write.mode("append").parquet(path)
+    return folder_stream(t.spark, path, rows.schema)
+
+
+def events(t):
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+NOT_LATE = "ts < '2025-01-01'"
+
+
+@query("s2_queue_stream", "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s2(t):
+    path = new_folder(t.spark, "queue")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    queue.write_jobs(queue.to_messages(rows, "o_custkey"), path)
+    stream = queue.from_messages(queue.read_jobs_stream(t.spark, path), rows.schema)
+    return run_to_end(stream.drop("o_custkey"), "s2")
+
+
+@query(
+    "s11_fan_out",
+    "SELECT 'archive' AS sink, count(*) AS n, sum(event_id)::BIGINT AS checksum FROM events UNION ALL SELECT 'errors', count(*), sum(event_id)::BIGINT FROM events WHERE event_type = 'error'",
+)
+def s11(t):
+    a, b = new_folder(t.spark, "archive"), new_folder(t.spark, "errors")
+    stream = table_stream(t.spark, t.sf_dir, "events").select("event_id", "event_type")
+    sinks = [
+        lambda df, epoch: df.write.mode("overwrite").parquet(f"{a}/epoch={epoch}"),
+        lambda df, epoch: df.filter("event_type = 'error'").write.mode("overwrite").parquet(f"{b}/epoch={epoch}"),
+    ]
+    files.fan_out(stream, sinks, a + "-checkpoint").awaitTermination()
+    tally = lambda path, name: t.spark.read.parquet(path).agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("checksum"))
+    return tally(a, "archive").unionByName(tally(b, "errors"))
+
+
+@query("t1_intake_stream", ORACLES["t1_intake"])
+def t1(t):
+    requests = job_requests_stream(t)
+    rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
+    return run_to_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)).drop("envelope"), "t1")
+
+
+class _Stream:
+    def __init__(self, events):
+        self.events = events
+
+
+def job_requests_stream(t):
+    return job_requests(_Stream(table_stream(t.spark, t.sf_dir, "events")))
+
+
+SNAPSHOTS = """(SELECT user_id AS run_id, event_id AS poll, event_type AS status, CAST(props->>'$.k' AS INT) AS k, event_type = 'purchase' AND CAST(props->>'$.k' AS INT) > 80 AS done FROM events)"""
+
+
+@query(
+    "t3_change_stream",
+    f"""WITH s AS (SELECT *, lag(status) OVER w AS before, sum(done::INT) OVER (PARTITION BY run_id ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM {SNAPSHOTS} WINDOW w AS (PARTITION BY run_id ORDER BY poll)),
+      l AS (SELECT *, CASE WHEN NOT done THEN 'syncing' WHEN k % 2 = 1 THEN 'ready' ELSE 'failed' END AS phase FROM s WHERE coalesce(ended, 0) = 0)
+    SELECT run_id, poll, 'log' AS kind, CASE WHEN before IS NULL THEN 'Job started: build (' || status || ')' ELSE 'Job build: ' || status END AS line, 'info' AS level, NULL AS phase FROM l WHERE before IS DISTINCT FROM status
+    UNION ALL SELECT run_id, poll, 'status', NULL, NULL, phase FROM l UNION ALL SELECT run_id, poll, 'complete', NULL, NULL, phase FROM l WHERE done""",
+)
+def t3(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    done = (F.col("event_type") == "purchase") & (k > 80)
+    snapshots = table_stream(t.spark, t.sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("poll"),
+        F.when(done, "completed").otherwise("in_progress").alias("run_status"),
+        F.when(done, F.when(k % 2 == 1, "success").otherwise("failure")).alias("run_conclusion"),
+        F.lit(0).alias("listing_pos"), F.lit(1).cast("long").alias("job_id"), F.lit("build").alias("name"),
+        F.col("event_type").alias("status"), F.lit(None).cast("string").alias("conclusion"),
+    )
+    return run_to_end(tracking_s.change_stream(snapshots), "t3")
+
+
+@query(
+    "t4_correlate_stream",
+    """WITH p AS (SELECT d.user_id, d.event_id AS dispatch_id, d.ts, min(r.event_id) AS run_id FROM events d
+    LEFT JOIN events r ON r.event_type = 'purchase' AND r.user_id = d.user_id AND r.ts BETWEEN d.ts - INTERVAL 30 SECOND AND d.ts + INTERVAL 6 HOUR WHERE d.event_type = 'signup' GROUP BY ALL)
+    SELECT *, CASE WHEN run_id IS NULL THEN 'failed' ELSE 'syncing' END AS phase FROM p""",
+)
+def t4(t):
+    e = events(t)
+    d = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("dispatch_id"), "ts")
+    r = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("run_id"), F.col("event_id").alias("listing_pos"), "ts")
+    stream = tracking_s.correlate_stream(closing_stream(t, d, "dispatch"), closing_stream(t, r, "runs"), "user_id", 30, 6 * 3600)
+    return run_to_end(stream, "t4").filter(NOT_LATE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("t5_alert_stream", ORACLES["w5_alert_states"])
+def t5(t):
+    rows = events(t).select("event_type", "ts")
+    stream = metrics_s.alert_stream(closing_stream(t, rows, "alerts"), "event_type", 3600, 7200, F.col("n") >= 3)
+    return run_to_end(stream, "t5")
+
+
+@query("t6_counter_stream", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def t6(t):
+    rows = events(t).select("event_type", "ts")
+    out = run_to_end(metrics_s.counter_stream(closing_stream(t, rows, "counters"), "event_type", "1 hour"), "t6")
+    return out.filter("window_start < '2025-01-01'").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "t6_session_stream",
+    """WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
+    SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, s""",
+)
+def t6b(t):
+    rows = events(t).select("user_id", "ts")
+    out = run_to_end(metrics_s.session_stream(closing_stream(t, rows, "sessions"), "user_id", "30 minutes"), "t6b")
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}
+    return out.filter("started < '2025-01-01'").withColumns(ntz)
+
+
+@query("t7_route_stream", f"SELECT * FROM ({ORACLES['f19_route']}) WHERE target IS NOT NULL")
+def t7(t):
+    out = new_folder(t.spark, "routes")
+    stream = table_stream(t.spark, t.sf_dir, "events").select(
+        "event_id", "event_type", F.when(F.col("user_id") < 75, "shop").otherwise("site").alias("source")
+    )
+    to = lambda target: lambda df: df.select("event_id").write.mode("append").parquet(f"{out}/target={target}")
+    sinks = {target: to(target) for target in ("billing", "incidents", "audit")}
+    metrics_s.route_stream(stream, ROUTES, sinks, out + "-checkpoint").awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "target")
+
+
+@query(
+    "t8_job_state_stream",
+    """WITH e AS (SELECT conv_id AS job_id, TIMESTAMP '2024-01-01' + turn * INTERVAL 1 HOUR AS ts, turn, CASE WHEN turn = 0 THEN 'PENDING' WHEN role = 'user' AND turn >= 4 THEN CASE WHEN conv_id % 3 = 0 THEN 'CANCELLED' ELSE 'COMPLETED' END ELSE 'RUNNING' END AS status FROM conversations),
+      b AS (SELECT *, min(ts) OVER (PARTITION BY job_id) + CASE WHEN job_id % 2 = 0 THEN INTERVAL 10 HOUR ELSE INTERVAL 3 HOUR END AS deadline FROM e),
+      f AS (SELECT job_id, min(CASE WHEN status IN ('COMPLETED', 'CANCELLED') AND ts <= deadline THEN ts END) AS done, min(deadline) AS deadline, min(ts) AS s, min(CASE WHEN status = 'RUNNING' THEN ts END) AS r, min(CASE WHEN status = 'PENDING' THEN ts END) AS p FROM b GROUP BY 1)
+    SELECT job_id, 'PENDING' AS status, p AS ts FROM f WHERE p IS NOT NULL
+    UNION ALL SELECT job_id, 'RUNNING', r FROM f WHERE r <= least(coalesce(done, deadline), deadline) AND r IS NOT NULL
+    UNION ALL SELECT job_id, CASE WHEN done IS NULL THEN 'TIMEOUT' WHEN job_id % 3 = 0 THEN 'CANCELLED' ELSE 'COMPLETED' END, coalesce(done, deadline) FROM f""",
+)
+def t8(t):
+    ended = (F.col("role") == "user") & (F.col("turn") >= 4)
+    status = F.when(F.col("turn") == 0, "PENDING").when(ended, F.when(F.col("conv_id") % 3 == 0, "CANCELLED").otherwise("COMPLETED")).otherwise("RUNNING")
+    rows = t.conversations.select(
+        F.col("conv_id").alias("job_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 3600).alias("ts"),
+        status.alias("status"),
+        F.when(F.col("conv_id") % 2 == 0, 36000).otherwise(10800).alias("timeout_seconds"),
+    )
+    out = run_to_end(tracking_s.job_state_stream(closing_stream(t, rows, "jobs")), "t8")
+    return out.filter(NOT_LATE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("t9_tail_stream", "SELECT conv_id, turn, text FROM conversations")
+def t9(t):
+    return run_to_end(tracking_s.tail_stream(table_stream(t.spark, t.sf_dir, "conversations"), "conv_id", "turn", "text"), "t9")
+
+
+def summarise():
+    """Stands in for a model: built once per task, called with batches of prompts."""
+    return lambda prompts: [f"{len(p)} characters: {p[:20]}" for p in prompts]
+
+
+@query(
+    "x1_predict",
+    "SELECT doc_id, md5(text) AS prompt, length(text) || ' characters: ' || substring(text, 1, 20) AS generated_text, 'stub' AS model FROM documents",
+)
+def x1(t):
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = inference.predict(t.documents.select("doc_id", "text"), "text", summarise, "stub", as_of, 8, ["doc_id"])
+    return out.select("doc_id", F.md5("text").alias("prompt"), "generated_text", "model")
+
+
+def analyse():
+    return lambda prompts: ["" if "Error: es" in p else f"Cause seen in {len(p)} characters." for p in prompts]
+
+
+# length of the fixed text of the prompt around repo, error and logs
+FRAME = len(inference.PROMPT.replace("{repo}", "").replace("{error}", "").replace("{logs}", ""))
+
+
+@query(
+    "x2_triage",
+    f"""WITH f AS (SELECT doc_id, md5(text) AS sha, source AS repo, lang, CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN '' WHEN lang = 'fr' THEN 'nobody' ELSE 'u' || doc_id || '@example.com' END AS email,
+        'Cause seen in ' || ({FRAME} + length(source) + length(lang) + least(length(text), 5000)) || ' characters.' AS analysis FROM documents),
+      g AS (SELECT f.*, l.doc_id AS uid FROM f LEFT JOIN labels l ON l.doc_id = f.doc_id),
+      c AS (SELECT *, CASE WHEN email = '' THEN 'MISSING_REQUIRED_FIELDS' WHEN email = 'nobody' THEN 'INVALID_EMAIL_FORMAT' WHEN lang = 'es' THEN 'OLLAMA_SERVICE_ERROR' WHEN uid IS NULL THEN 'SLACK_USER_NOT_FOUND' END AS code FROM g)
+    SELECT doc_id, code, CASE code WHEN 'MISSING_REQUIRED_FIELDS' THEN 400 WHEN 'INVALID_EMAIL_FORMAT' THEN 400 WHEN 'OLLAMA_SERVICE_ERROR' THEN 503 WHEN 'SLACK_USER_NOT_FOUND' THEN 404 ELSE 200 END AS http_status,
+      CASE WHEN email = '' THEN 'author_email' ELSE '' END AS missing_fields, CASE WHEN code IS NULL THEN uid END AS recipient, CASE WHEN code IS NULL THEN analysis END AS analysis_preview,
+      CASE WHEN code IS NULL THEN '🚨 *Build Failed* - `' || repo || '`' || chr(10) || chr(10) || '*Commit:* `' || substring(sha, 1, 7) || '`' || chr(10) || chr(10) || '*Analysis:*' || chr(10) || analysis || chr(10) || chr(10) || '<https://github.com/' || repo || '/commit/' || sha || '|View Commit>' END AS message
+    FROM c""",
+)
+def x2(t):
+    user = F.concat(F.lit("u"), F.col("doc_id"), F.lit("@example.com"))
+    email = F.when((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0), " ").when(F.col("lang") == "fr", "nobody").otherwise(user)
+    failures = t.documents.select(
+        "doc_id", F.md5("text").alias("commit_sha"), email.alias("author_email"), F.col("source").alias("repo"), F.col("text").alias("logs"), F.col("lang").alias("error")
+    )
+    people = t.labels.select(user.alias("email"), F.col("doc_id").alias("user_id"))
+    out = inference.triage(failures, people, analyse, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return out.select("doc_id", "code", "http_status", "missing_fields", "recipient", "analysis_preview", "message")
