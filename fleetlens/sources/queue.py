@@ -61,6 +61,11 @@ def read_jobs_stream(
 SERVERS_SCHEMA = "struct<servers: map<string, struct<url: string, type: string>>>"
 
 
+def _is_object(c: Column) -> Column:
+    """Well-formed JSON whose top is an object; from_json alone reads broken text as nulls."""
+    return F.coalesce(F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{"), F.lit(False))
+
+
 def decode_envelope(df: DataFrame, value: str = "value", config_schema: str | None = SERVERS_SCHEMA) -> DataFrame:
     """Parse the envelope and find its config: payload, else parameters['config'], else an error."""
     raw = F.col(value).cast("string")
@@ -72,14 +77,13 @@ def decode_envelope(df: DataFrame, value: str = "value", config_schema: str | No
         "config_source",
         F.when(payload.isNotNull(), F.lit("payload")).when(given.isNotNull(), F.lit("parameters")),
     )
-    unparsed = F.col("envelope").isNull() | F.col("envelope.job_id").isNull()
     errors = [
-        F.when(unparsed, F.lit("failed to unmarshal job envelope")),
+        F.when(~_is_object(raw), F.lit("failed to unmarshal job envelope")),
         F.when(F.col("config_json").isNull(), F.lit("no config found in payload or parameters")),
     ]
     if config_schema is not None:
         out = out.withColumn("config", F.from_json("config_json", config_schema))
-        errors.append(F.when(F.col("config").isNull(), F.lit("failed to parse MCP config")))
+        errors.append(F.when(~_is_object(F.col("config_json")), F.lit("failed to parse MCP config")))
     return out.withColumn("error", F.coalesce(*errors))
 
 

@@ -98,7 +98,7 @@ def correlate_stream(
         & F.expr(f"r_ts >= d_ts - INTERVAL {early} SECONDS")
         & F.expr(f"r_ts <= d_ts + INTERVAL {late} SECONDS")
     )
-    found = d.join(r, near, "left_outer").groupBy("d_key", "dispatch_id", F.window("d_ts", "1 second"), "d_ts").agg(
+    found = d.join(r, near, "left_outer").groupBy("d_key", "dispatch_id", "d_ts").agg(
         F.min_by("run_id", "listing_pos").alias("run_id")
     )
     phase = F.when(F.col("run_id").isNull(), "failed").otherwise("syncing")
