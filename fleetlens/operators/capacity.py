@@ -41,7 +41,7 @@ def replica_recommendation(metrics: DataFrame, by: list[str], ts: str, spec: dic
     desired = clamp(F.greatest(*wanted) if len(wanted) > 1 else wanted[0], spec["min"], spec["max"])
     rows = metrics.withColumn("desired", desired.cast("long"))
     at = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    rows = ranged(rows, by, at, -spec["stabilise_seconds"], 0, {"stabilised": F.max("desired")})
+    rows = ranged(rows, by, at, -spec["stabilise_seconds"], 0, {"stabilised": Scan("max", F.col("desired"))})
     calm = F.when(F.col("desired") < current, F.least(F.col("stabilised"), current)).otherwise(F.col("desired"))
     ceiling = F.greatest(F.ceil(current * (1 + spec["up_percent"] / 100)), current + spec["up_pods"])
     floor = F.floor(current * (1 - spec["down_percent"] / 100))

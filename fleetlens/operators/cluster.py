@@ -201,22 +201,19 @@ def effective_permissions(bindings: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def can_i(questions: DataFrame, bindings: DataFrame, roles: DataFrame) -> DataFrame:
-    """Answer (subject, namespace, api_group, resource, verb) questions; * grants everything.
-
-    The roles of a subject are gathered per question and tested against the rules in place.
-    """
-    held = bindings.groupBy("subject", "namespace").agg(F.collect_set("role").alias("roles"))
-    rules = roles.select("role", F.explode("rules").alias("r")).select("role", "r.*")
-    per_role = rules.groupBy("role").agg(F.collect_list(F.struct("api_groups", "resources", "verbs")).alias("rules"))
-    asked = questions.join(held, ["subject", "namespace"], "left")
-    covers = lambda xs, x: F.arrays_overlap(xs, F.array(x, F.lit("*")))
-    tested = asked.select("*", F.explode_outer("roles").alias("role")).join(per_role, "role", "left")
-    hit = F.exists(
-        F.coalesce("rules", F.array().cast(per_role.schema["rules"].dataType)),
-        lambda r: covers(r["api_groups"], F.col("api_group")) & covers(r["resources"], F.col("resource")) & covers(r["verbs"], F.col("verb")),
-    )
+    """Answer (subject, namespace, api_group, resource, verb) questions; * grants everything."""
     keys = ["subject", "namespace", "api_group", "resource", "verb"]
-    return tested.groupBy(*keys).agg(F.bool_or(hit).alias("allowed"))
+    rules = roles.select("role", F.explode("rules").alias("r"))
+    covers = lambda have, want: F.arrays_overlap(F.col(have), F.array(F.col(want), F.lit("*")))
+    asked = questions.select(*keys).distinct()
+    granted = (
+        asked.join(bindings.select("subject", "namespace", "role").distinct(), ["subject", "namespace"])
+        .join(rules, "role")
+        .filter(covers("r.api_groups", "api_group") & covers("r.resources", "resource") & covers("r.verbs", "verb"))
+        .select(*keys, F.lit(True).alias("allowed"))
+        .distinct()
+    )
+    return asked.join(granted, keys, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def node_resources(nodes: DataFrame, resources: str = "resources", prefix: str = "accelerator_type:") -> DataFrame:

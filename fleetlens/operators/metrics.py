@@ -41,7 +41,7 @@ def percentiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, by, [value], {"_upto": Scan("sum", F.col("_n"))}, rows_per_task)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    both = ranked.join(totals, by) if by else ranked.crossJoin(F.broadcast(totals))  # without groups: one row
+    both = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
     aggs = []
     for name, p in probs.items():
         at = p * (F.col("_total") - 1)
@@ -116,8 +116,8 @@ def churn(events: DataFrame, user: str, period: Column) -> DataFrame:
     """Per period number: active users, those absent in the next one, and their share. The last period has no next."""
     active = events.select(F.col(user).alias("u"), period.alias("period")).distinct()
     back = active.select("u", (F.col("period") - 1).alias("period"), F.lit(1).alias("stayed"))
-    last = F.broadcast(active.agg(F.max("period").alias("_last")))  # one row
-    both = active.join(back, ["u", "period"], "left").join(last).filter(F.col("period") < F.col("_last"))
+    last = active.agg(F.max("period")).scalar()
+    both = active.join(back, ["u", "period"], "left").filter(F.col("period") < last)
     gone = F.sum(F.when(F.col("stayed").isNull(), 1).otherwise(0))
     n = F.count(F.lit(1))
     return both.groupBy("period").agg(n.alias("active"), gone.alias("churned"), ratio(gone, n).alias("churn_rate"))

@@ -35,8 +35,12 @@ def with_quota(accounts: DataFrame, tier: str) -> DataFrame:
 
 
 def quota_usage(usage: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(namespace, resource, amount text) summed per namespace and compared with ``hard`` text."""
-    used = usage.groupBy("namespace", "resource").agg(F.sum(quantity(F.col("amount"))).alias("used"))
+    """(namespace, resource, amount text) summed per namespace and compared with ``hard`` text.
+
+    Equal texts are counted first, so each is parsed once.
+    """
+    counted = usage.groupBy("namespace", "resource", "amount").agg(F.count(F.lit(1)).alias("_n"))
+    used = counted.groupBy("namespace", "resource").agg(F.sum(quantity(F.col("amount")) * F.col("_n")).alias("used"))
     limits = quotas.select("namespace", "resource", quantity(F.col("hard")).alias("hard"))
     out = limits.join(used, ["namespace", "resource"], "left").withColumn("used", F.coalesce("used", F.lit(0.0)))
     return out.withColumn("exceeded", F.col("used") > F.col("hard"))

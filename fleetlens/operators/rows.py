@@ -34,16 +34,16 @@ def list_page(df: DataFrame, key: str, page_size: int, token=None, where: Column
     The token is the last key seen, so a page costs a top-n and not a scan of all pages before it.
     """
     rows = df.filter(where) if where is not None else df
-    total = rows.agg(F.count(F.lit(1)).alias("total_count"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
     after = rows.filter(F.col(key) > token) if token is not None else rows
-    page = after.orderBy(key).limit(page_size)
-    return page.join(F.broadcast(total)).withColumn("next_token", F.max(key).over(Window.partitionBy("total_count")))
+    page = after.orderBy(key).limit(page_size).withColumn("total_count", total)
+    return page.withColumn("next_token", F.max(key).over(Window.partitionBy("total_count")))  # one page
 
 
 def with_total(page: DataFrame, all_rows: DataFrame) -> DataFrame:
     """Count of the page itself and of all rows next to each row of a bounded page."""
-    total = F.broadcast(all_rows.agg(F.count(F.lit(1)).alias("total_count")))
-    return page.join(total).withColumn("page_count", F.count(F.lit(1)).over(Window.partitionBy("total_count")))
+    counted = page.withColumn("total_count", all_rows.agg(F.count(F.lit(1))).scalar())
+    return counted.withColumn("page_count", F.count(F.lit(1)).over(Window.partitionBy("total_count")))
 
 
 def page(df: DataFrame, order: list[str], skip: int = 0, limit: int = 100) -> DataFrame:

@@ -4,7 +4,7 @@ A window over ``partitionBy(key).orderBy(time)`` puts a whole key into one
 task. Here a key with more than ``rows_per_task`` rows is cut into consecutive
 segments of its order; the window runs per (key, segment) and the segments are
 joined up by a carry taken from one small summary row per segment. Keys below
-the limit keep the plain window, so ordinary data pay for one count only.
+the limit keep the plain window, so ordinary data pay for one sampled count only.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 ROWS_PER_TASK = 4_000_000
 MAX_CUTS = 1024  # cuts per hot key; also bounds the driver-side list
 BROADCAST_ROWS = 1_000_000
+SAMPLE_ROWS = 4096  # sampled rows by which a key counts as large
 SEG = "_seg"
 SUB = 4096  # room for second-level segments inside one tied order value
 
@@ -93,9 +94,15 @@ def _quantiles(df: DataFrame, keys: list[str], value: Column, n: int) -> list[li
 
 
 def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK) -> Segmented:
-    """Add a segment column where keys hold more than ``rows_per_task`` rows."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > rows_per_task).collect()  # at most rows / rows_per_task keys
+    """Add a segment column where keys hold more than ``rows_per_task`` rows.
+
+    Large keys and their cuts are estimated on a sample, because they only decide how the work is
+    divided: every row is kept, and the results do not depend on where the cuts fall.
+    """
+    share = min(1.0, SAMPLE_ROWS / rows_per_task)
+    seen = df.sample(share, 17) if share < 1 else df
+    counts = seen.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).alias("_n"))
+    hot = counts.filter(F.col("_n") > rows_per_task).collect()  # about rows / rows_per_task keys
     if not hot:
         return Segmented(df, by, order, 0)
     spark = df.sparkSession
@@ -110,7 +117,7 @@ def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = R
         marked = df.join(keys, same_key(df, keys, by, "_h_"), "left").drop(*["_h_" + k for k in by])
     else:
         marked = df.withColumn("_hot", F.lit(True))
-    hot_rows = marked.filter("_hot")
+    hot_rows = (marked.sample(share, 17) if share < 1 else marked).filter("_hot")
     first = position(df, order[0])
     per_key = _quantiles(hot_rows, by, first, n)
     cuts = sorted({c for q in per_key for c in q if c is not None})
@@ -211,24 +218,40 @@ def running(df, by, order, cols, rows_per_task=ROWS_PER_TASK, reverse=False) ->
     return scan(split(df, by, order, rows_per_task), cols, reverse).done()
 
 
-def ranged(
-    df: DataFrame, by: list[str], at: Column, lo: int, hi: int, cols: dict[str, Column], width: int | None = None
-) -> DataFrame:
-    """Aggregates over rows of the same key with position in [at + lo, at + hi].
+def ranged(df: DataFrame, by: list[str], at: Column, lo: int, hi: int, cols: dict[str, Scan]) -> DataFrame:
+    """min, max, sum or count over rows of the same key with position in [at + lo, at + hi].
 
-    ``at`` is a whole number (seconds, micros, ticks). Time is cut into buckets
-    and each row is also sent to the buckets its range reaches, so one task
-    never holds more of a key than a bucket and its rim.
+    ``at`` is a whole number (seconds, micros, ticks). Rows are first reduced to one per key and
+    position. Time is cut into buckets as wide as the range, so every range is the end of one bucket
+    and the start of the next: two running aggregates per bucket answer all ranges, in time linear
+    in the rows, and no task holds more of a key than one bucket.
     """
-    width = width or 16 * max(hi - lo, 1)
+    width = hi - lo
+    if width <= 0:
+        raise ValueError("the range must have a positive width")
+    merge = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+    first = {**merge, "count": F.count}
     rows = df.withColumn("_at", at)
-    home = F.floor(F.col("_at") / F.lit(width)).cast("long")
-    # a row is visible to positions p with p + lo <= at <= p + hi
-    first = F.floor((F.col("_at") - hi) / F.lit(width)).cast("long")
-    last = F.floor((F.col("_at") - lo) / F.lit(width)).cast("long")
-    spread = rows.withColumn("_home", home).withColumn(
-        "_bucket", F.explode(F.array_distinct(F.concat(F.sequence(first, last), F.array(home))))
-    )
-    frame = Window.partitionBy(*by, "_bucket").orderBy("_at").rangeBetween(lo, hi)
-    out = spread.withColumns({n: c.over(frame) for n, c in cols.items()})
-    return out.filter(F.col("_bucket") == F.col("_home")).drop("_at", "_home", "_bucket")
+    per = rows.groupBy(*by, "_at").agg(*[first[c.kind](c.expr).alias(n) for n, c in cols.items()])
+    bucket = lambda pos: F.floor(pos / F.lit(width)).cast("long")
+    none = {n: F.lit(None).cast(per.schema[n].dataType) for n in cols}
+
+    def entry(pos, side, values):
+        return F.struct(
+            bucket(pos).alias("_bucket"), pos.alias("_pos"), F.lit(side).alias("_side"),
+            *[v.alias(n) for n, v in values.items()]
+        )
+
+    own = entry(F.col("_at"), 0, {n: F.col(n) for n in cols})
+    begins, ends = entry(F.col("_at") + lo, 1, none), entry(F.col("_at") + hi, 2, none)
+    points = per.select(*by, "_at", F.explode(F.array(own, begins, ends)).alias("p")).select(*by, "_at", "p.*")
+    spot = Window.partitionBy(*by, "_bucket")
+    values_first = (F.col("_side") > 0).asc()
+    upto = spot.orderBy("_pos", values_first).rowsBetween(Window.unboundedPreceding, 0)
+    onward = spot.orderBy(F.col("_pos").desc(), values_first).rowsBetween(Window.unboundedPreceding, 0)
+    part = {n: F.when(F.col("_side") == 1, merge[c.kind](n).over(onward)).when(F.col("_side") == 2, merge[c.kind](n).over(upto)) for n, c in cols.items()}
+    halves = points.select(*by, "_at", "_side", *[v.alias(n) for n, v in part.items()]).filter("_side > 0")
+    whole = halves.groupBy(*by, "_at").agg(*[merge[c.kind](n).alias(n) for n, c in cols.items()])
+    keys = [*by, "_at"]
+    found = whole.select(*[F.col(k).alias("_k_" + k) for k in keys], *cols)
+    return rows.join(found, same_key(rows, found, keys, "_k_"), "left").drop("_at", *["_k_" + k for k in keys])

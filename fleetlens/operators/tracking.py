@@ -103,7 +103,7 @@ def correlate(
         F.struct(F.col("listing_pos").cast("long").alias("pos"), F.col("run_id").cast("long").alias("run_id")).alias("_run"),
     )
     if late is not None:
-        rows = ranged(d.unionByName(r), by, F.col("_us"), -early * 10**6, late * 10**6, {"_best": F.min("_run")})
+        rows = ranged(d.unionByName(r), by, F.col("_us"), -early * 10**6, late * 10**6, {"_best": Scan("min", F.col("_run"))})
     else:
         # a run at exactly dispatch - early counts: at equal positions runs come after the dispatch
         shifted = d.withColumn("_us", F.col("_us") - early * 10**6).unionByName(r)

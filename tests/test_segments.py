@@ -88,16 +88,18 @@ def test_global_order_without_key(df, rows):
     assert {r["id"]: r["n"] for r in got} == want
 
 
-@pytest.mark.parametrize("width", [None, 100, 5000])
-def test_ranged(df, rows, width):
+@pytest.mark.parametrize("lo,hi", [(-300, 90), (-300, 0), (0, 7), (50, 400)])
+def test_ranged(df, rows, lo, hi):
     at = F.unix_timestamp("ts")
-    got = ranged(df, ["key"], at, -300, 90, {"n": F.count(F.lit(1)), "top": F.max("v")}, width)
+    cols = {"n": Scan("count", F.lit(1)), "top": Scan("max", F.col("v")), "low": Scan("min", F.col("v")), "total": Scan("sum", F.col("v"))}
+    got = ranged(df, ["key"], at, lo, hi, cols)
     want = {}
     for group in by_key(rows).values():
         for r in group:
-            near = [o for o in group if -300 <= (o[2] - r[2]).total_seconds() <= 90]
-            want[r[0]] = (len(near), max((o[3] for o in near if o[3] is not None), default=None))
-    assert {r["id"]: (r["n"], r["top"]) for r in got.collect()} == want
+            near = [o for o in group if lo <= (o[2] - r[2]).total_seconds() <= hi]
+            values = [o[3] for o in near if o[3] is not None]
+            want[r[0]] = (len(near), max(values, default=None), min(values, default=None), sum(values) if values else None)
+    assert {r["id"]: (r["n"] or 0, r["top"], r["low"], r["total"]) for r in got.collect()} == want
 
 
 def brute_throttle(rows, ls, ll, short, long):
