@@ -114,7 +114,8 @@ def match_selector(selectors: DataFrame, objects: DataFrame) -> DataFrame:
     """
     pairs = selectors.select("selector_id", F.explode("match").alias("k", "v"))
     known = pairs.select("k", "v").distinct()
-    labels = objects.select(F.explode("labels").alias("k", "v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    used = objects.select(F.explode("labels").alias("k", "v")).join(known, ["k", "v"], "left_semi")
+    labels = used.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     # a pair no object has makes its selector match nothing: it counts as the rarest
     frequency = known.join(labels, ["k", "v"], "left").fillna(0, ["n"])
     anchor = (
@@ -123,7 +124,7 @@ def match_selector(selectors: DataFrame, objects: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("k", "v"), F.struct("n", "k", "v")).alias("anchor"))
     )
     wanted = selectors.join(anchor, "selector_id", "left").select(
-        "selector_id", "match", F.explode(F.coalesce("namespaces", F.array(F.lit("*")))).alias("in_ns"),
+        "selector_id", "match", F.explode(F.array_distinct(F.coalesce("namespaces", F.array(F.lit("*"))))).alias("in_ns"),
         F.coalesce(F.concat_ws("=", "anchor.k", "anchor.v"), F.lit("")).alias("_anchor"),
     ).withColumn("_anchor", F.when(F.size("match") == 0, F.lit("")).otherwise(F.col("_anchor")))
     tags = F.concat(
@@ -136,7 +137,7 @@ def match_selector(selectors: DataFrame, objects: DataFrame) -> DataFrame:
     contained = F.forall(
         F.map_entries("match"), lambda e: F.try_element_at(F.col("labels"), e["key"]).eqNullSafe(e["value"])
     )
-    return found.filter(contained).select("selector_id", "object_id").distinct()
+    return found.filter(contained).select("selector_id", "object_id")
 
 
 def _term(labels: Column, term: dict) -> Column:

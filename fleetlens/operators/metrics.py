@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.quotas import ratio
@@ -38,8 +38,9 @@ def percentiles(
     Rows are first counted per distinct value, and ranks come from a segmented running sum over
     those counts, so no task holds all values of a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counts, by, [value], {"_upto": Scan("sum", F.col("_n"))}, rows_per_task)
+    s = split(df.select(*by, value).filter(F.col(value).isNotNull()), by, [value], rows_per_task)
+    counts = s.df.groupBy(*s.group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = scan(s.with_df(counts), {"_upto": Scan("sum", F.col("_n"))}).done()
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     both = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
     aggs = []
@@ -215,8 +216,6 @@ def counter_rate(samples: DataFrame, by: list[str], range_seconds: int, step_sec
     """
     if range_seconds % step_seconds or range_seconds // step_seconds > MAX_RANGE_STEPS:
         raise ValueError("the range must be a multiple of the step, at most 100 of them")
-    from pyspark.sql import Window
-
     step, reach = step_seconds * 10**6, range_seconds // step_seconds
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     order = ["_us", *([tie] if tie else [])]

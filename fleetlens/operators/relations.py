@@ -169,11 +169,24 @@ def union_kinds(**kinds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()])
 
 
+COPIES_PER_ROW = 10_000
+
+
 def replicate(df: DataFrame, n: int) -> DataFrame:
-    """Every base row n // (number of rows) times, so about n rows in all."""
+    """Every base row n // (number of rows) times, so about n rows in all, numbered from 1.
+
+    Many copies of few rows are made in blocks that are first spread over the tasks.
+    """
     size = df.count()
     copies = n // size if size else 0
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))) if copies else df.withColumn("copy", F.lit(0)).limit(0)
+    blocks = -(-copies // COPIES_PER_ROW)
+    first = F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))
+    base = df.withColumn("_block", first).filter(F.lit(copies > 0))
+    if blocks > 1:
+        base = base.repartition(*df.columns, "_block")
+    start = F.col("_block") * COPIES_PER_ROW
+    last = F.least(start + COPIES_PER_ROW, F.lit(copies))
+    return base.withColumn("copy", F.explode(F.sequence(start + 1, last))).drop("_block")
 
 
 def distinct_sorted(df: DataFrame, cols: list[str]) -> DataFrame:

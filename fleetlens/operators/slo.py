@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.metrics import BAD, bucket
 from fleetlens.operators.quotas import ratio
-from fleetlens.operators.segments import ROWS_PER_TASK, Scan, running, scan, split
+from fleetlens.operators.segments import ROWS_PER_TASK, Scan, scan, split
 
 
 def islands(
@@ -23,9 +23,9 @@ def incidents(
     df: DataFrame, by: list[str], order: list[str], ts: str = "ts", ok: str = "ok", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Runs of failures: start, and the first good instant after them (null while open)."""
-    turns = running(df, by, order, {"_prev": Scan("lag", F.col(ok))}, rows_per_task)
-    turns = turns.filter(~F.col("_prev").eqNullSafe(F.col(ok))).select(*dict.fromkeys([*by, *order, ts, ok]))
-    ends = running(turns, by, order, {"recovered": Scan("lag", F.col(ts))}, rows_per_task, reverse=True)
+    s = scan(split(df, by, order, rows_per_task), {"_prev": Scan("lag", F.col(ok))})
+    turns = s.df.filter(~F.col("_prev").eqNullSafe(F.col(ok))).drop("_prev")
+    ends = scan(s.with_df(turns), {"recovered": Scan("lag", F.col(ts))}, reverse=True).done()
     return ends.filter(~F.col(ok)).drop(ok).withColumnRenamed(ts, "started")
 
 
@@ -64,15 +64,16 @@ def tick_grid(ticks: DataFrame, by: list[str], step: int) -> DataFrame:
     return grid.join(ticks, [*by, "tick"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
 
-def alert_states(
-    ticks: DataFrame, by: list[str], step: int, for_: int, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """inactive, pending, or firing once the condition has held for ``for_`` (in tick units)."""
+def alert_states(ticks: DataFrame, by: list[str], step: int, for_: int) -> DataFrame:
+    """inactive, pending, or firing once the condition has held for ``for_`` (in tick units).
+
+    A series has as many rows as its life has ticks, whatever the number of events behind them.
+    """
     grid = tick_grid(ticks, by, step)
-    quiet = F.when(~F.col("active"), F.col("tick"))
-    s = scan(split(grid, by, ["tick"], rows_per_task), {"_quiet": Scan("last", quiet), "_first": Scan("min", F.col("tick"))})
-    since = F.coalesce(F.col("_quiet") + step, F.col("_first"))
-    out = s.done().withColumn("since", F.when(F.col("active"), since)).drop("_quiet", "_first")
+    ordered = Window.partitionBy(*by).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    quiet = F.max(F.when(~F.col("active"), F.col("tick"))).over(ordered)
+    since = F.coalesce(quiet + step, F.min("tick").over(ordered))
+    out = grid.withColumn("since", F.when(F.col("active"), since))
     held = F.col("tick") - F.col("since")
     state = F.when(~F.col("active"), "inactive").when(held >= for_, "firing").otherwise("pending")
     entered = F.col("active") & (held >= for_) & (held - step < for_)

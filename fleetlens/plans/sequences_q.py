@@ -75,7 +75,7 @@ ALERTS = """WITH c AS (SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT
 def alerts(t):
     tick = F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp"))
     ticks = t.events.groupBy("event_type", tick.alias("tick")).agg((F.count(F.lit(1)) >= 3).alias("active"))
-    return slo.alert_states(ticks, ["event_type"], 3600, 7200, t.rows_per_task)
+    return slo.alert_states(ticks, ["event_type"], 3600, 7200)
 
 
 @query("w5_alert_states", ALERTS + "SELECT * FROM s")
@@ -193,7 +193,7 @@ def w15(t):
     jobs = t.lineitem.select("l_orderkey", "l_shipdate").join(
         t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    return capacity.concurrency(jobs, ["o_orderpriority"], "o_orderdate", "l_shipdate", 100, t.rows_per_task)
+    return capacity.concurrency(jobs, ["o_orderpriority"], "o_orderdate", "l_shipdate", 100)
 
 
 @query(

@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 # queries whose operator cuts large groups; here a group is large from 25 rows on
 SPLIT = """
-a1_running_counters a4_latency a10_incidents a11_mttr a12_mtbf a13_alert_count a15_sessions a23_worker_stats a31_dr_compliance
-j1_nest j4_nest_skip_level j10_correlate j11_change_events u6_build_report w1_counter_rate w5_alert_states w6_islands
-w7_probe_state w12_assign_ids w13_positions w15_concurrency
+a1_running_counters a4_latency a10_incidents a11_mttr a12_mtbf a15_sessions a23_worker_stats a31_dr_compliance
+j1_nest j4_nest_skip_level j10_correlate j11_change_events u6_build_report w1_counter_rate w6_islands
+w7_probe_state w12_assign_ids w13_positions
 """.split()
 
 

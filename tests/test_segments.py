@@ -82,6 +82,15 @@ def test_hot_key_is_cut_even_at_one_instant(df):
     assert {r["_seg"] for r in sizes if r["key"] != "hot"} == {0}
 
 
+def test_text_order_is_cut(spark):
+    """Half of the rows share one instant, and their order is a text with a long common start."""
+    df = spark.range(400).select(F.lit("k").alias("k"), (F.col("id") % 2 * F.col("id")).alias("t"), F.format_string("request-%06d", "id").alias("rid"))
+    s = split(df, ["k"], ["t", "rid"], 30)
+    assert s.df.groupBy("_seg").count().agg(F.max("count")).first()[0] <= 60
+    got = running(df, ["k"], ["t", "rid"], {"n": Scan("row_number")}, 30).collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: (r["t"], r["rid"]))] == list(range(1, 401))
+
+
 def test_global_order_without_key(df, rows):
     got = running(df, [], ["ts", "id"], {"n": Scan("row_number")}, 50).select("id", "n").collect()
     want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])), 1)}
