@@ -8,12 +8,14 @@ held, never a key's history.
 A key with more than ``rows_per_task`` rows is cut into segments. All segments
 run at once from an assumed entry state; a segment whose predecessor turned out
 to leave another state than assumed runs again, until every assumption holds.
-The fixed point is the serial answer. States travel as one row per segment and
-each round's states are checkpointed.
+The fixed point is the serial answer: the first segment of a key starts from the
+true state, so every round settles at least one more segment. States travel as one
+row per segment and each round's states are checkpointed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,13 +133,19 @@ def _feed(df: DataFrame, keys: list[str], order: list[str], header: bool) -> Dat
 
 
 def _settle(s: Segmented, machine: Machine) -> DataFrame:
-    """Entry state of every segment of every hot key."""
-    checkpoint_dir(s.df.sparkSession)
+    """Entry state of every segment of every hot key.
+
+    What the machine reads of the hot keys is written once, one folder per segment, to the shared
+    folder; a later round reads the folders of its stale segments only.
+    """
+    spark = s.df.sparkSession
+    path = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
     keys = s.group
     need = list(dict.fromkeys([*keys, *s.order, *machine.columns]))
     hot = s.df.filter(F.col(SEG) > 0).select(*need)
-    key_fields = [hot.schema[k] for k in keys]
-    exit_schema = T.StructType([*key_fields, T.StructField("_exit", T.StringType())])
+    hot.repartition(*[F.col(k) for k in keys]).write.partitionBy(SEG).parquet(path)
+    hot = spark.read.schema(hot.schema).parquet(path).select(*need)
+    exit_schema = T.StructType([*[hot.schema[k] for k in keys], T.StructField("_exit", T.StringType())])
     initial = machine.dump(machine.start())
 
     def exits(rows, entries):
@@ -152,15 +160,16 @@ def _settle(s: Segmented, machine: Machine) -> DataFrame:
         rounds += 1
         states = states.withColumn("_next", F.coalesce(F.lag("_exit").over(before), F.lit(initial)))
         stale = states.filter(F.col("_next") != F.col("_entry"))
-        if stale.isEmpty():
-            return states.select(*keys, "_entry")
         if rounds > SPECULATIVE_ROUNDS:
             # the state keeps depending on all earlier segments: move on one segment per key
             first = Window.partitionBy(*s.by).orderBy(SEG)
             stale = stale.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+        folders = [r[0] for r in stale.select(SEG).distinct().collect()]  # at most the number of segments
+        if not folders:
+            return states.select(*keys, "_entry")
         stale = stale.select(*keys, F.col("_next").alias("_entry"))
         k = stale.select(*[F.col(c).alias("_k_" + c) for c in keys])
-        rows = hot.join(k, same_key(hot, k, keys, "_k_"), "left_semi")
+        rows = hot.filter(F.col(SEG).isin(*folders)).join(k, same_key(hot, k, keys, "_k_"), "left_semi")
         again = exits(rows, stale).select(*[F.col(c).alias("_k_" + c) for c in keys], F.col("_exit").alias("_new"))
         merged = states.join(again, same_key(states, again, keys, "_k_"), "left")
         states = merged.select(

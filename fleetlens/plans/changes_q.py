@@ -99,19 +99,19 @@ def u8(t):
 
 @query(
     "u9_update_where",
-    f"""SELECT 'row' AS part, b.c_custkey, CASE WHEN x.c_custkey IS NULL THEN b.c_name ELSE x.c_name END AS c_name, CAST(NULL AS BOOLEAN) AS changed FROM customer b LEFT JOIN {CHANGES} x ON b.c_custkey = x.c_custkey
+    f"""SELECT 'row' AS part, b.c_custkey, CASE WHEN x.c_custkey IS NULL THEN b.c_name ELSE x.c_name END AS c_name, false AS changed FROM customer b LEFT JOIN {CHANGES} x ON b.c_custkey = x.c_custkey
     UNION ALL SELECT 'report', x.c_custkey, NULL, b.c_custkey IS NOT NULL FROM {CHANGES} x LEFT JOIN customer b ON b.c_custkey = x.c_custkey""",
 )
 def u9(t):
     rows, report = relations.update_where(t.customer.select("c_custkey", "c_name"), changes(t), "c_custkey", "c_name")
-    return rows.withColumn("part", F.lit("row")).unionByName(report.withColumn("part", F.lit("report")), allowMissingColumns=True)
+    return rows.withColumns({"part": F.lit("row"), "changed": F.lit(False)}).unionByName(report.withColumn("part", F.lit("report")), allowMissingColumns=True)
 
 
 @query(
     "u10_delete_where",
-    f"""SELECT 'row' AS part, c_custkey, CAST(NULL AS BOOLEAN) AS changed FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {CHANGES})
+    f"""SELECT 'row' AS part, c_custkey, false AS changed FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {CHANGES})
     UNION ALL SELECT 'report', x.c_custkey, b.c_custkey IS NOT NULL FROM {CHANGES} x LEFT JOIN customer b ON b.c_custkey = x.c_custkey""",
 )
 def u10(t):
     rows, report = relations.delete_where(t.customer.select("c_custkey"), changes(t), "c_custkey")
-    return rows.withColumn("part", F.lit("row")).unionByName(report.withColumn("part", F.lit("report")), allowMissingColumns=True)
+    return rows.withColumns({"part": F.lit("row"), "changed": F.lit(False)}).unionByName(report.withColumn("part", F.lit("report")), allowMissingColumns=True)
