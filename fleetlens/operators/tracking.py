@@ -17,6 +17,7 @@ MESSAGE_DONE = {
     "cancelled": "GitHub Actions workflow was cancelled",
 }
 MESSAGE_OTHER = "Polling GitHub Actions"
+MESSAGE_TIMEOUT = "Timed out waiting for GitHub Actions run"
 
 
 def run_phase(status: Column, conclusion: Column) -> Column:
@@ -84,6 +85,17 @@ def change_events(
     )
 
 
+def run_created(
+    polls: DataFrame, key: list[str], order: list[str], run_id: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """A line whenever a poll names another run than the one known before; polls without a run say nothing."""
+    named = polls.filter(F.col(run_id).isNotNull() & (F.col(run_id) != 0))
+    rows = running(named, key, order, {"_old": Scan("lag", F.col(run_id))}, rows_per_task)
+    line = F.concat(F.lit("GitHub Actions run #"), F.col(run_id), F.lit(" created"))
+    fresh = rows.filter(~F.col("_old").eqNullSafe(F.col(run_id))).drop("_old")
+    return fresh.withColumn("line", line).withColumn("level", level_of(F.col("line")))
+
+
 def correlate(
     dispatch: DataFrame, runs: DataFrame, by: list[str], early: int = 30, late: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,

@@ -181,6 +181,19 @@ def j11(t):
     return tracking.change_events(polls, ["user_id"], ["ts", "event_id"], t.rows_per_task).select("user_id", "event_id", "line", "level")
 
 
+@query(
+    "j11_run_created",
+    """WITH p AS (SELECT user_id, event_id, ts, (CAST(props->>'$.k' AS INT) // 30)::BIGINT AS run_id FROM events WHERE event_type <> 'signup'),
+      n AS (SELECT *, lag(run_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM p WHERE run_id <> 0)
+    SELECT user_id, event_id, 'GitHub Actions run #' || run_id || ' created' AS line, 'info' AS level FROM n WHERE run_id IS DISTINCT FROM old""",
+)
+def j11c(t):
+    run = F.when(F.col("event_type") != "signup", F.floor(F.get_json_object("props", "$.k").cast("int") / 30))
+    polls = t.events.select("user_id", "event_id", "ts", run.alias("run_id"))
+    out = tracking.run_created(polls, ["user_id"], ["ts", "event_id"], "run_id", t.rows_per_task)
+    return out.select("user_id", "event_id", "line", "level")
+
+
 @query(
     "j11_diff_snapshots",
     """WITH o AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS c FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1),

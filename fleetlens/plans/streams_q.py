@@ -101,7 +101,7 @@ def t3(t):
     "t4_correlate_stream",
     """WITH p AS (SELECT d.user_id, d.event_id AS dispatch_id, d.ts, min(r.event_id) AS run_id FROM events d
     LEFT JOIN events r ON r.event_type = 'purchase' AND r.user_id = d.user_id AND r.ts BETWEEN d.ts - INTERVAL 30 SECOND AND d.ts + INTERVAL 6 HOUR WHERE d.event_type = 'signup' GROUP BY ALL)
-    SELECT *, CASE WHEN run_id IS NULL THEN 'failed' ELSE 'syncing' END AS phase FROM p""",
+    SELECT *, CASE WHEN run_id IS NULL THEN 'failed' ELSE 'syncing' END AS phase, CASE WHEN run_id IS NULL THEN 'Timed out waiting for GitHub Actions run' END AS message FROM p""",
 )
 def t4(t):
     e = events(t)

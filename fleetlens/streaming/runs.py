@@ -21,10 +21,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream; event time becomes a UTC instant, which watermarks require."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
+    """A given table as a stream; event time becomes a UTC instant, which watermarks require.
+
+    The number of files per micro-batch bounds what one key can bring to a stateful step at a time.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # written as a pattern, the path may be one file or a folder of files
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    df = reader.parquet(f"{sf_dir}/{name}.parque[t]")
     times = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"}
     return df.withColumns(times) if times else df
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from fleetlens.operators.tracking import change_line, level_of, run_phase
+from fleetlens.operators.tracking import MESSAGE_TIMEOUT, change_line, level_of, run_phase
 from fleetlens.streaming.runs import use_rocksdb
 
 CHANGES = T.StructType(
@@ -102,7 +102,8 @@ def correlate_stream(
         F.min_by("run_id", "listing_pos").alias("run_id")
     )
     phase = F.when(F.col("run_id").isNull(), "failed").otherwise("syncing")
-    return found.select(F.col("d_key").alias(by), "dispatch_id", F.col("d_ts").alias("ts"), "run_id", phase.alias("phase"))
+    message = F.when(F.col("run_id").isNull(), MESSAGE_TIMEOUT)
+    return found.select(F.col("d_key").alias(by), "dispatch_id", F.col("d_ts").alias("ts"), "run_id", phase.alias("phase"), message.alias("message"))
 
 
 JOB_STATES = T.StructType(
