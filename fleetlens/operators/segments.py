@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,16 +101,24 @@ def _quantiles(df: DataFrame, keys: list[str], value: Column, n: int) -> list[li
     return [r["q"] or [] for r in rows]
 
 
+def large_keys(df: DataFrame, by: list[str], limit: int) -> tuple[list[Row], float]:
+    """Keys with more than ``limit`` rows and their size ``_n``, by a sample, and the share sampled.
+
+    There are about rows / limit of them, however many keys there are.
+    """
+    share = min(1.0, SAMPLE_ROWS / limit)
+    seen = df.sample(share, 17) if share < 1 else df
+    counts = seen.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).alias("_n"))
+    return counts.filter(F.col("_n") > limit).collect(), share
+
+
 def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK) -> Segmented:
     """Add a segment column where keys hold more than ``rows_per_task`` rows.
 
     Large keys and their cuts are estimated on a sample, because they only decide how the work is
     divided: every row is kept, and the results do not depend on where the cuts fall.
     """
-    share = min(1.0, SAMPLE_ROWS / rows_per_task)
-    seen = df.sample(share, 17) if share < 1 else df
-    counts = seen.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).alias("_n"))
-    hot = counts.filter(F.col("_n") > rows_per_task).collect()  # about rows / rows_per_task keys
+    hot, share = large_keys(df, by, rows_per_task)
     if not hot:
         return Segmented(df, by, order, 0)
     spark = df.sparkSession

@@ -18,9 +18,9 @@ def u1(t):
     )
 
 
-@query("u2_replicate", "SELECT p_partkey, c::INT AS copy FROM part, range(1, 1 + 10000 // (SELECT count(*) FROM part)) r(c)")
+@query("u2_replicate", "SELECT p_partkey, c::INT AS copy FROM part, range(1, 1 + (SELECT count(*) FROM orders) // (SELECT count(*) FROM part)) r(c)")
 def u2(t):
-    return relations.replicate(t.part.select("p_partkey"), 10_000)
+    return relations.replicate(t.part.select("p_partkey"), t.orders.count())
 
 
 @query("u3_distinct_sorted", "SELECT DISTINCT p_brand, p_type FROM part")

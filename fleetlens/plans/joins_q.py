@@ -4,21 +4,17 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import cluster, quotas, relations, tracking
 from fleetlens.plans.registry import query
-from fleetlens.plans.sources_q import scratch  # noqa: F401
 from fleetlens.sources import queue
 
-PAGED = "(row_number() OVER (PARTITION BY {fk} ORDER BY {key}) - 1) // {n}"
-
-
 @query(
     "j1_nest",
-    """WITH p AS (SELECT c_nationkey, c_custkey, c_name, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 25 AS page FROM customer WHERE c_acctbal > 8000),
+    """WITH p AS (SELECT c_nationkey, c_custkey, c_name, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 25 AS page FROM customer),
     g AS (SELECT c_nationkey, page, CAST(to_json(list({'c_custkey': c_custkey, 'c_name': c_name} ORDER BY c_custkey)) AS VARCHAR) AS employees FROM p GROUP BY ALL)
     SELECT n_nationkey, n_name, coalesce(page, 0) AS page, coalesce(employees, '[]') AS employees FROM nation LEFT JOIN g ON n_nationkey = c_nationkey""",
 )
 def j1(t):
     out = relations.nest(
-        t.nation.select("n_nationkey", "n_name"), t.customer.filter("c_acctbal > 8000"), "n_nationkey", "c_nationkey", "employees",
+        t.nation.select("n_nationkey", "n_name"), t.customer, "n_nationkey", "c_nationkey", "employees",
         ["c_custkey"], ["c_custkey", "c_name"], page_rows=25, rows_per_task=t.rows_per_task,
     )
     return out.withColumn("employees", F.to_json("employees"))
@@ -96,15 +92,15 @@ def j6(t):
 @query(
     "j7_reject_duplicates",
     """WITH new AS (SELECT o_orderkey, o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'O'),
-      old AS (SELECT o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000),
+      old AS (SELECT o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'F'),
       n AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY o_orderkey) AS re, row_number() OVER (PARTITION BY username ORDER BY o_orderkey) AS ru FROM new)
     SELECT o_orderkey, CASE WHEN email IN (SELECT email FROM old) OR re > 1 THEN 'Email already registered'
       WHEN username IN (SELECT username FROM old) OR ru > 1 THEN 'Username already taken' END AS error FROM n""",
 )
 def j7(t):
-    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("email"), F.col("o_orderdate").alias("username"), "o_orderstatus", "o_totalprice")
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("email"), F.col("o_orderdate").alias("username"), "o_orderstatus")
     new = rows.filter("o_orderstatus = 'O'").select("o_orderkey", "email", "username")
-    old = rows.filter("o_orderstatus = 'F' AND o_totalprice > 400000").select("email", "username")
+    old = rows.filter("o_orderstatus = 'F'").select("email", "username")
     keys = [("email", "Email already registered"), ("username", "Username already taken")]
     return relations.reject_duplicates(new, old, keys, ["o_orderkey"]).select("o_orderkey", "error")
 
@@ -253,6 +249,7 @@ def j14(t):
     return cluster.match_selector(selectors, objects)
 
 
+# fixed values: labels, ports and operators of the tenant policies
 def tenant_policies(name):
     """The tenant isolation set: own tenant, shared services, web egress, other tenants, agents."""
     mine = {"ns": {"labels": {"tenant": name}}}
@@ -303,6 +300,7 @@ def j15(t):
     return cluster.policy_verdict(flows, tenant_policies("acme")).select("event_id", "allowed")
 
 
+# fixed values: the rules of the two tenant roles
 ROLE_RULES = [
     ("tenant-user", [
         (["", "apps", "batch"], ["pods", "services", "deployments", "jobs"], ["get", "list", "watch", "create", "update", "patch"]),

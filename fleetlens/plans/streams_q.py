@@ -188,7 +188,7 @@ def summarise():
 )
 def x1(t):
     as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    out = inference.predict(t.documents.select("doc_id", "text"), "text", summarise, "stub", as_of, 8, ["doc_id"])
+    out = inference.predict(t.documents.select("doc_id", "text"), "text", summarise, "stub", as_of, t.spark.sparkContext.defaultParallelism, ["doc_id"])
     return out.select("doc_id", F.md5("text").alias("prompt"), "generated_text", "model")
 
 

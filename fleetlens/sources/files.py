@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.segments import ROWS_PER_TASK, bounded_broadcast, large_keys
+
 
 def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -34,10 +36,19 @@ def write_report(df: DataFrame, path: str, cols: list[str], title: str, as_of: s
     lines.orderBy("section", "line").select("line").write.mode("overwrite").text(path)
 
 
-def write_tenant_partitioned(df: DataFrame, path: str, tenant: str, spread: list[str], tasks_per_tenant: int = 8) -> None:
-    """One folder per tenant. A tenant's rows are spread over several tasks, so a large one is no straggler."""
-    salt = F.pmod(F.xxhash64(*spread), F.lit(tasks_per_tenant))
-    df.repartition(F.col(tenant), salt).write.mode("overwrite").partitionBy(tenant).parquet(path)
+def write_tenant_partitioned(
+    df: DataFrame, path: str, tenant: str, spread: list[str], rows_per_file: int = ROWS_PER_TASK
+) -> None:
+    """One folder per tenant. A large tenant is written by as many tasks as it needs files, a small one by one."""
+    large, _ = large_keys(df, [tenant], rows_per_file)
+    field = df.schema[tenant].dataType.simpleString()
+    sizes = df.sparkSession.createDataFrame(
+        [(r[tenant], -(-r["_n"] // rows_per_file)) for r in large], f"_tenant {field}, _files long"
+    )
+    marked = df.join(bounded_broadcast(sizes, len(large)), F.col(tenant).eqNullSafe(F.col("_tenant")), "left")
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_files", F.lit(1)))
+    rows = marked.repartition(F.col(tenant), salt).drop("_tenant", "_files")
+    rows.write.mode("overwrite").partitionBy(tenant).parquet(path)
 
 
 def read_tenant(spark: SparkSession, path: str, tenant: str, value) -> DataFrame:

@@ -26,8 +26,16 @@ def from_messages(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.select("key", F.from_json(F.col("value").cast("string"), schema).alias("m")).select("key", "m.*")
 
 
-def write_jobs(messages: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None) -> None:
-    """Write (key, value). Kafka's own partitioner keeps a tenant on one partition."""
+def write_jobs(
+    messages: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None, order: list[str] | None = None
+) -> None:
+    """Write (key, value). Kafka's own partitioner keeps a tenant on one partition.
+
+    With ``order`` a tenant's messages also arrive in that order, which takes one writer per tenant;
+    without it a large tenant is written by many tasks.
+    """
+    if order:
+        messages = messages.repartition("key").sortWithinPartitions("key", *order).drop(*order)
     if kafka:
         messages.write.format("kafka").options(**{"kafka.acks": "all", **kafka}).save()
     else:
