@@ -11,6 +11,7 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,8 +226,19 @@ class IntakeMachine(Machine):
         return "accepted" if self.locks.acquire(state["locks"], key, now) else "duplicate"
 
     def run(self, state, chunk):
-        rows = zip(chunk["_us"].tolist(), chunk["_error"], chunk["_lock"])
-        return state, {"outcome": [self.decide(state, *row) for row in rows]}
+        valid = np.flatnonzero(pd.isna(chunk["_error"]))
+        times, locks = chunk["_us"][valid], chunk["_lock"][valid]
+        decided = np.full(len(valid), "throttled", dtype=object)
+        i = 0
+        while i < len(valid):
+            decided[i] = self.decide(state, int(times[i]), None, locks[i])
+            if decided[i] == "throttled":  # nothing is admitted before retry_at, so skip to it
+                i = max(i + 1, int(np.searchsorted(times, self.throttle.retry_at(state["throttle"]))))
+            else:
+                i += 1
+        outcome = np.full(len(chunk["_us"]), "invalid", dtype=object)
+        outcome[valid] = decided
+        return state, {"outcome": outcome}
 
 
 def _micros(ts: str) -> Column:

@@ -48,7 +48,7 @@ class Machine:
     def load(self, text: str):
         raise NotImplementedError
 
-    def run(self, state, chunk: dict[str, np.ndarray]) -> tuple[object, dict[str, list]]:
+    def run(self, state, chunk: dict[str, np.ndarray]) -> tuple[object, dict[str, np.ndarray]]:
         raise NotImplementedError
 
 
@@ -83,10 +83,12 @@ def _label_batches(machine: Machine, keys: list[str], columns: list[str], out_sc
                 if a < b:
                     state, part = machine.run(state, _chunk(machine, batch, a, b))
                     for name, values in part.items():
-                        made[name].extend(values)
+                        made[name].append(values)
             rows = batch if entry is None else batch.filter(pc.is_null(entry))
             if rows.num_rows:
-                arrays = [rows.column(c) for c in columns] + [pa.array(made[f.name], f.type) for f in out_schema]
+                arrays = [rows.column(c) for c in columns] + [
+                    pa.array(np.concatenate(made[f.name]), f.type) for f in out_schema
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns + out_schema.names)
 
     return run

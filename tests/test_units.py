@@ -313,6 +313,30 @@ def test_report_file(spark, tmp_path):
     assert set(lines) >= {"Title", "| a | 1 |", "| b | 2 |", "Total images found: 2"}
 
 
+def test_large_tenant_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "big").otherwise(F.concat(F.lit("t"), F.col("id") % 5)).alias("org"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the fixture is tiny
+    try:
+        files.write_tenant_partitioned(df, str(tmp_path / "o"), "org", ["id"], rows_per_file=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "o" / "org=big").glob("*.parquet"))) > 2
+    assert files.read_tenant(spark, str(tmp_path / "o"), "org", "big").count() == 900
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1000
+
+
+def test_queue_keeps_order_per_tenant(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), F.col("id").cast("string").alias("value"), (-F.col("id")).alias("at"))
+    queue.write_jobs(rows, str(tmp_path / "q"), order=["at"])
+    out = spark.read.parquet(str(tmp_path / "q")).select("key", "value", F.spark_partition_id().alias("p"))
+    assert out.groupBy("key").agg(F.count_distinct("p").alias("n")).filter("n > 1").isEmpty()
+    for batch in (tmp_path / "q").glob("*.parquet"):
+        seen = {}
+        for r in spark.read.parquet(str(batch)).collect():
+            assert int(r["value"]) < seen.get(r["key"], 10**9)
+            seen[r["key"]] = int(r["value"])
+
+
 def test_predict_batches(spark):
     class Model:
         def __call__(self, prompts):
