@@ -15,3 +15,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted = count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.packing import best_fit, pieces
+
+    return best_fit(pieces(documents(spark, sf_dir)))
