@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import documents
+from fleetlens.llm.common import documents, remainder
 from fleetlens.llm.registry import query
 
 
@@ -22,3 +22,34 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.llm.packing import best_fit, pieces
 
     return best_fit(pieces(documents(spark, sf_dir)))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.score(docs, quality_weights(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def quality_weights(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Weights learned from the labelled ids whose remainder by 3 is not 1."""
+    from fleetlens.llm import quality
+
+    labels = documents(spark, sf_dir, "labels")
+    allowed = remainder(F.col("doc_id"), 3) != 1
+    return quality.train(quality.sample_of(docs.select("doc_id", "text"), labels, "quality", allowed))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm import quality, rules
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    allowed = remainder(F.col("doc_id"), 3) != 1
+    sample = quality.sample_of(docs, documents(spark, sf_dir, "labels"), "quality", allowed)
+    return rules.judge(docs, rules.train(sample)).select("doc_id", *rules.COUNTS, "base_failed", "kept")
