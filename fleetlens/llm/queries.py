@@ -53,3 +53,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = remainder(F.col("doc_id"), 3) != 1
     sample = quality.sample_of(docs, documents(spark, sf_dir, "labels"), "quality", allowed)
     return rules.judge(docs, rules.train(sample)).select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+@query(
+    "op1_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+    )
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+)
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.search import top_k
+
+    return top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
