@@ -75,3 +75,12 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.llm.search import top_k
 
     return top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir))
+    hexadecimal = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
