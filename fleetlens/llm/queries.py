@@ -84,3 +84,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     hexadecimal = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.lm import score
+
+    doc_id = F.col("doc_id")
+    # the learning documents with remainder 1 (a ninth of them) are the deleted part
+    scored = score(documents(spark, sf_dir), remainder(doc_id, 10) != 0, remainder(doc_id, 10) == 1)
+    return scored.withColumn("held_out", F.coalesce(remainder(doc_id, 10) == 0, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
