@@ -103,3 +103,19 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.llm.repeats import repeated, sha256
 
     return sha256(repeated(documents(spark, sf_dir)))
+
+
+@query("op6_source_mixing")
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.mixing import mix_sources, tempered
+
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mix_sources(docs, tempered(docs)).select("doc_id", "source", "epoch", "block", "slot")
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.language import identify, learn
+
+    languages, table = learn(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+    return identify(documents(spark, sf_dir, "pages"), languages, table)
