@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 # fixed values: quantity suffixes
 FACTORS = {
-    "m": 1e-3, "": 1.0, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15, "E": 1e18,
+    "n": 1e-9, "u": 1e-6, "m": 1e-3, "": 1.0, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15, "E": 1e18,
     "Ki": 2.0**10, "Mi": 2.0**20, "Gi": 2.0**30, "Ti": 2.0**40, "Pi": 2.0**50, "Ei": 2.0**60,
 }
 
 
 def quantity(c: Column) -> Column:
-    """500m, 4Gi, 1 or 100Mi as a number; null for anything else."""
-    pattern = r"^([+-]?[0-9.]+)(|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei)$"
+    """500m, 4Gi, 1, 1e3 or 100Mi as a number; null for anything else. An exponent takes no suffix."""
+    pattern = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+(?=$))?)(|n|u|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei)$"
     factors = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
     number = F.regexp_extract(c, pattern, 1).try_cast("double")
     return F.when(c.rlike(pattern), number * F.try_element_at(factors, F.regexp_extract(c, pattern, 2)))

@@ -30,11 +30,14 @@ def relabel(df: DataFrame, rules: list[dict], labels: str = "labels") -> DataFra
         m = F.col(labels)
         if action == "labelmap":
             hits = F.map_filter(m, lambda k, _: k.rlike(whole))
-            made = F.map_from_entries(
-                F.transform(
-                    F.map_entries(hits),
-                    lambda e: F.struct(F.regexp_replace(e["key"], whole, rule.get("replacement", "$1")), e["value"]),
-                )
+            # two labels may get one name: the later of them, by their old names, wins
+            renamed = F.transform(
+                F.array_sort(F.map_entries(hits)),
+                lambda e: F.struct(F.regexp_replace(e["key"], whole, rule.get("replacement", "$1")).alias("k"), e["value"].alias("v")),
+            )
+            made = F.aggregate(
+                renamed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
+                lambda done, e: F.map_concat(F.map_filter(done, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])),
             )
             df = df.withColumn("_made", made)
             kept = F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys("_made"), k))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.quotas import ratio
-from fleetlens.operators.segments import ROWS_PER_TASK, Scan, running, split, scan
+from fleetlens.operators.segments import ROWS_PER_TASK, Scan, ranged, running, scan, split
 
 BAD = lambda: F.when(~F.col("ok"), 1).otherwise(0)
 
@@ -205,40 +207,47 @@ def trace_stats(spans: DataFrame) -> DataFrame:
     )
 
 
-MAX_RANGE_STEPS = 100
-
-
 def counter_rate(samples: DataFrame, by: list[str], range_seconds: int, step_seconds: int, tie: str | None = None) -> DataFrame:
     """Per-second rate of a counter over (t - range, t] at every step t, corrected for resets and extrapolated.
 
-    Samples (ts, value) are first reduced to one row per step and only those rows are sent to the
-    ticks whose range holds them; a hot series is spread over its steps.
+    Samples (ts, value) are first reduced to one row per cell, the longest time that both the range and the step are
+    whole numbers of. Ranges of any length are then answered by running aggregates, linear in cells and ticks.
     """
-    if range_seconds % step_seconds or range_seconds // step_seconds > MAX_RANGE_STEPS:
-        raise ValueError("the range must be a multiple of the step, at most 100 of them")
-    step, reach = step_seconds * 10**6, range_seconds // step_seconds
+    unit = math.gcd(range_seconds, step_seconds) * 10**6
+    step, reach = step_seconds * 10**6, range_seconds * 10**6
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     order = ["_us", *([tie] if tie else [])]
-    rows = samples.withColumn("_us", us).withColumn("_step", F.ceil(F.col("_us") / F.lit(step)).cast("long"))
-    inside = Window.partitionBy(*by, "_step").orderBy(*order)  # at most one step of one series
+    rows = samples.withColumn("_us", us).withColumn("_cell", F.ceil(F.col("_us") / F.lit(unit)).cast("long") * unit)
+    inside = Window.partitionBy(*by, "_cell").orderBy(*order)  # at most one cell of one series
     drop = F.lag("value").over(inside)
     rows = rows.withColumn("_reset", F.when(drop > F.col("value"), drop).otherwise(0.0))
     at = F.struct(*order)
-    steps = rows.groupBy(*by, "_step").agg(
+    cells = rows.groupBy(*by, "_cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("_us").alias("t0"), F.max("_us").alias("t1"),
         F.min_by("value", at).alias("v0"), F.max_by("value", at).alias("v1"), F.sum("_reset").alias("reset"),
     )
-    chain = Window.partitionBy(*by).orderBy("_step")  # one row per step, whatever the data volume
-    steps = steps.withColumns({"_before": F.lag("_step").over(chain), "_v": F.lag("v1").over(chain)}).withColumn(
-        "_jump", F.when(F.col("_v") > F.col("v0"), F.col("_v")).otherwise(0.0)
+    chain = Window.partitionBy(*by).orderBy("_cell")  # one row per cell, whatever the data volume
+    tick_from = lambda c: F.ceil(c / F.lit(step)).cast("long")
+    cells = cells.withColumns({"_v": F.lag("v1").over(chain), "_next": F.lead("_cell").over(chain)}).withColumns({
+        "_jump": F.when(F.col("_v") > F.col("v0"), F.col("_v")).otherwise(0.0),
+        "_from": tick_from(F.col("_cell")),
+        # the ticks up to the next cell's are this one's to name, as far as its range goes
+        "_to": F.least(tick_from(F.col("_cell") + reach), tick_from(F.col("_next"))) - 1,
+    })
+    own = cells.select(
+        *by, F.col("_cell").alias("_at"), F.lit(None).cast("long").alias("tick"), "n",
+        F.struct("t0", "v0", "_jump").alias("first"), F.struct("t1", "v1").alias("last"),
+        (F.col("reset") + F.col("_jump")).alias("reset"),
+    )
+    ticks = cells.filter("_from <= _to").select(*by, F.explode(F.sequence("_from", "_to")).alias("tick"))
+    points = own.unionByName(ticks.withColumn("_at", F.col("tick") * step), allowMissingColumns=True)
+    wanted = {"n": Scan("sum", F.col("n")), "first": Scan("min", F.col("first")), "last": Scan("max", F.col("last")), "reset": Scan("sum", F.col("reset"))}
+    found = ranged(points, by, F.col("_at"), 1 - reach, 0, {"_" + k: v for k, v in wanted.items()})
+    sums = found.filter(F.col("tick").isNotNull() & (F.col("_n") >= 2)).select(
+        *by, "tick", F.col("_n").alias("n"), "_first.t0", "_last.t1", "_first.v0", "_last.v1",
+        # a fall into the range's first cell happened before the range
+        (F.col("_reset") - F.col("_first._jump")).alias("reset"),
     )
-    ticks = steps.withColumn("tick", F.explode(F.sequence(F.col("_step"), F.col("_step") + (reach - 1))))
-    linked = F.col("_before") > F.col("tick") - reach
-    sums = ticks.groupBy(*by, "tick").agg(
-        F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
-        F.min_by("v0", "_step").alias("v0"), F.max_by("v1", "_step").alias("v1"),
-        F.sum(F.col("reset") + F.when(linked, F.col("_jump")).otherwise(0.0)).alias("reset"),
-    ).filter("n >= 2")
     end = F.col("tick") * step
     sampled = (F.col("t1") - F.col("t0")) / 1e6
     gap = sampled / (F.col("n") - 1)

@@ -37,12 +37,18 @@ def with_quota(accounts: DataFrame, tier: str) -> DataFrame:
 def quota_usage(usage: DataFrame, quotas: DataFrame) -> DataFrame:
     """(namespace, resource, amount text) summed per namespace and compared with ``hard`` text.
 
-    Equal texts are counted first, so each is parsed once.
+    Equal texts are counted first, so each is parsed once. ``unread`` counts amounts that are no quantities and so
+    not in the sum.
     """
     counted = usage.groupBy("namespace", "resource", "amount").agg(F.count(F.lit(1)).alias("_n"))
-    used = counted.groupBy("namespace", "resource").agg(F.sum(quantity(F.col("amount")) * F.col("_n")).alias("used"))
+    amount = quantity(F.col("amount"))
+    used = counted.groupBy("namespace", "resource").agg(
+        F.sum(amount * F.col("_n")).alias("used"), F.sum(F.when(amount.isNull(), F.col("_n"))).alias("unread")
+    )
     limits = quotas.select("namespace", "resource", quantity(F.col("hard")).alias("hard"))
-    out = limits.join(used, ["namespace", "resource"], "left").withColumn("used", F.coalesce("used", F.lit(0.0)))
+    out = limits.join(used, ["namespace", "resource"], "left").withColumns(
+        {"used": F.coalesce("used", F.lit(0.0)), "unread": F.coalesce("unread", F.lit(0))}
+    )
     return out.withColumn("exceeded", F.col("used") > F.col("hard"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.segments import ROWS_PER_TASK, Scan, running
+from fleetlens.session import checkpoint_dir
 
 PAGE_ROWS = 1000
 
@@ -69,24 +71,61 @@ def delete_cascade(
     )
 
 
+def _least(rows: DataFrame, value: str, place: Column, named: str) -> DataFrame:
+    """Least place per value; combined before the shuffle, so a value of very many rows stays spread out."""
+    return rows.groupBy(F.col(value).alias(f"_{named}")).agg(F.min(place).alias(f"_{named}_at"))
+
+
 def reject_duplicates(
     new: DataFrame, existing: DataFrame, keys: list[tuple[str, str]], order: list[str]
 ) -> DataFrame:
-    """Error of the first key already taken by existing rows or by an earlier new row.
+    """Error of each new row whose value of a key is held by an existing row or an earlier accepted new one.
 
-    ``keys`` are (column, message). The earliest new row per value is found by a partial
-    aggregate and joined back, so a value shared by very many rows stays spread out.
+    ``keys`` are (column, message); ``order`` columns stand in both tables and are unique in each. The holder that
+    came first decides the message, and of one holder the first key. A refused row holds nothing, so rows that clash
+    with new rows only are settled in rounds: a row with no open row before it under any key is accepted, which refuses
+    those it clashes with. Rounds grow with the longest chain of clashes, and only open rows go on.
     """
-    errors = []
-    out = new
-    for i, (k, message) in enumerate(keys):
-        taken = existing.select(F.col(k).alias(f"_v{i}")).distinct().withColumn(f"_t{i}", F.lit(True))
-        first = new.groupBy(F.col(k).alias(f"_w{i}")).agg(F.min(F.struct(*order)).alias(f"_f{i}"))
-        out = out.join(taken, out[k] == F.col(f"_v{i}"), "left").join(first, out[k] == F.col(f"_w{i}"), "left")
-        clash = F.col(f"_t{i}").isNotNull() | (F.struct(*order) > F.col(f"_f{i}"))
-        errors.append(F.when(clash, F.lit(message)))
-    helpers = [f"_{p}{i}" for i in range(len(keys)) for p in "vtwf"]
-    return out.withColumn("error", F.coalesce(*errors)).drop(*helpers)
+    path = f"{checkpoint_dir(new.sparkSession)}/clashes-{uuid.uuid4().hex}"
+    place = F.struct(*order)
+    names = [k for k, _ in keys]
+    rows = new.select(*dict.fromkeys([*order, *names]))
+
+    def holders(of: DataFrame, from_: DataFrame, tag: str) -> DataFrame:
+        for i, k in enumerate(names):
+            least = _least(from_, k, place, f"{tag}{i}")
+            of = of.join(least, F.col(k) == F.col(f"_{tag}{i}"), "left").drop(f"_{tag}{i}")
+        return of
+
+    old = holders(rows, existing, "old")
+    taken = F.coalesce(*[F.col(f"_old{i}_at") for i in range(len(keys))]).isNotNull()
+    open_, accepted, turn = old.filter(~taken).select(*rows.columns), None, 0
+    while True:
+        seen = holders(open_, open_, "open")
+        first = reduce(lambda a, b: a & b, [
+            F.col(f"_open{i}_at").isNull() | (F.col(f"_open{i}_at") == place) for i in range(len(keys))
+        ])
+        seen.withColumn("_first", first).select(*rows.columns, "_first").write.parquet(f"{path}/{turn}")
+        seen = new.sparkSession.read.parquet(f"{path}/{turn}")
+        won = seen.filter("_first").drop("_first")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        rest = seen.filter("NOT _first").drop("_first")
+        if rest.isEmpty():
+            break
+        rest = holders(rest, won, "won")
+        lost = F.coalesce(*[F.col(f"_won{i}_at") for i in range(len(keys))]).isNotNull()
+        open_, turn = rest.filter(~lost).select(*rows.columns), turn + 1
+    # the earliest holder of any of a row's values: existing rows first, then accepted ones that came before it
+    out = holders(holders(new, existing, "old"), accepted, "won")
+    clashes = []
+    for i, (_, message) in enumerate(keys):
+        before = F.when(F.col(f"_won{i}_at") < place, F.struct(F.lit(1).alias("s"), F.col(f"_won{i}_at").alias("at")))
+        held = F.when(F.col(f"_old{i}_at").isNotNull(), F.struct(F.lit(0).alias("s"), F.col(f"_old{i}_at").alias("at")))
+        holder = F.coalesce(held, before)
+        clashes.append(F.when(holder.isNotNull(), F.struct(holder.alias("h"), F.lit(i).alias("i"), F.lit(message).alias("m"))))
+    error = F.least(*clashes)["m"] if len(clashes) > 1 else clashes[0]["m"]
+    helpers = [f"_{tag}{i}_at" for i in range(len(keys)) for tag in ("old", "won")]
+    return out.withColumn("error", error).drop(*helpers)
 
 
 def with_owner(items: DataFrame, users: DataFrame, owner_id: str, user_id: str, fields: list[str]) -> DataFrame:
@@ -110,8 +149,17 @@ def resolve_user(df: DataFrame, directory: DataFrame, email: str, user_id: str =
     return out.withColumn("reason", reason).withColumn("resolved_id", F.when(reason.isNull(), F.col("resolved_id")))
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Full rows by key: a change replaces its row or adds it."""
+def last_change(changes: DataFrame, key: str, order: list[str] | None) -> DataFrame:
+    """One change per key, the last by ``order``; without an order keys are taken to be unique."""
+    if not order:
+        return changes
+    rest = [c for c in changes.columns if c != key]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Full rows by key: the last change of a key replaces its row or adds it."""
+    changes = last_change(changes, key, order)
     c = changes.select(F.col(key).alias("_key"), F.struct(*[x for x in base.columns if x != key]).alias("_new"))
     both = base.join(c, base[key] == c["_key"], "full")
     pick = lambda x: F.when(F.col("_key").isNotNull(), F.col("_new")[x]).otherwise(F.col(x)).alias(x)
@@ -120,13 +168,22 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def patch(
     base: DataFrame, patches: DataFrame, key: str, stamp: Column, set_fields: str = "set_fields",
-    password: str | None = None, hashed: str | None = None,
+    password: str | None = None, hashed: str | None = None, order: list[str] | None = None,
 ) -> DataFrame:
     """Only fields named in ``set_fields`` overwrite, also with null; ``updated_at`` is stamped.
 
-    A set ``password`` is stored as its hash in the column ``hashed`` and nowhere else.
+    A set ``password`` is stored as its hash in the column ``hashed`` and nowhere else. Several patches of a key
+    are folded field by field in ``order``: each field has the value of the last patch that names it.
     """
-    fields = [c for c in patches.columns if c not in (key, set_fields)]
+    fields = [c for c in patches.columns if c not in (key, set_fields, *(order or []))]
+    if order:
+        named = lambda f: F.array_contains(set_fields, f)
+        at = F.struct(*order)
+        folded = [F.max_by(f, F.when(named(f), at)).alias(f) for f in fields]
+        sets = F.filter(
+            F.array(*[F.when(F.bool_or(named(f)), F.lit(f)) for f in fields]), lambda f: f.isNotNull()
+        )  # flags per field, so that a key of very many patches stays one small row
+        patches = patches.groupBy(key).agg(sets.alias(set_fields), *folded)
     p = patches.select(F.col(key).alias("_key"), F.col(set_fields).alias("_set"), F.struct(*fields).alias("_new"))
     both = base.join(p, base[key] == p["_key"], "left")
     given = lambda f: F.coalesce(F.array_contains("_set", f), F.lit(False))
@@ -143,8 +200,11 @@ def patch(
     return both.select(*out)
 
 
-def update_where(base: DataFrame, changes: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """Base with ``column`` replaced for matching keys, and per key whether a row changed."""
+def update_where(
+    base: DataFrame, changes: DataFrame, key: str, column: str, order: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Base with ``column`` replaced for matching keys by their last change, and per key whether a row changed."""
+    changes = last_change(changes, key, order)
     c = changes.select(F.col(key).alias("_key"), F.col(column).alias("_new"))
     both = base.join(c, base[key] == c["_key"], "left")
     value = F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(F.col(column))

@@ -72,11 +72,22 @@ def diff_snapshots(prev: DataFrame, curr: DataFrame, key: list[str]) -> DataFram
 
 
 def change_events(
-    polls: DataFrame, key: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK
+    polls: DataFrame, key: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK,
+    run: list[str] | None = None,
 ) -> DataFrame:
-    """The same lines over a whole history of polls, each job compared with its previous poll."""
-    state = F.struct("status", "conclusion")
+    """The same lines over a whole history of polls, each job compared with the poll before.
+
+    ``run`` names the key columns of what is polled as a whole (default: the whole key). A job that was missing from
+    the run's previous poll is new again.
+    """
+    run = run or key
+    state = F.struct(F.struct(*order).alias("at"), "status", "conclusion")
     rows = running(polls, key, order, {"_old": Scan("lag", state)}, rows_per_task)
+    if run != key:
+        listed = polls.select(*run, *order).distinct()
+        before = running(listed, run, order, {"_before": Scan("lag", F.struct(*order))}, rows_per_task)
+        rows = rows.join(before, [*run, *order])
+        rows = rows.withColumn("_old", F.when(F.col("_old.at") == F.col("_before"), F.col("_old"))).drop("_before")
     is_new = F.col("_old").isNull()
     same = F.col("status").eqNullSafe(F.col("_old.status")) & F.col("conclusion").eqNullSafe(F.col("_old.conclusion"))
     line = change_line(F.col("name"), F.col("status"), F.col("conclusion"), is_new)
@@ -96,6 +107,15 @@ def run_created(
     return fresh.withColumn("line", line).withColumn("level", level_of(F.col("line")))
 
 
+def suffix_keys(runs: DataFrame, path: str, dispatch: DataFrame, tail: str) -> DataFrame:
+    """``runs`` once for each value of the dispatches' ``tail`` that their path ends in, as column ``tail``.
+
+    Paths are cut into all their ends, at most one for each sign, so the match is an equi-join."""
+    ends = F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.col(path).substr(i, F.length(path)))
+    wanted = dispatch.select(tail).distinct()
+    return runs.filter(F.length(path) > 0).withColumn(tail, F.explode(ends)).join(wanted, tail, "left_semi")
+
+
 def correlate(
     dispatch: DataFrame, runs: DataFrame, by: list[str], early: int = 30, late: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,

@@ -59,12 +59,15 @@ def u6(t):
     return relations.build_report(t.conversations, "conv_id", ["turn"], F.upper("role"), F.col("text"), rows_per_task=t.rows_per_task)
 
 
-CHANGES = "(SELECT c_custkey + 750 AS c_custkey, c_name || '*' AS c_name, c_nationkey FROM customer WHERE c_acctbal > 5000)"
+# up to three changes meet in one key; the last, by the customer they come from, counts
+CHANGES = """(SELECT c_custkey + 750 - c_custkey % 3 AS c_custkey, max_by(c_name || '*', c_custkey) AS c_name, max_by(c_nationkey, c_custkey) AS c_nationkey
+      FROM customer WHERE c_acctbal > 5000 GROUP BY 1)"""
 
 
 def changes(t):
     return t.customer.filter("c_acctbal > 5000").select(
-        (F.col("c_custkey") + 750).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"), "c_nationkey"
+        (F.col("c_custkey") + 750 - F.col("c_custkey") % 3).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"),
+        "c_nationkey", F.col("c_custkey").alias("seq"),
     )
 
 
@@ -74,13 +77,13 @@ def changes(t):
     FROM customer b FULL JOIN {CHANGES} x ON b.c_custkey = x.c_custkey""",
 )
 def u7(t):
-    return relations.upsert(t.customer.select("c_custkey", "c_name", "c_nationkey"), changes(t), "c_custkey")
+    return relations.upsert(t.customer.select("c_custkey", "c_name", "c_nationkey"), changes(t), "c_custkey", ["seq"])
 
 
 @query(
     "u8_patch",
     """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN NULL WHEN c_acctbal > 0 THEN c_name || '!' ELSE c_name END AS c_name,
-      CASE WHEN c_acctbal > 0 AND c_acctbal <= 5000 THEN sha256('pw' || c_custkey) ELSE 'old' END AS hashed_password, c_mktsegment,
+      CASE WHEN c_acctbal > 0 AND c_acctbal <= 5000 THEN sha256('pw' || c_custkey) ELSE 'old' END AS hashed_password, CASE WHEN c_acctbal > 0 AND c_custkey % 4 = 0 THEN 'LATE' ELSE c_mktsegment END AS c_mktsegment,
       CASE WHEN c_acctbal > 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM customer""",
 )
 def u8(t):
@@ -92,9 +95,19 @@ def u8(t):
         F.when(rich, F.array(F.lit("c_name"))).otherwise(F.array(F.lit("c_name"), F.lit("password"))).alias("set_fields"),
         F.when(~rich, F.concat("c_name", F.lit("!"))).alias("c_name"),
         F.concat(F.lit("pw"), F.col("c_custkey")).alias("password"),
-        F.lit("ignored").alias("c_mktsegment"),
+        F.lit("ignored").alias("c_mktsegment"), F.lit(2).alias("seq"),
+    )
+    # an earlier patch of the name that is overwritten, and a later one of another field
+    other = lambda rows, field, value, seq: rows.select(
+        "c_custkey", F.array(F.lit(field)).alias("set_fields"), F.lit(value).alias("c_name"), F.lit(None).cast("string").alias("password"),
+        F.lit(value).alias("c_mktsegment"), F.lit(seq).alias("seq"),
+    )
+    positive = t.customer.filter("c_acctbal > 0")
+    patches = patches.unionByName(other(positive.filter("c_custkey % 5 = 0"), "c_name", "early", 1))
+    patches = patches.unionByName(other(positive.filter("c_custkey % 4 = 0"), "c_mktsegment", "LATE", 3))
+    return relations.patch(
+        base, patches, "c_custkey", day("2024-02-01 00:00:00"), password="password", hashed="hashed_password", order=["seq"]
     )
-    return relations.patch(base, patches, "c_custkey", day("2024-02-01 00:00:00"), password="password", hashed="hashed_password")
 
 
 @query(
@@ -103,7 +116,7 @@ def u8(t):
     UNION ALL SELECT 'report', x.c_custkey, NULL, b.c_custkey IS NOT NULL FROM {CHANGES} x LEFT JOIN customer b ON b.c_custkey = x.c_custkey""",
 )
 def u9(t):
-    rows, report = relations.update_where(t.customer.select("c_custkey", "c_name"), changes(t), "c_custkey", "c_name")
+    rows, report = relations.update_where(t.customer.select("c_custkey", "c_name"), changes(t), "c_custkey", "c_name", ["seq"])
     return rows.withColumns({"part": F.lit("row"), "changed": F.lit(False)}).unionByName(report.withColumn("part", F.lit("report")), allowMissingColumns=True)
 
 

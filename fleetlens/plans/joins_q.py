@@ -67,40 +67,52 @@ BIG_ORDERS = "SELECT * FROM orders WHERE o_totalprice > 100000"
 
 @query(
     "j5_enforce_fk",
-    f"""SELECT 'accepted' AS verdict, count(*) AS n, sum(l_partkey)::BIGINT AS checksum FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM ({BIG_ORDERS}))
-    UNION ALL SELECT 'orphan', count(*), sum(l_partkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({BIG_ORDERS}))""",
+    f"""SELECT CASE WHEN o_orderkey IS NULL THEN 'orphan' ELSE 'accepted' END AS verdict, l_orderkey, l_linenumber, l_partkey, l_quantity
+    FROM lineitem LEFT JOIN ({BIG_ORDERS}) ON o_orderkey = l_orderkey""",
 )
 def j5(t):
     parents = t.orders.filter("o_totalprice > 100000").select("o_orderkey")
     ok, orphan = relations.enforce_fk(t.lineitem, parents, "l_orderkey", "o_orderkey")
-    tally = lambda df, v: df.agg(F.lit(v).alias("verdict"), F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("checksum"))
-    return tally(ok, "accepted").unionByName(tally(orphan, "orphan"))
+    rows = lambda df, v: df.select(F.lit(v).alias("verdict"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return rows(ok, "accepted").unionByName(rows(orphan, "orphan"))
 
 
 @query(
     "j6_delete_cascade",
-    f"""SELECT 'orders' AS tab, count(*) AS n, sum(o_orderkey)::BIGINT AS checksum FROM orders WHERE NOT o_totalprice > 100000
-    UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({BIG_ORDERS}))""",
+    f"""SELECT 'orders' AS tab, o_orderkey AS order_key, NULL::BIGINT AS line, o_totalprice AS price FROM orders WHERE NOT o_totalprice > 100000
+    UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({BIG_ORDERS}))""",
 )
 def j6(t):
     gone = t.orders.filter("o_totalprice > 100000").select("o_orderkey")
     parents, children = relations.delete_cascade(t.orders, t.lineitem, gone, "o_orderkey", "l_orderkey")
-    tally = lambda df, name, k: df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"), F.sum(k).alias("checksum"))
-    return tally(parents, "orders", "o_orderkey").unionByName(tally(children, "lineitem", "l_orderkey"))
+    rows = lambda df, tab, key, line, price: df.select(
+        F.lit(tab).alias("tab"), F.col(key).alias("order_key"), line.cast("long").alias("line"), F.col(price).alias("price")
+    )
+    return rows(parents, "orders", "o_orderkey", F.lit(None), "o_totalprice").unionByName(
+        rows(children, "lineitem", "l_orderkey", F.col("l_linenumber"), "l_extendedprice")
+    )
 
 
 @query(
     "j7_reject_duplicates",
-    """WITH new AS (SELECT o_orderkey, o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'O'),
-      old AS (SELECT o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'F'),
-      n AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY o_orderkey) AS re, row_number() OVER (PARTITION BY username ORDER BY o_orderkey) AS ru FROM new)
-    SELECT o_orderkey, CASE WHEN email IN (SELECT email FROM old) OR re > 1 THEN 'Email already registered'
-      WHEN username IN (SELECT username FROM old) OR ru > 1 THEN 'Username already taken' END AS error FROM n""",
+    """WITH RECURSIVE old AS (SELECT o_orderkey AS id, o_custkey AS email, o_orderdate AS username FROM orders WHERE o_orderstatus = 'F'),
+      r AS (SELECT 0 AS turn, o_orderkey AS id, o_custkey AS email, o_orderdate AS username,
+          CASE WHEN o_custkey IN (SELECT email FROM old) OR o_orderdate IN (SELECT username FROM old) THEN 'refused' ELSE 'open' END AS state
+        FROM orders WHERE o_orderstatus = 'O'
+        UNION ALL SELECT turn + 1, id, email, username, CASE WHEN state <> 'open' THEN state WHEN e_held OR u_held THEN 'refused' WHEN id = e_first AND id = u_first THEN 'accepted' ELSE 'open' END
+        FROM (SELECT *, bool_or(state = 'accepted') OVER (PARTITION BY email) AS e_held, bool_or(state = 'accepted') OVER (PARTITION BY username) AS u_held,
+            min(CASE WHEN state = 'open' THEN id END) OVER (PARTITION BY email) AS e_first, min(CASE WHEN state = 'open' THEN id END) OVER (PARTITION BY username) AS u_first,
+            bool_or(state = 'open') OVER () AS more FROM r) WHERE more),
+      f AS (SELECT * FROM r WHERE turn = (SELECT max(turn) FROM r)),
+      held AS (SELECT 0 AS s, id, email, username FROM old UNION ALL SELECT 1, id, email, username FROM f WHERE state = 'accepted'),
+      e AS (SELECT email, min((s, id)) AS at FROM held GROUP BY 1), u AS (SELECT username, min((s, id)) AS at FROM held GROUP BY 1),
+      c AS (SELECT f.id, CASE WHEN e.at < (1, f.id) THEN e.at END AS e_at, CASE WHEN u.at < (1, f.id) THEN u.at END AS u_at FROM f LEFT JOIN e USING (email) LEFT JOIN u USING (username))
+    SELECT id AS o_orderkey, CASE WHEN e_at IS NOT NULL AND (u_at IS NULL OR e_at <= u_at) THEN 'Email already registered' WHEN u_at IS NOT NULL THEN 'Username already taken' END AS error FROM c""",
 )
 def j7(t):
     rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("email"), F.col("o_orderdate").alias("username"), "o_orderstatus")
     new = rows.filter("o_orderstatus = 'O'").select("o_orderkey", "email", "username")
-    old = rows.filter("o_orderstatus = 'F'").select("email", "username")
+    old = rows.filter("o_orderstatus = 'F'").select("o_orderkey", "email", "username")
     keys = [("email", "Email already registered"), ("username", "Username already taken")]
     return relations.reject_duplicates(new, old, keys, ["o_orderkey"]).select("o_orderkey", "error")
 
@@ -163,6 +175,19 @@ def j10b(t):
     return tracking.correlate(*dispatches(t), ["user_id"], 30, late=6 * 3600)
 
 
+@query(
+    "j10_correlate_suffix",
+    """WITH d AS (SELECT event_id AS dispatch_id, ts, user_id % 10 || '.yml' AS workflow FROM events WHERE event_type = 'signup'),
+      r AS (SELECT event_id AS run_id, ts, '.github/workflows/wf-' || user_id || '.yml' AS path FROM events WHERE event_type = 'purchase')
+    SELECT workflow, dispatch_id, d.ts, min(run_id) AS run_id FROM d LEFT JOIN r ON ends_with(path, workflow) AND r.ts >= d.ts - INTERVAL 30 SECOND GROUP BY ALL""",
+)
+def j10s(t):
+    d, r = dispatches(t)
+    d = d.withColumn("workflow", F.concat((F.col("user_id") % 10).cast("string"), F.lit(".yml")))
+    r = r.withColumn("path", F.concat(F.lit(".github/workflows/wf-"), F.col("user_id").cast("string"), F.lit(".yml")))
+    return tracking.correlate(d, tracking.suffix_keys(r, "path", d, "workflow"), ["workflow"], rows_per_task=t.rows_per_task)
+
+
 @query(
     "j11_change_events",
     """WITH p AS (SELECT user_id, event_id, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events)

@@ -219,13 +219,15 @@ def a23(t):
 
 @query(
     "a24_quota_usage",
-    """WITH u AS (SELECT l_suppkey AS namespace, 'cpu' AS resource, sum(CAST(l_quantity AS INT) * 100) / 1000.0::DOUBLE AS used FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'memory', sum(l_linenumber) * 1048576.0::DOUBLE FROM lineitem GROUP BY 1),
+    """WITH u AS (SELECT l_suppkey AS namespace, 'cpu' AS resource, sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS INT) * 100 END) / 1000.0::DOUBLE AS used, count(*) FILTER (l_returnflag = 'R') AS unread FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'memory', sum(l_linenumber) * 1048576.0::DOUBLE, 0 FROM lineitem GROUP BY 1),
       q AS (SELECT s_suppkey AS namespace, 'cpu' AS resource, (1000 + s_nationkey * 30)::DOUBLE AS hard FROM supplier UNION ALL SELECT s_suppkey, 'memory', (2 + s_nationkey % 2) * 1073741824.0::DOUBLE FROM supplier)
-    SELECT namespace, resource, round(coalesce(used, 0), 4) AS used, hard, coalesce(used, 0) > hard AS exceeded FROM q LEFT JOIN u USING (namespace, resource)""",
+    SELECT namespace, resource, round(coalesce(used, 0), 4) AS used, coalesce(unread, 0) AS unread, hard, coalesce(used, 0) > hard AS exceeded FROM q LEFT JOIN u USING (namespace, resource)""",
 )
 def a24(t):
     use = lambda name, amount: F.struct(F.lit(name).alias("resource"), amount.alias("amount"))
-    cpu = F.concat((F.col("l_quantity").cast("int") * 100).cast("string"), F.lit("m"))
+    # some amounts are no quantities, others have an exponent
+    cpu = F.when(F.col("l_returnflag") == "R", "a lot").otherwise(F.concat((F.col("l_quantity").cast("int") * 100).cast("string"), F.lit("m")))
+    cpu = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), F.concat((F.col("l_quantity").cast("int")).cast("string"), F.lit("e-1"))).otherwise(cpu)
     mem = F.concat(F.col("l_linenumber").cast("string"), F.lit("Mi"))
     usage = t.lineitem.select(F.col("l_suppkey").alias("namespace"), F.explode(F.array(use("cpu", cpu), use("memory", mem))).alias("u")).select("namespace", "u.*")
     hard = lambda name, amount: F.struct(F.lit(name).alias("resource"), amount.alias("hard"))

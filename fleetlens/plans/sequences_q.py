@@ -165,8 +165,7 @@ def w11(t):
 @query("w12_assign_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
 def w12(t):
     rows = t.orders.select("o_orderdate", "o_orderkey")
-    # several ranges even here, so that the registered plan is the one used on a large table
-    return capacity.assign_ids(rows, ["o_orderdate", "o_orderkey"], rows_per_task=min(t.rows_per_task, 5000)).select("o_orderkey", "id")
+    return capacity.assign_ids(rows, ["o_orderdate", "o_orderkey"], rows_per_task=t.rows_per_task).select("o_orderkey", "id")
 
 
 @query(

@@ -10,27 +10,17 @@ from fleetlens.sources import files, queue
 from fleetlens.streaming import intake as intake_s
 from fleetlens.streaming import metrics as metrics_s
 from fleetlens.streaming import tracking as tracking_s
-from fleetlens.streaming.runs import folder_stream, new_folder, run_to_end, table_stream
+from fleetlens.streaming.runs import Drain, new_folder, run_to_end, table_stream
 
 
-def closing_stream(t, rows, name):
-    """A batch as a stream, followed by one far later row that closes every window.
+def drained(t, table, rows):
+    """The rows that ``rows`` makes of a table, as a stream with a drain."""
+    drain = Drain(rows(with_instants(getattr(t, table))))
+    return drain.stream(rows(table_stream(t.spark, t.sf_dir, table))), drain
 
-    The late row repeats the last one a year later; its time marks it for removal.
-    """
-    path = new_folder(t.spark, name)
-    rows.write.parquet(path)
-    last = rows.agg(F.max_by(F.struct(*rows.columns), "ts").alias("r")).select("r.*")
-    late = last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 366 DAYS"))
-    late.select(*rows.columns).write.mode("append").parquet(path)
-    return folder_stream(t.spark, path, rows.schema)
 
-
-def events(t):
-    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-NOT_LATE = "ts < '2025-01-01'"
+def with_instants(df):
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 @query("s2_queue_stream", "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -44,7 +34,7 @@ def s2(t):
 
 @query(
     "s11_fan_out",
-    "SELECT 'archive' AS sink, count(*) AS n, sum(event_id)::BIGINT AS checksum FROM events UNION ALL SELECT 'errors', count(*), sum(event_id)::BIGINT FROM events WHERE event_type = 'error'",
+    "SELECT 'archive' AS sink, event_id, event_type FROM events UNION ALL SELECT 'errors', event_id, event_type FROM events WHERE event_type = 'error'",
 )
 def s11(t):
     a, b = new_folder(t.spark, "archive"), new_folder(t.spark, "errors")
@@ -54,8 +44,8 @@ def s11(t):
         lambda df, epoch: df.filter("event_type = 'error'").write.mode("overwrite").parquet(f"{b}/epoch={epoch}"),
     ]
     files.fan_out(stream, sinks, a + "-checkpoint").awaitTermination()
-    tally = lambda path, name: t.spark.read.parquet(path).agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("checksum"))
-    return tally(a, "archive").unionByName(tally(b, "errors"))
+    rows = lambda path, name: t.spark.read.parquet(path).select(F.lit(name).alias("sink"), "event_id", "event_type")
+    return rows(a, "archive").unionByName(rows(b, "errors"))
 
 
 @query("t1_intake_stream", ORACLES["t1_intake"])
@@ -104,25 +94,26 @@ def t3(t):
     SELECT *, CASE WHEN run_id IS NULL THEN 'failed' ELSE 'syncing' END AS phase, CASE WHEN run_id IS NULL THEN 'Timed out waiting for GitHub Actions run' END AS message FROM p""",
 )
 def t4(t):
-    e = events(t)
-    d = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("dispatch_id"), "ts")
-    r = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("run_id"), F.col("event_id").alias("listing_pos"), "ts")
-    stream = tracking_s.correlate_stream(closing_stream(t, d, "dispatch"), closing_stream(t, r, "runs"), "user_id", 30, 6 * 3600)
-    return run_to_end(stream, "t4").filter(NOT_LATE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    d, d_drain = drained(t, "events", lambda e: e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("dispatch_id"), "ts"))
+    r, r_drain = drained(
+        t, "events",
+        lambda e: e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("run_id"), F.col("event_id").alias("listing_pos"), "ts"),
+    )
+    out = run_to_end(tracking_s.correlate_stream(d, r, "user_id", 30, 6 * 3600), "t4", (d_drain, r_drain))
+    return d_drain.rows_only(out, "ts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("t5_alert_stream", ORACLES["w5_alert_states"])
 def t5(t):
-    rows = events(t).select("event_type", "ts")
-    stream = metrics_s.alert_stream(closing_stream(t, rows, "alerts"), "event_type", 3600, 7200, F.col("n") >= 3)
-    return run_to_end(stream, "t5")
+    rows, drain = drained(t, "events", lambda e: e.select("event_type", "ts"))
+    return run_to_end(metrics_s.alert_stream(rows, "event_type", 3600, 7200, F.col("n") >= 3), "t5", (drain,))
 
 
 @query("t6_counter_stream", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t6(t):
-    rows = events(t).select("event_type", "ts")
-    out = run_to_end(metrics_s.counter_stream(closing_stream(t, rows, "counters"), "event_type", "1 hour"), "t6")
-    return out.filter("window_start < '2025-01-01'").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    rows, drain = drained(t, "events", lambda e: e.select("event_type", "ts"))
+    out = run_to_end(metrics_s.counter_stream(rows, "event_type", "1 hour"), "t6", (drain,))
+    return drain.rows_only(out, "window_start").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
@@ -132,10 +123,10 @@ def t6(t):
     SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, s""",
 )
 def t6b(t):
-    rows = events(t).select("user_id", "ts")
-    out = run_to_end(metrics_s.session_stream(closing_stream(t, rows, "sessions"), "user_id", "30 minutes"), "t6b")
+    rows, drain = drained(t, "events", lambda e: e.select("user_id", "ts"))
+    out = run_to_end(metrics_s.session_stream(rows, "user_id", "30 minutes"), "t6b", (drain,))
     ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}
-    return out.filter("started < '2025-01-01'").withColumns(ntz)
+    return drain.rows_only(out, "started").withColumns(ntz)
 
 
 @query("t7_route_stream", f"SELECT * FROM ({ORACLES['f19_route']}) WHERE target IS NOT NULL")
@@ -144,7 +135,8 @@ def t7(t):
     stream = table_stream(t.spark, t.sf_dir, "events").select(
         "event_id", "event_type", F.when(F.col("user_id") < 75, "shop").otherwise("site").alias("source")
     )
-    to = lambda target: lambda df: df.select("event_id").write.mode("append").parquet(f"{out}/target={target}")
+    # a folder for each micro-batch, so that one that is tried again replaces itself
+    to = lambda target: lambda df, epoch: df.select("event_id").write.mode("overwrite").parquet(f"{out}/target={target}/epoch={epoch}")
     sinks = {target: to(target) for target in ("billing", "incidents", "audit")}
     metrics_s.route_stream(stream, ROUTES, sinks, out + "-checkpoint").awaitTermination()
     return t.spark.read.parquet(out).select("event_id", "target")
@@ -162,14 +154,14 @@ def t7(t):
 def t8(t):
     ended = (F.col("role") == "user") & (F.col("turn") >= 4)
     status = F.when(F.col("turn") == 0, "PENDING").when(ended, F.when(F.col("conv_id") % 3 == 0, "CANCELLED").otherwise("COMPLETED")).otherwise("RUNNING")
-    rows = t.conversations.select(
+    rows, drain = drained(t, "conversations", lambda c: c.select(
         F.col("conv_id").alias("job_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 3600).alias("ts"),
         status.alias("status"),
         F.when(F.col("conv_id") % 2 == 0, 36000).otherwise(10800).alias("timeout_seconds"),
-    )
-    out = run_to_end(tracking_s.job_state_stream(closing_stream(t, rows, "jobs")), "t8")
-    return out.filter(NOT_LATE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    ))
+    out = run_to_end(tracking_s.job_state_stream(rows), "t8", (drain,))
+    return drain.rows_only(out, "ts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("t9_tail_stream", "SELECT conv_id, turn, text FROM conversations")

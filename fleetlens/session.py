@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +34,22 @@ def use_utc(spark: SparkSession) -> None:
     """All instants of the data model are UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, when it was not installed there.
+
+    A driver that found the package by a changed ``sys.path`` only would otherwise start Python tasks that can't import
+    it. An installed package, and one on ``PYTHONPATH``, is left alone.
+    """
+    root = Path(__file__).resolve().parent
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root.parent in paths or "site-packages" in root.parts or getattr(context, "_fleetlens_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="fleetlens-package-")) / "fleetlens.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._fleetlens_shipped = True

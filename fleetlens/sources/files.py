@@ -51,9 +51,24 @@ def write_tenant_partitioned(
     rows.write.mode("overwrite").partitionBy(tenant).parquet(path)
 
 
-def read_tenant(spark: SparkSession, path: str, tenant: str, value) -> DataFrame:
-    """Reads the tenant's folder only (partition pruning)."""
-    return spark.read.parquet(path).filter(F.col(tenant) == value)
+# fixed values: signs that a partition folder's name escapes, and the folder of rows without a tenant
+_ESCAPED = set('"#%\'*/:=?\\{[]^\x7f') | {chr(c) for c in range(1, 32)}
+_NO_TENANT = "__HIVE_DEFAULT_PARTITION__"
+
+
+def tenant_folder(path: str, tenant: str, value) -> str:
+    name = lambda s: "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in s)
+    return f"{path}/{name(tenant)}={_NO_TENANT if value in (None, '') else name(str(value))}"
+
+
+def read_tenant(spark: SparkSession, path: str, tenant: str, value, tenant_type: str = "string") -> DataFrame:
+    """Reads the tenant's folder and no other; an unknown tenant raises as a path that isn't there.
+
+    The value is not read back from the folder's name, so "0012" and "12" stay two tenants of text type."""
+    # taken as the data's base path, the folder's own name adds no column of an inferred type
+    folder = tenant_folder(path, tenant, value)
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    return rows.withColumn(tenant, F.lit(value).cast(tenant_type))
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
@@ -92,15 +107,29 @@ def read_objects(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     return df.filter(F.lower("kind") == kind.lower()) if kind else df
 
 
+def _escaped(c: Column) -> Column:
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return c
+
+
+def _unescaped(c: Column) -> Column:
+    """A backslash pair is set aside first, so that what follows it isn't taken for an escape."""
+    aside = "\ufffe"
+    for written, plain in (("\\\\", aside), ('\\"', '"'), ("\\n", "\n"), (aside, "\\")):
+        c = F.replace(c, F.lit(written), F.lit(plain))
+    return c
+
+
 def _labels(labels: str) -> Column:
     pairs = F.transform(
-        F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))
+        F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"'))
     )
     return F.when(F.size(labels) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
 
 
 def to_exposition(samples: DataFrame) -> DataFrame:
-    """(name, labels, value) as one text line per series, labels sorted by name."""
+    """(name, labels, value) as one text line per series, labels sorted by name, their values escaped."""
     labels = F.coalesce(_labels("labels"), F.lit(""))
     return samples.select(F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
 
@@ -110,15 +139,48 @@ _LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+(\d+))?$"
 _PAIR = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
+def _names(text: str) -> Column:
+    return F.regexp_extract_all(F.regexp_extract(text, _LINE, 2), F.lit(_PAIR), F.lit(1))
+
+
+def _values(text: str) -> Column:
+    found = F.regexp_extract_all(F.regexp_extract(text, _LINE, 2), F.lit(_PAIR), F.lit(2))
+    return F.transform(found, _unescaped)
+
+
+def _silent(text: str) -> Column:
+    line = F.trim(F.coalesce(F.col(text), F.lit("")))
+    return (line == "") | line.startswith("#")
+
+
+def _fault(text: str) -> Column:
+    number = F.lower(F.regexp_extract(text, _LINE, 3))
+    named = number.isin("nan", "inf", "+inf", "-inf")
+    return (
+        F.when(~F.col(text).rlike(_LINE), "shape")
+        .when(F.size(F.array_distinct(_names(text))) < F.size(_names(text)), "repeated label")
+        .when(F.regexp_extract(text, _LINE, 3).try_cast("double").isNull() & ~named, "value")
+        .otherwise("")
+    )
+
+
+def broken_scrapes(lines: DataFrame, text: str = "value") -> DataFrame:
+    """The lines that are no samples, with what is wrong with them: shape, repeated label or value."""
+    return lines.filter(~_silent(text) & (_fault(text) != "")).select(F.col(text).alias("line"), _fault(text).alias("fault"))
+
+
 def ingest_scrapes(lines: DataFrame, text: str = "value", ts: Column | None = None) -> DataFrame:
-    """Samples from exposition text; comments and broken lines are dropped."""
-    body = F.regexp_extract(text, _LINE, 2)
-    names = F.regexp_extract_all(body, F.lit(_PAIR), F.lit(1))
-    values = F.regexp_extract_all(body, F.lit(_PAIR), F.lit(2))
+    """Samples from exposition text. Comments and empty lines say nothing; ``broken_scrapes`` has the broken ones."""
     own = F.timestamp_millis(F.nullif(F.regexp_extract(text, _LINE, 4), F.lit("")).cast("long"))
-    return lines.filter(F.col(text).rlike(_LINE) & ~F.col(text).startswith("#")).select(
+    good = lines.filter(~_silent(text) & (_fault(text) == ""))
+    # a filter may run after a projection, so the map itself keeps the last value of a repeated name
+    pairs = F.arrays_zip(_names(text).alias("k"), _values(text).alias("v"))
+    labels = F.map_from_entries(
+        F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(_names(text), i + 2, F.size(pairs)), p["k"]))
+    )
+    return good.select(
         F.regexp_extract(text, _LINE, 1).alias("name"),
-        F.map_from_arrays(names, values).alias("labels"),
+        labels.alias("labels"),
         F.coalesce(own, ts if ts is not None else F.lit(None).cast("timestamp")).alias("ts"),
         F.regexp_extract(text, _LINE, 3).try_cast("double").alias("value"),
     )

@@ -73,15 +73,15 @@ def alert_stream(
     return ticks.groupBy(kind).transformWithStateInPandas(AlertProcessor(kind, step, for_), schema, "append", "None")
 
 
-def route_stream(events: DataFrame, routes: list[dict], sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str):
-    """Each micro-batch's rows go to the sink of their first matching route."""
+def route_stream(events: DataFrame, routes: list[dict], sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
+    """Each micro-batch's rows go to the sink of their first matching route, with the batch's number."""
     routed = route(events, routes).filter("target is not null")
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
             for target, sink in sinks.items():
-                sink(batch.filter(F.col("target") == target))
+                sink(batch.filter(F.col("target") == target), epoch)
         finally:
             batch.unpersist()
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +39,57 @@ def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """At most two state partitions per core: a stream keeps the number it starts with, and each has its own store."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+class Drain:
+    """Closes the windows of a stream that has come to its end.
 
+    Event time stands still at the last row, so what is open then would never be given out. A drained stream also reads
+    a folder that is empty at first. Once all rows are through, ``close`` puts one row there, the last one again,
+    ``AHEAD`` later, and the query goes on with it. ``rows_only`` leaves out what came of that row: it lies beyond
+    half of ``AHEAD``, counted from the data's own last instant.
+    """
+
+    AHEAD = timedelta(days=366)
+
+    def __init__(self, rows: DataFrame, ts: str = "ts"):
+        self.spark, self.rows, self.ts = rows.sparkSession, rows, ts
+        self.path = new_folder(self.spark, "drain")
+        self.spark.createDataFrame([], rows.schema).write.parquet(self.path)
+        self.last = rows.agg(F.max(ts)).first()[0]
+
+    def stream(self, rows: DataFrame) -> DataFrame:
+        return rows.unionByName(folder_stream(self.spark, self.path, self.rows.schema))
+
+    def close(self) -> None:
+        if self.last is not None:
+            row = self.rows.agg(F.max_by(F.struct(*self.rows.columns), self.ts).alias("r")).select("r.*")
+            later = F.col(self.ts) + F.make_dt_interval(days=F.lit(self.AHEAD.days))
+            row.withColumn(self.ts, later).select(*self.rows.columns).write.mode("append").parquet(self.path)
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a Parquet sink and read the result back."""
+    def rows_only(self, out: DataFrame, instant: str) -> DataFrame:
+        return out if self.last is None else out.filter(F.col(instant) < F.lit(self.last + self.AHEAD / 2))
+
+
+def run_to_end(stream: DataFrame, name: str, drains: tuple[Drain, ...] = (), interval: str | None = None) -> DataFrame:
+    """Process everything available into a Parquet sink and read the result back.
+
+    With ``drains`` the query runs on over their closing rows. ``interval`` (such as "30 seconds") keeps a polling
+    query going instead, which the caller stops; there is no end then to read back from.
+    """
     spark = stream.sparkSession
     out = new_folder(spark, name)
-    with state_partitions(spark):
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", out + "-checkpoint")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
+
+    def start():
+        writer = (
+            stream.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", out + "-checkpoint").outputMode("append")
         )
-        query.awaitTermination()
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+    if interval:
+        return start()
+    start().awaitTermination()
+    if drains:
+        for drain in drains:
+            drain.close()
+        start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

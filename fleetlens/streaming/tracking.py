@@ -27,7 +27,10 @@ CHANGES = T.StructType(
 
 
 class ChangeProcessor(StatefulProcessor):
-    """Per run: the last seen state of each job; silent after the run has ended."""
+    """Per run: each job's state in the last poll; silent after the run has ended, when only that is remembered.
+
+    A job missing from a poll is forgotten: when it comes back, it has started again.
+    """
 
     def init(self, handle) -> None:
         self.jobs = handle.getMapState("jobs", "job_id bigint", "status string, conclusion string")
@@ -41,17 +44,22 @@ class ChangeProcessor(StatefulProcessor):
         seen = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
         before, out = dict(seen), []
         for poll, group in batch.groupby("poll", sort=True):
+            listed = {}
             for r in group.itertuples():
                 now = (r.status, r.conclusion)
                 if seen.get(r.job_id) != now:
                     out.append((key[0], poll, "log", r.name, r.status, r.conclusion, r.job_id not in seen))
-                    seen[r.job_id] = now
+                listed[r.job_id] = now
+            seen = listed
             status, conclusion = group["run_status"].iloc[0], group["run_conclusion"].iloc[0]
             out.append((key[0], poll, "status", None, status, conclusion, None))
             if status == "completed":
                 out.append((key[0], poll, "complete", None, status, conclusion, None))
                 self.ended.update((int(poll),))
+                seen = {}
                 break
+        for job in before.keys() - seen.keys():
+            self.jobs.removeKey((job,))
         for job, state in seen.items():
             if before.get(job) != state:
                 self.jobs.updateValue((job,), state)
@@ -115,7 +123,8 @@ JOB_STATES = T.StructType(
 )
 # fixed values: states that end a job, and the order of the others
 TERMINAL = {"COMPLETED", "FAILED", "CANCELLED", "TIMEOUT"}
-RANK = {"PENDING": 0, "RUNNING": 1}
+RANK = {"UNSPECIFIED": -1, "PENDING": 0, "RUNNING": 1}
+KEEP_MS = 24 * 3600 * 1000  # an ended job is remembered for a day after its deadline, against late events
 
 
 class JobProcessor(StatefulProcessor):
@@ -138,7 +147,7 @@ class JobProcessor(StatefulProcessor):
             if r.at_ms > deadline:
                 status = "TIMEOUT"
                 out.append((key[0], status, deadline))
-            elif r.status in TERMINAL or status is None or RANK[r.status] > RANK[status]:
+            elif r.status in TERMINAL or status is None or RANK.get(r.status, -1) > RANK.get(status, -1):
                 status = r.status
                 out.append((key[0], status, int(r.at_ms)))
         self.state.update((status, deadline))
@@ -146,6 +155,10 @@ class JobProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, deadline = self.state.get()
+        if expiredTimerInfo.getExpiryTimeInMs() > deadline:
+            self.state.clear()
+            return
+        self.handle.registerTimer(deadline + KEEP_MS)
         if status not in TERMINAL:
             self.state.update(("TIMEOUT", deadline))
             yield pd.DataFrame([(key[0], "TIMEOUT", deadline)], columns=JOB_STATES.fieldNames())

@@ -4,7 +4,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
-from fleetlens.plans.registry import BUILDS, ORACLES
+from fleetlens.plans.registry import BUILDS, ORACLES, QUERIES
 from fleetlens.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     if name in ORACLES:

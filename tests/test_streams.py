@@ -109,10 +109,11 @@ def test_job_life_cycle(spark):
     at = lambda s: T0 + timedelta(seconds=s)
     rows = [
         (1, at(0), "PENDING", 60), (2, at(1), "PENDING", 60), (3, at(2), "PENDING", 60), (1, at(10), "RUNNING", 60), (2, at(11), "RUNNING", 60),
-        (1, at(20), "COMPLETED", 60), (3, at(21), "CANCELLED", 60), (1, at(30), "RUNNING", 60), (4, at(9000), "PENDING", 60), (5, at(99999), "PENDING", 60),
+        (1, at(20), "COMPLETED", 60), (3, at(21), "CANCELLED", 60), (1, at(30), "RUNNING", 60), (0, at(31), "UNSPECIFIED", 60), (0, at(32), "RUNNING", 60),
+        (0, at(33), "SOMETHING_NEW", 60), (4, at(9000), "PENDING", 60), (5, at(99999), "PENDING", 60), (5, at(999999), "PENDING", 60),
     ]
     stream = job_state_stream(in_steps(spark, rows, "job_id long, ts timestamp, status string, timeout_seconds int", 5))
     out = sorted((r["job_id"], r["ts"], r["status"]) for r in run_to_end(stream, "jobs").collect() if r["job_id"] < 4)
     assert [(j, s) for j, _, s in out] == [
-        (1, "PENDING"), (1, "RUNNING"), (1, "COMPLETED"), (2, "PENDING"), (2, "RUNNING"), (2, "TIMEOUT"), (3, "PENDING"), (3, "CANCELLED"),
+        (0, "UNSPECIFIED"), (0, "RUNNING"), (0, "TIMEOUT"), (1, "PENDING"), (1, "RUNNING"), (1, "COMPLETED"), (2, "PENDING"), (2, "RUNNING"), (2, "TIMEOUT"), (3, "PENDING"), (3, "CANCELLED"),
     ]

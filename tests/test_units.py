@@ -23,7 +23,7 @@ def col(df, c):
 
 @pytest.fixture(scope="module")
 def staff(spark):
-    org = spark.createDataFrame([(1, "Microsoft", "Redmond, Washington, USA"), (2, "Oracle", "Redwood City, California, USA")], "id long, name string, address string")
+    org = spark.createDataFrame([(1, "Northwind", "1 Harbour Road, Oslo"), (2, "Lakeside", "2 Mill Lane, Bern")], "id long, name string, address string")
     dept = spark.createDataFrame(
         [(1, 1, "Development"), (2, 1, "Operations"), (3, 2, "Development"), (4, 2, "Operations"), (5, 2, "Empty")],
         "id long, organizationId long, name string",
@@ -87,7 +87,7 @@ def test_patch_tells_unset_from_null(spark):
 
 
 def test_reject_duplicates(spark):
-    old = spark.createDataFrame([("a@x", "anna")], "email string, username string")
+    old = spark.createDataFrame([(0, "a@x", "anna")], "n int, email string, username string")
     new = spark.createDataFrame([(1, "a@x", "anna"), (2, "b@x", "anna"), (3, "c@x", "carl"), (4, "c@x", "cora"), (5, "d@x", "carl")], "n int, email string, username string")
     keys = [("email", "Email already registered"), ("username", "Username already taken")]
     out = {r["n"]: r["error"] for r in relations.reject_duplicates(new, old, keys, ["n"]).collect()}
@@ -177,8 +177,7 @@ def test_rate_with_resets(spark):
     want = {(s, float(t)): v for s, p in series.items() for t, v in brute_rate(p, 120, 30).items()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    with pytest.raises(ValueError):
-        metrics.counter_rate(df, ["series"], 1000, 1)
+    assert metrics.counter_rate(df, ["series"], 1000, 1).count() > 1000
 
 
 def test_alert_gap_resolves(spark):
