@@ -56,12 +56,19 @@ def predict(
 
 
 def triage(
-    failures: DataFrame, directory: DataFrame, factory: Callable[[], Callable[[list[str]], list[str]]], as_of: Column
+    failures: DataFrame, directory: DataFrame, factory: Callable[[], Callable[[list[str]], list[str]]], as_of: Column,
+    lookup_failed: Column | None = None,
 ) -> DataFrame:
     """Analyse build failures and address their authors; the first failing stage sets code and status.
 
     ``failures`` has commit_sha, author_email, repo, logs, error; ``directory`` has email, user_id.
+    ``lookup_failed``, over the columns of ``failures``, tells where the directory itself gave no answer, which is another
+    stage than a directory that knows nobody of that address.
     """
+    if lookup_failed is not None:
+        failures = failures.withColumn("_lookup_failed", F.coalesce(lookup_failed, F.lit(False)))
+    else:
+        failures = failures.withColumn("_lookup_failed", F.lit(False))
     for c in ("commit_sha", "author_email", "repo"):
         failures = failures.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(""))))
     missing = missing_fields(["commit_sha", "author_email", "repo"])
@@ -77,6 +84,7 @@ def triage(
         (F.size("_missing") > 0, "MISSING_REQUIRED_FIELDS", 400),
         (~is_email(F.col("author_email")), "INVALID_EMAIL_FORMAT", 400),
         (analysis.isNull(), "OLLAMA_SERVICE_ERROR", 503),
+        (F.col("_lookup_failed"), "SLACK_SERVICE_ERROR", 503),
         (F.col("reason").isNotNull(), "SLACK_USER_NOT_FOUND", 404),
     ]
     message = fill(
@@ -94,4 +102,4 @@ def triage(
             "analysis_preview": F.when(ok, preview(analysis)),
         }
     )
-    return out.drop("_missing", "_prompt", "generated_text", "resolved_id", "reason", "timestamp")
+    return out.drop("_missing", "_prompt", "_lookup_failed", "generated_text", "resolved_id", "reason", "timestamp")

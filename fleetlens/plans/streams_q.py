@@ -50,9 +50,10 @@ def s11(t):
 
 @query("t1_intake_stream", ORACLES["t1_intake"])
 def t1(t):
-    requests = job_requests_stream(t)
+    requests, drain = drained(t, "events", lambda e: job_requests(_Stream(e)))
     rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
-    return run_to_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)).drop("envelope"), "t1")
+    # the drain's own request waits for the watermark for ever
+    return run_to_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)).drop("envelope"), "t1", (drain,))
 
 
 class _Stream:
@@ -60,10 +61,6 @@ class _Stream:
         self.events = events
 
 
-def job_requests_stream(t):
-    return job_requests(_Stream(table_stream(t.spark, t.sf_dir, "events")))
-
-
 SNAPSHOTS = """(SELECT user_id AS run_id, event_id AS poll, event_type AS status, CAST(props->>'$.k' AS INT) AS k, event_type = 'purchase' AND CAST(props->>'$.k' AS INT) > 80 AS done FROM events)"""
 
 
@@ -197,8 +194,8 @@ FRAME = len(inference.PROMPT.replace("{repo}", "").replace("{error}", "").replac
     f"""WITH f AS (SELECT doc_id, md5(text) AS sha, source AS repo, lang, CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN '' WHEN lang = 'fr' THEN 'nobody' ELSE 'u' || doc_id || '@example.com' END AS email,
         'Cause seen in ' || ({FRAME} + length(source) + length(lang) + least(length(text), 5000)) || ' characters.' AS analysis FROM documents),
       g AS (SELECT f.*, l.doc_id AS uid FROM f LEFT JOIN labels l ON l.doc_id = f.doc_id),
-      c AS (SELECT *, CASE WHEN email = '' THEN 'MISSING_REQUIRED_FIELDS' WHEN email = 'nobody' THEN 'INVALID_EMAIL_FORMAT' WHEN lang = 'es' THEN 'OLLAMA_SERVICE_ERROR' WHEN uid IS NULL THEN 'SLACK_USER_NOT_FOUND' END AS code FROM g)
-    SELECT doc_id, code, CASE code WHEN 'MISSING_REQUIRED_FIELDS' THEN 400 WHEN 'INVALID_EMAIL_FORMAT' THEN 400 WHEN 'OLLAMA_SERVICE_ERROR' THEN 503 WHEN 'SLACK_USER_NOT_FOUND' THEN 404 ELSE 200 END AS http_status,
+      c AS (SELECT *, CASE WHEN email = '' THEN 'MISSING_REQUIRED_FIELDS' WHEN email = 'nobody' THEN 'INVALID_EMAIL_FORMAT' WHEN lang = 'es' THEN 'OLLAMA_SERVICE_ERROR' WHEN doc_id % 7 = 0 THEN 'SLACK_SERVICE_ERROR' WHEN uid IS NULL THEN 'SLACK_USER_NOT_FOUND' END AS code FROM g)
+    SELECT doc_id, code, CASE code WHEN 'MISSING_REQUIRED_FIELDS' THEN 400 WHEN 'INVALID_EMAIL_FORMAT' THEN 400 WHEN 'OLLAMA_SERVICE_ERROR' THEN 503 WHEN 'SLACK_SERVICE_ERROR' THEN 503 WHEN 'SLACK_USER_NOT_FOUND' THEN 404 ELSE 200 END AS http_status,
       CASE WHEN email = '' THEN 'author_email' ELSE '' END AS missing_fields, CASE WHEN code IS NULL THEN uid END AS recipient, CASE WHEN code IS NULL THEN analysis END AS analysis_preview,
       CASE WHEN code IS NULL THEN '🚨 *Build Failed* - `' || repo || '`' || chr(10) || chr(10) || '*Commit:* `' || substring(sha, 1, 7) || '`' || chr(10) || chr(10) || '*Analysis:*' || chr(10) || analysis || chr(10) || chr(10) || '<https://github.com/' || repo || '/commit/' || sha || '|View Commit>' END AS message
     FROM c""",
@@ -210,5 +207,5 @@ def x2(t):
         "doc_id", F.md5("text").alias("commit_sha"), email.alias("author_email"), F.col("source").alias("repo"), F.col("text").alias("logs"), F.col("lang").alias("error")
     )
     people = t.labels.select(user.alias("email"), F.col("doc_id").alias("user_id"))
-    out = inference.triage(failures, people, analyse, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    out = inference.triage(failures, people, analyse, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), F.col("doc_id") % 7 == 0)
     return out.select("doc_id", "code", "http_status", "missing_fields", "recipient", "analysis_preview", "message")

@@ -1,6 +1,7 @@
 """Streaming intake: the batch machine with its state in the state store.
 
-State per tenant is bounded by the limits (admitted instants of the long window, live locks).
+State per tenant is bounded by the limits (admitted instants of the long window, live locks) and by what arrives within
+the watermark's delay, as requests wait until none can come before them.
 A tenant silent for the long window and its buffer is forgotten by an event-time timer.
 """
 
@@ -31,7 +32,20 @@ OUTPUT = T.StructType(
 )
 
 
+WAITING = T.StructType(
+    [
+        T.StructField("us", T.LongType()),
+        T.StructField("request_id", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("lock_key", T.StringType()),
+        T.StructField("envelope", T.StringType()),
+    ]
+)
+
+
 class IntakeProcessor(StatefulProcessor):
+    """Decides a tenant's requests in the order of their instants, whatever order they arrive in within the delay."""
+
     def __init__(self, throttle: SlidingThrottle, locks: TtlLocks):
         self.machine = IntakeMachine(throttle, locks)
         self.keep_us = max(throttle.long, locks.ttl) + IDLE_BUFFER_US
@@ -39,32 +53,41 @@ class IntakeProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("intake", "saved string, last bigint")
+        self.open = handle.getListState("open", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one tenant's rows of one micro-batch, whose size the source's trigger limits bound
-        batch = pd.concat(list(rows)).sort_values(["us", "request_id"], kind="stable")
-        state, old = self.machine.start(), None
-        if self.state.exists():
-            saved, old = self.state.get()
-            state = self.machine.load(saved)
-        outcomes = [
-            self.machine.decide(state, int(us), error if isinstance(error, str) else None, lock)
-            for us, error, lock in zip(batch["us"], batch["error"], batch["lock_key"])
-        ]
-        last = max(int(batch["us"].iloc[-1]), old or 0)
-        if old is not None:
-            self.handle.deleteTimer((old + self.keep_us) // 1000)
-        self.handle.registerTimer((last + self.keep_us) // 1000)
-        self.state.update((self.machine.dump(state), last))
-        out = batch[["request_id", "error", "lock_key", "envelope"]].copy()
-        out["organization_id"] = key[0]
-        out["outcome"] = outcomes
-        out["envelope"] = out["envelope"].where(out["outcome"] == "accepted", None)
-        yield out[OUTPUT.fieldNames()]
+        # rows wait until the watermark has passed them: none can come before them any more
+        for part in rows:
+            part = part[WAITING.fieldNames()].astype(object).where(part[WAITING.fieldNames()].notna(), None)
+            self.open.appendList([tuple(r) for r in part.itertuples(index=False)])
+            for ms in {int(us) // 1000 for us in part["us"]}:
+                self.handle.registerTimer(ms + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.open.get(), key=lambda r: (r[0], r[1])) if self.open.exists() else []
+        due = [r for r in waiting if r[0] < now]
+        saved, last = self.state.get() if self.state.exists() else (None, None)
+        if due:
+            state = self.machine.start() if saved is None else self.machine.load(saved)
+            outcomes = [self.machine.decide(state, int(us), error, lock) for us, _, error, lock, _ in due]
+            last = max(int(due[-1][0]), last or 0)
+            self.state.update((self.machine.dump(state), last))
+            self.handle.registerTimer((last + self.keep_us) // 1000 + 1)
+            rest = waiting[len(due) :]
+            self.open.clear()
+            if rest:
+                self.open.put(rest)
+            yield pd.DataFrame(
+                [
+                    (request, key[0], error, outcome, lock, envelope if outcome == "accepted" else None)
+                    for (_, request, error, lock, envelope), outcome in zip(due, outcomes)
+                ],
+                columns=OUTPUT.fieldNames(),
+            )
+        elif last is not None and not waiting and now >= last + self.keep_us:
+            self.state.clear()
 
     def close(self) -> None:
         pass

@@ -40,9 +40,13 @@ def requests():
     return rows
 
 
-def test_intake_over_micro_batches(spark, requests):
-    rules = lambda: SlidingThrottle(2, 30)
-    stream = intake_stream(in_steps(spark, requests, REQUEST_SCHEMA, 4), rules(), TtlLocks())
+@pytest.mark.parametrize("mixed", [1, 8])
+def test_intake_over_micro_batches(spark, requests, mixed):
+    """Also with requests out of order, as long as the watermark's delay lasts."""
+    rules, rng = lambda: SlidingThrottle(2, 30), random.Random(3)
+    shuffled = [r for a in range(0, len(requests), mixed) for r in rng.sample(requests[a : a + mixed], len(requests[a : a + mixed]))]
+    close = ("z", T0 + timedelta(days=5), "closing", "sync", "p", {"a": "1"}, "", 30, "")
+    stream = intake_stream(in_steps(spark, [*shuffled, close], REQUEST_SCHEMA, 7), rules(), TtlLocks())
     got = {r["request_id"]: (r["outcome"], r["error"], r["envelope"]) for r in run_to_end(stream, "intake").collect()}
     batch = intake(spark.createDataFrame(requests, REQUEST_SCHEMA), rules(), TtlLocks())
     want = {r["request_id"]: (r["outcome"], r["error"], r["envelope"]) for r in batch.collect()}
@@ -51,8 +55,8 @@ def test_intake_over_micro_batches(spark, requests):
 
 def test_idle_tenant_is_forgotten(spark, requests):
     late = ("r9999", T0 + timedelta(days=5), "late", "sync", "p", {"a": "1"}, "", 30, "")
-    end = ("r99999", T0 + timedelta(days=9), "last", "sync", "p", {"a": "1"}, "", 30, "")
-    stream = intake_stream(in_steps(spark, [*requests[:6], late, end], REQUEST_SCHEMA, 8), SlidingThrottle(2, 30))
+    end = [(f"z{d}", T0 + timedelta(days=d), "last", "sync", "p", {"a": "1"}, "", 30, "") for d in (9, 20)]
+    stream = intake_stream(in_steps(spark, [*requests[:6], late, *end], REQUEST_SCHEMA, 9), SlidingThrottle(2, 30))
     out = new_folder(spark, "idle")
     q = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c")
