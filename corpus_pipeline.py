@@ -13,11 +13,6 @@ from fleetlens.llm.queries import quality_weights
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Documents with a number for each row, as ids may repeat or be null. It follows from the files' order."""
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives half or more. Trained on the labelled ids of op4; without labels all
     stay, as every score is a half."""
@@ -27,7 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal fingerprints the row of least id (null last; of repeated ids the first)."""
-    rows = _rows(docs)
+    # ids may repeat or be null; a row's number is written down once, as it is no fact of the table
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
     found = simhash.near_duplicates(rows, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
     named = found.join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -37,19 +33,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated strings (and of characters cut in two by that). A document goes if no word of
-    it is left by this; all others stay."""
+    it is left by this; all others stay. A null text becomes empty."""
 
     @F.pandas_udf("string")
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode(errors="ignore"))
 
-    rows = _rows(docs)
-    cut = repeats.repeated(rows, doc_id="row").where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("row"), text_of("kept").alias("kept"))
-    joined = rows.join(cut, "row", "left").where(r"kept IS NULL OR kept RLIKE '[^\\x20\\x09-\\x0D]'")
-    text = F.coalesce("kept", "text")
-    changed = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", changed.cast("long").alias("n_chars"))
+    others = [c for c in COLUMNS if c != "text"]
+    cut = repeats.repeated(docs, carry=tuple(others)).withColumn("text", text_of("kept"))
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ with sorted, compressed arrays instead of a row for each, and gets its answers i
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -13,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import stored
+
 BLOCK_BYTES = 12_000_000
 
 
@@ -21,7 +25,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         out += [a.dtype.str.encode().ljust(4), np.int64(len(a)).tobytes(), a.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
@@ -50,12 +54,16 @@ def expand_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pack(docs: DataFrame, kind: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block long, kind int, rows binary: documents (doc_id long, text; a null id or text is kept as null).
+def pack(
+    docs: DataFrame, text: str = "text", carry: list[str] | None = None, kind: Column | None = None,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """block long, kind int, rows binary: texts with the columns of ``carry``, written once to shared storage.
 
-    Documents of unlike ``kind`` (a small number) are never in one block. Each input partition numbers its own blocks,
-    so the names are those of the files' split and not of the run."""
+    Rows of unlike ``kind`` (a small number) are never in one block. A block's name is a fact of the written table, so it
+    stays the same for every later pass, however that is partitioned."""
     kind = F.lit(0) if kind is None else kind
+    carry = carry or []
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -65,36 +73,51 @@ def pack(docs: DataFrame, kind: Column | None = None, block_bytes: int = BLOCK_B
 
         def close(k: int):
             nonlocal made
-            ids, texts = zip(*open_.pop(k))
+            others, texts = zip(*open_.pop(k))
             sizes.pop(k)
             made += 1
-            return pd.DataFrame(
-                {"block": [(part << 24) + made], "kind": [k], "rows": [pack_rows(list(ids), list(texts))]}
-            )
+            return pd.DataFrame({"block": [(part << 24) + made], "kind": [k], "rows": [pack_rows(others, texts)]})
 
         for pdf in batches:
-            for i, t, k in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["kind"].tolist()):
+            others = pdf.iloc[:, 2:].astype(object).where(pdf.iloc[:, 2:].notna(), None).values.tolist()
+            for k, t, o in zip(pdf["kind"].tolist(), pdf["text"].tolist(), others):
                 raw = t.encode() if t is not None else None
-                open_.setdefault(k, []).append((i, raw))
+                open_.setdefault(k, []).append((o, raw))
                 sizes[k] = sizes.get(k, 0) + len(raw or b"") + 64
                 if sizes[k] >= block_bytes:
                     yield close(k)
         for k in sorted(open_):
             yield close(k)
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", kind.cast("int").alias("kind"))
-    return rows.mapInPandas(run, "block long, kind int, rows binary")
+    others = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(kind.cast("int").alias("kind"), F.col(text).alias("text"), *others)
+    return stored(rows.mapInPandas(run, "block long, kind int, rows binary"))
 
 
-def pack_rows(ids: list, texts: list) -> bytes:
-    null = np.array([(i is None or i != i) + 2 * (t is None) for i, t in zip(ids, texts)], dtype=np.uint8)
-    names = np.array([0 if n & 1 else int(i) for i, n in zip(ids, null)], dtype=np.int64)
+def pack_rows(others, texts) -> bytes:
+    null = np.array([t is None for t in texts], dtype=np.uint8)
     sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
-    return squeeze(null, names, sizes, np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8))
+    carried = np.frombuffer(json.dumps(others).encode(), dtype=np.uint8)
+    return squeeze(null, sizes, np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), carried)
 
 
-def unpack_rows(blob: bytes) -> tuple[list[int | None], list[bytes | None]]:
-    null, names, sizes, text = expand(blob)
+def unpack_rows(blob: bytes) -> tuple[list[list[str | None]], list[bytes | None]]:
+    """The carried columns as strings, and the texts."""
+    null, sizes, text, carried = expand(blob)
     text, ends = text.tobytes(), np.cumsum(sizes)
-    ids = [None if n & 1 else int(i) for i, n in zip(names, null)]
-    return ids, [None if n & 2 else text[e - s : e] for e, s, n in zip(ends.tolist(), sizes.tolist(), null)]
+    texts = [None if n else text[e - s : e] for e, s, n in zip(ends.tolist(), sizes.tolist(), null)]
+    return json.loads(carried.tobytes()), texts
+
+
+def carried(others: list[list[str | None]], carry: list[str]) -> dict[str, list]:
+    return {f"c{i}": [o[i] for o in others] for i in range(len(carry))}
+
+
+def carry_schema(carry: list[str]) -> str:
+    return "".join(f"c{i} string, " for i in range(len(carry)))
+
+
+def restored(df: DataFrame, docs: DataFrame, carry: list[str], *more: str) -> DataFrame:
+    """The carried columns under their names and types, then ``more``."""
+    own = [F.col(f"c{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)]
+    return df.select(*own, *more)

@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.blocks import expand, expand_sorted, least_type, pack, squeeze, squeeze_sorted, unpack_rows
+from fleetlens.llm.blocks import (
+    carried, carry_schema, expand, expand_sorted, least_type, pack, restored, squeeze, squeeze_sorted, unpack_rows,
+)
 from fleetlens.llm.common import mix, stored
 
 ORDER = 2
@@ -28,6 +30,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 FREE, TRAIN, DELETED = 0, 1, 2
 BUCKET_GRAMS = 1_500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
+SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 SIZES = ("tokens", "types", "kept_tokens", "kept_types")
 
 
@@ -132,14 +135,14 @@ def _answer(questions: DataFrame) -> DataFrame:
 
 
 def _tallies(rows: bytes, answers: pd.DataFrame, grams: Grams):
-    """Ids, tokens per text, and for each kind of count (all; kept) and key of a token its total."""
-    ids, texts = unpack_rows(rows)
+    """Carried columns, tokens per text, and for each kind of count (all; kept) and key of a token its total."""
+    others, texts = unpack_rows(rows)
     keys, counts, distinct = asked(grams, texts)
     answers = answers.sort_values("bucket", kind="stable")
     parts = [expand(a) for a in answers["answer"]]
     kinds = [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(len(parts[0]))]
     at = [np.searchsorted(distinct, k) for k in keys]
-    return ids, counts, [[k[a] for a in at] for k in kinds]
+    return others, counts, [[k[a] for a in at] for k in kinds]
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -205,11 +208,11 @@ def score(
 
     ``trained`` and ``deleted`` are conditions on ``doc_id``: documents to learn from, and those of them that the weights
     are learned on; null counts as false. Null and empty texts have one token, the end. Repeated rows count and are
-    scored each. Ids must be whole numbers or null. With nothing to learn from, all estimates are uniform."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    scored each. With nothing to learn from, all estimates are uniform."""
     yes = lambda c: F.coalesce(c, F.lit(False))
     kind = F.when(yes(trained) & yes(deleted), DELETED).when(yes(trained), TRAIN).otherwise(FREE)
-    blocks = pack(named, kind)
+    carry = [doc_id]
+    blocks = pack(docs, text, carry, kind)
     total_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, round(total_bytes / 6 * order / bucket_grams))
     answers = stored(_answer(_ask(blocks, order, buckets)))
@@ -244,10 +247,10 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def final(key, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        names = ["c0", *SCORES]
         if not len(rows) or not len(got):
             return pd.DataFrame({c: [] for c in names})
-        ids, counts, (every, *_) = _tallies(rows["rows"].iloc[0], got, Grams(order))
+        others, counts, (every, *_) = _tallies(rows["rows"].iloc[0], got, Grams(order))
         n_tokens, n_types = sizes["tokens"], sizes["types"]
         p, longest = estimates(every, counts, n_tokens, n_types)
         w = shared.value[_level(longest)]
@@ -255,16 +258,17 @@ def score(
         c = every[0]
         base = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
         return pd.DataFrame({
-            "doc_id": pd.array(ids, dtype="Int64"), "n_tokens": counts,
+            **carried(others, carry), "n_tokens": counts,
             "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": n_tokens,
             "base_score": np.add.reduceat(base, starts),
             "score": np.add.reduceat(np.log10((p * w).sum(axis=1)), starts),
         })
 
-    return _with_answers(
+    scored = _with_answers(
         blocks, answers, final,
-        "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        carry_schema(carry) + "n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return restored(scored, docs, carry, *SCORES)
 
 
 def _with_answers(blocks: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:

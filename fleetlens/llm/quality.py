@@ -95,8 +95,10 @@ class Ftrl:
         return self.weights(z, n)
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size: int = SAMPLE) -> DataFrame:
-    """At most ``size`` labelled ids (label not null), chosen by a hash of the id, with their rows of ``docs``.
+def sample_of(
+    docs: DataFrame, labels: DataFrame, label: str, allowed: Column, text: str = "text", size: int = SAMPLE
+) -> DataFrame:
+    """doc_id, text, label: at most ``size`` labelled ids (label not null), chosen by a hash of the id, with their texts.
 
     An id labelled twice alike counts once, an id with two labels not at all."""
     ids = (
@@ -105,7 +107,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, s
         .where("label = other").select("doc_id", "label")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     )
-    return docs.join(ids, "doc_id")
+    return docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id")
 
 
 def train(sample: DataFrame, text: str = "text", shards: int = SHARDS, ftrl: Ftrl | None = None) -> np.ndarray:

@@ -191,5 +191,5 @@ def count_tokens(
     # each long row gets a name; stored, so that every pass sees the same one
     huge = stored(docs.where(long).withColumn("__row", F.monotonically_increasing_id()))
     done = _spliced(huge.select(F.col("__row").alias("row_id"), F.col(text).alias("text")), ranks_path, chunk, overlap)
-    counted = huge.join(done, huge["__row"] == done["row_id"]).withColumn("n_bytes", size)
+    counted = huge.join(done.withColumnRenamed("row_id", "__row"), "__row").withColumn("n_bytes", size)
     return small.unionByName(counted.select(*keep, "n_bytes", "n_tokens"))
