@@ -86,6 +86,9 @@ class TtlLocks:
         state[key] = now
         return True
 
+    def release(self, state: dict, key: str) -> None:
+        del state[key]
+
     def dump(self, state: dict) -> list:
         return [[k, t] for k, t in state.items()]
 
@@ -200,9 +203,11 @@ class TokenBucketMachine(Machine):
 
 
 class IntakeMachine(Machine):
-    """Throttle, then lock, for one tenant; a duplicate still uses quota."""
+    """Throttle, then lock, for one tenant; a duplicate still uses quota.
+
+    A request that the queue refused gives its lock back at once, so the next one like it may try; its quota is used."""
 
-    columns = ["_us", "_error", "_lock"]
+    columns = ["_us", "_error", "_lock", "_refused"]
     output = T.StructType([T.StructField("outcome", T.StringType())])
 
     def __init__(self, throttle: SlidingThrottle, locks: TtlLocks):
@@ -218,20 +223,25 @@ class IntakeMachine(Machine):
         throttle, locks = json.loads(text)
         return {"throttle": self.throttle.load(throttle), "locks": self.locks.load(locks)}
 
-    def decide(self, state, now: int, error: str | None, key: str) -> str:
+    def decide(self, state, now: int, error: str | None, key: str, refused: bool = False) -> str:
         if error is not None:
             return "invalid"
         if not self.throttle.admit(state["throttle"], now):
             return "throttled"
-        return "accepted" if self.locks.acquire(state["locks"], key, now) else "duplicate"
+        if not self.locks.acquire(state["locks"], key, now):
+            return "duplicate"
+        if refused:
+            self.locks.release(state["locks"], key)
+            return "refused"
+        return "accepted"
 
     def run(self, state, chunk):
         valid = np.flatnonzero(pd.isna(chunk["_error"]))
-        times, locks = chunk["_us"][valid], chunk["_lock"][valid]
+        times, locks, refused = chunk["_us"][valid], chunk["_lock"][valid], chunk["_refused"][valid]
         decided = np.full(len(valid), "throttled", dtype=object)
         i = 0
         while i < len(valid):
-            decided[i] = self.decide(state, int(times[i]), None, locks[i])
+            decided[i] = self.decide(state, int(times[i]), None, locks[i], bool(refused[i]))
             if decided[i] == "throttled":  # nothing is admitted before retry_at, so skip to it
                 i = max(i + 1, int(np.searchsorted(times, self.throttle.retry_at(state["throttle"]))))
             else:
@@ -328,15 +338,23 @@ def prepare(requests: DataFrame) -> DataFrame:
 
 def intake(
     requests: DataFrame, limiter: SlidingThrottle, locks: TtlLocks | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK, refused: DataFrame | None = None,
 ) -> DataFrame:
-    """Label every request accepted, invalid, throttled or duplicate; one shuffle by tenant."""
+    """Label every request accepted, invalid, throttled or duplicate; one shuffle by tenant.
+
+    ``refused`` (request_id) names requests that the queue did not take. They release their locks and are labelled so.
+    """
     rows = prepare(requests).withColumns(
         {"_us": _micros("ts"), "_error": F.col("error"), "_lock": F.col("lock_key")}
     )
+    if refused is None:
+        rows = rows.withColumn("_refused", F.lit(False))
+    else:
+        failed = refused.select("request_id").distinct().withColumn("_refused", F.lit(True))
+        rows = rows.join(failed, "request_id", "left").withColumn("_refused", F.coalesce("_refused", F.lit(False)))
     machine = IntakeMachine(limiter, locks or TtlLocks())
     labelled = run_machine(rows, ["organization_id"], ["_us", "request_id"], machine, rows_per_task)
-    return labelled.drop("_us", "_error", "_lock").withColumn(
+    return labelled.drop("_us", "_error", "_lock", "_refused").withColumn(
         "envelope", F.when(F.col("outcome") == "accepted", F.col("envelope"))
     )
 

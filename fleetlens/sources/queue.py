@@ -53,11 +53,15 @@ def write_jobs_stream(
 
 def read_jobs_stream(
     spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None, files_per_batch: int = 100,
-    glob: str | None = None, schema: T.StructType | str = "key string, value string",
+    glob: str | None = None, schema: T.StructType | str = "key string, value string", fetch_limit: int | None = None,
 ) -> DataFrame:
-    """Messages of the queue as a stream; the checkpoint of the sink tracks offsets."""
+    """Messages of the queue as a stream; the checkpoint of the sink tracks offsets.
+
+    One fetch takes at most ``fetch_limit`` messages of Kafka, or ``files_per_batch`` files of a folder. How often one is
+    made is the sink's trigger (``interval`` of ``runs.run_to_end``)."""
     if kafka:
-        return spark.readStream.format("kafka").options(**kafka).load().select(
+        limit = {"maxOffsetsPerTrigger": str(fetch_limit)} if fetch_limit else {}
+        return spark.readStream.format("kafka").options(**kafka, **limit).load().select(
             F.col("key").cast("string"), F.col("value").cast("string")
         )
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)

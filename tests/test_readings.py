@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fleetlens.functions.text import quantity
 from fleetlens.operators import cluster, metrics, quotas, relations, tracking
+from fleetlens.operators.intake import REQUEST_SCHEMA, NoThrottle, TtlLocks, intake
 from fleetlens.plans.registry import ORACLES, QUERIES
 from fleetlens.sources import files
 
@@ -158,6 +159,17 @@ def test_streams_of_another_year(spark, tmp_path, name):
     assert difference(QUERIES[name](spark, str(tmp_path)), connect(tmp_path), ORACLES[name]) is None
 
 
+def test_a_refused_job_releases_its_lock(spark):
+    zero = datetime(2024, 1, 1)
+    rows = [(f"r{i}", zero + timedelta(seconds=s), "o", "sync", "p", {}, "", 30, "") for i, s in enumerate([0, 10, 20, 30, 400])]
+    requests = spark.createDataFrame(rows, REQUEST_SCHEMA)
+    refused = spark.createDataFrame([("r0",), ("r2",), ("r4",)], "request_id string")
+    got = {r["request_id"]: (r["outcome"], r["envelope"] is None) for r in intake(requests, NoThrottle(), TtlLocks(), refused=refused).collect()}
+    assert got == {"r0": ("refused", True), "r1": ("accepted", False), "r2": ("duplicate", True), "r3": ("duplicate", True), "r4": ("refused", True)}
+    plain = {r["request_id"]: r["outcome"] for r in intake(requests, NoThrottle(), TtlLocks()).collect()}
+    assert plain == {"r0": "accepted", "r1": "duplicate", "r2": "duplicate", "r3": "duplicate", "r4": "accepted"}
+
+
 def test_queries_run_from_another_folder(tmp_path):
     """Workers get the package from the driver, wherever that was started."""
     code = f"""
