@@ -43,7 +43,7 @@ class Grams:
     def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts in a row, each text followed by the end, and the number of tokens of each."""
         known, out, counts = self.known, [], []
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for t in texts:
             words = t.lower().split() if t else []
