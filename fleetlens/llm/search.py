@@ -59,23 +59,29 @@ def rotation(ints: DataFrame, dim: int) -> np.ndarray:
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of row pairs as whole numbers; Python's where 64 bits might not do."""
+    """Inner products of row pairs as whole numbers; those beyond 64 bits become the nearest of 64 bits."""
     bound = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[-1]
     if bound < 2**52:
         return (q * v).sum(axis=-1).astype(np.int64)
     whole = lambda a: np.array([int(x) for x in a.ravel()], dtype=object).reshape(a.shape)
-    return (whole(q) * whole(v)).sum(axis=-1)
+    top, low = 2**63 - 1, -(2**63)
+    return np.array([min(max(x, low), top) for x in (whole(q) * whole(v)).sum(axis=-1)], dtype=np.int64)
 
 
 def best(query: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query, highest score first, ties to the smaller id."""
-    order = np.lexsort((vec_id, -score if score.dtype != object else np.array([-x for x in score], dtype=object), query))
+    order = np.lexsort((vec_id, ~score, query))
     q = query[order]
     first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1] if len(q) else np.empty(0, dtype=np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
     return order[rank < k]
 
 
+def _below(score: np.ndarray) -> np.ndarray:
+    """A double that is surely no more than the score."""
+    return np.nextafter(score.astype(np.float64), -np.inf)
+
+
 def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of each query among the vectors of one chunk that may reach its threshold."""
     dim, lead = len(turn), max(1, len(turn) // 4)
@@ -102,7 +108,7 @@ def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, turn: np.ndarray, k: int
         a, b = live[a], b + at
         for part in np.array_split(np.arange(len(a)), max(1, len(a) * dim // 4_000_000)):
             score = exact(q_int[a[part]], v_int[b[part]])
-            enough = score >= np.ceil(need[a[part]] - 0.5)
+            enough = score >= need[a[part]]
             hits.append((a[part][enough], score[enough], v_id[b[part]][enough]))
         row, score, ids = (np.concatenate(x) for x in zip(*hits))
         keep = best(row, score, ids, k)
@@ -110,10 +116,8 @@ def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, turn: np.ndarray, k: int
         found, counts = np.unique(hits[0][0], return_counts=True)
         last = np.cumsum(counts) - 1
         full = counts == k  # these have k scores of their own: the last of them is a threshold
-        need[found[full]] = np.maximum(need[found[full]], hits[0][1][last[full]].astype(np.float64))
+        need[found[full]] = np.maximum(need[found[full]], _below(hits[0][1][last[full]]))
     row, score, ids = hits[0] if len(hits) == 1 else (np.concatenate(x) for x in zip(*hits))
-    top, low = 2**63 - 1, -(2**63)
-    score = np.array([min(max(int(x), low), top) for x in score], dtype=np.int64)
     return pd.DataFrame({"query_id": q_id[row], "vec_id": ids, "score": score})
 
 
@@ -129,7 +133,7 @@ def top_k(
     ``queries`` is a condition on ``vec_id``; ties go to the smaller id. Vectors of another length than the most common
     one of the table (the smaller, if two are) take no part, nor do unusable ones. A query's own id never is a hit, so
     rows that repeat an id are never hits of each other, and each asks for itself once: repeated (id, components) count
-    once. Scores beyond 64 bits are ranked exactly and shown as the nearest 64-bit number."""
+    once. Scores beyond 64 bits count as the nearest 64-bit number."""
     ints = usable(vectors, key, vector, scale).dropDuplicates(["vec_id", "ints"])
     ints = stored(ints.withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x * x))))
     sizes = ints.groupBy(F.size("ints").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -151,7 +155,7 @@ def top_k(
             hits = _tile(pdf.assign(threshold=-np.inf), longest, turn, k)
             counts = hits.groupby("query_id")["score"].agg(["size", "min"])
             kth = counts["min"].where(counts["size"] == k).reindex(pdf["vec_id"]).to_numpy(dtype=float)
-            yield pdf.assign(threshold=np.where(np.isnan(kth), -np.inf, kth))
+            yield pdf.assign(threshold=np.where(np.isnan(kth), -np.inf, _below(kth)))
 
     asked = ints.where(queries).mapInPandas(first, "vec_id long, ints array<double>, norm double, threshold double")
     # |v| must reach threshold / |q|; a threshold below 0 rules out nothing
