@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.segments import ROWS_PER_TASK, Scan, ranged, running, scan, split, split_by_time
+from fleetlens.operators.segments import ROWS_PER_TASK, Scan, ranged, running, scan, split
+from fleetlens.session import written
 
 # fixed values: public autoscaler tolerance, and the default specification
 TOLERANCE = 0.1
@@ -70,15 +71,16 @@ def positions(df: DataFrame, by: list[str], order: list[str], rows_per_task: int
     return s.done().withColumns({"is_first": F.col("position") == 1, "is_last": F.col("_next").isNull()}).drop("_next")
 
 
-def concurrency(jobs: DataFrame, by: list[str], start: str, end: str, limit: int, segment_seconds: int = 30 * 86400) -> DataFrame:
-    """Running jobs after each instant at which one starts or ends; an end frees its place at that instant."""
+def concurrency(jobs: DataFrame, by: list[str], start: str, end: str, limit: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Running jobs after each instant at which one starts or ends; an end frees its place at that instant.
+
+    Jobs are reduced to one row per instant, written once, and a key of very many instants is cut by their number."""
     begun = F.struct(F.col(start).alias("instant"), F.lit(1).alias("d"))
     done = F.struct(F.col(end).alias("instant"), F.lit(-1).alias("d"))
     changes = jobs.select(*by, F.explode(F.array(begun, done)).alias("c")).filter("c.instant is not null")
     steps = changes.groupBy(*by, "c.instant").agg(F.sum("c.d").alias("_d"))
-    us = F.unix_micros(F.col("instant").cast("timestamp"))
-    s = scan(split_by_time(steps, by, ["instant"], us, segment_seconds), {"running": Scan("sum", F.col("_d"))})
-    return s.done().drop("_d").withColumn("over_limit", F.col("running") > limit)
+    sums = running(written(steps, "steps"), by, ["instant"], {"running": Scan("sum", F.col("_d"))}, rows_per_task)
+    return sums.drop("_d").withColumn("over_limit", F.col("running") > limit)
 
 
 def throttle_state(

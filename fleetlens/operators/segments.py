@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.session import written
+
 ROWS_PER_TASK = 4_000_000
-MAX_CUTS = 1024  # cuts per hot key; also bounds the driver-side list
-BROADCAST_ROWS = 1_000_000
+MAX_CUTS = 8192  # cuts of one hot key; all keys together have about rows / rows_per_task of them
+BROADCAST_ROWS = 10_000  # of a list of keys that the driver holds anyway
 SAMPLE_ROWS = 4096  # sampled rows by which a key counts as large
 SEG = "_seg"
 SUB = 4096  # room for second-level segments inside one tied order value
@@ -44,6 +46,12 @@ class Segmented:
     def with_df(self, df: DataFrame) -> Segmented:
         return Segmented(df, self.by, self.order, self.segments)
 
+    def once(self) -> Segmented:
+        """Split rows are read twice by a scan, for the rows and for the carries, so they are written first.
+
+        A chain of scans thus reads each step's rows twice, and not the input twice for every step."""
+        return self.with_df(written(self.df, "segments")) if self.segments else self
+
     @property
     def group(self) -> list[str]:
         return [*self.by, SEG] if self.segments else self.by
@@ -95,10 +103,15 @@ def _between_cuts(value: Column, cuts: list, base: int) -> Column:
     return place(F.coalesce(value, F.lit(cuts[0])))
 
 
-def _quantiles(df: DataFrame, keys: list[str], value: Column, n: int) -> list[list]:
+def _quantiles(df: DataFrame, keys: list[str], value: Column, n: int, sizes: dict[tuple, int] | None = None) -> list[list]:
+    """Quantiles per key, each key with as many as its size in ``sizes`` asks for (default: n)."""
     probs = [i / n for i in range(1, n)]
     rows = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * n).alias("q")).collect()
-    return [r["q"] or [] for r in rows]
+    out = []
+    for r in rows:
+        q, own = r["q"] or [], n if sizes is None else sizes.get(tuple(r[k] for k in keys), n)
+        out.append(q if own >= n else [q[i * n // own - 1] for i in range(1, own)] if q else [])
+    return out
 
 
 def large_keys(df: DataFrame, by: list[str], limit: int) -> tuple[list[Row], float]:
@@ -135,12 +148,11 @@ def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = R
         marked = df.withColumn("_hot", F.lit(True))
     hot_rows = (marked.sample(share, 17) if share < 1 else marked).filter("_hot")
     first = position(df, order[0])
-    per_key = _quantiles(hot_rows, by, first, n)
+    sizes = {tuple(r[k] for k in by): min(MAX_CUTS, -(-r["_n"] // rows_per_task) + 1) for r in hot}
+    per_key = _quantiles(hot_rows, by, first, n, sizes)
     cuts = sorted({c for q in per_key for c in q if c is not None})
     if not cuts:
         return Segmented(df, by, order, 0)  # the order column is null throughout
-    if len(cuts) > MAX_CUTS:
-        cuts = cuts[:: -(-len(cuts) // MAX_CUTS)]
     seg = F.when(first.isNull(), F.lit(1)).otherwise(_between_cuts(first, cuts, 2)) * SUB
     tied = sorted({c for q in per_key for c, d in zip(q, q[1:]) if c == d} & set(cuts))
     sub_cuts: list = []
@@ -159,17 +171,9 @@ def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = R
     return Segmented(out, by, order, len(hot) * per_hot_key)
 
 
-def split_by_time(df: DataFrame, by: list[str], order: list[str], us: Column, seconds: int) -> Segmented:
-    """Segments of a fixed length of time, for data already reduced to one row per key and instant.
-
-    Nothing is measured beforehand, so an expensive input is not computed twice.
-    """
-    seg = F.floor(us / F.lit(seconds * 10**6)).cast("long") + F.lit(1 << 40)  # above zero before the epoch too
-    return Segmented(df.withColumn(SEG, seg), by, order, BROADCAST_ROWS + 1)
-
-
 def scan(s: Segmented, cols: dict[str, Scan], reverse: bool = False) -> Segmented:
     """Running values per key in order (or in reverse order), inclusive of the row."""
+    s = s.once()
     turn = (lambda c: F.col(c).desc()) if reverse else F.col
     ordered = Window.partitionBy(*s.group).orderBy(*[turn(c) for c in s.order])
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -217,9 +221,8 @@ def scan(s: Segmented, cols: dict[str, Scan], reverse: bool = False) -> Segmente
             carries.append(getattr(F, kind)(c).over(before).alias("_c_" + name))
         else:
             carries.append(F.last(c, ignorenulls=True).over(before).alias("_c_" + name))
-    carry = bounded_broadcast(
-        summary.select(*[F.col(k).alias("_k_" + k) for k in s.group], *carries), s.segments
-    )
+    # a carry holds any expression, so its size isn't known here: Spark measures it and chooses the join
+    carry = summary.select(*[F.col(k).alias("_k_" + k) for k in s.group], *carries)
     joined = out.join(carry, same_key(out, carry, s.group, "_k_"), "left")
     final = {}
     for name, (kind, _) in cols.items():

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.intake import (
@@ -16,7 +17,9 @@ from fleetlens.operators.intake import (
     throttle,
     token_bucket,
 )
-from fleetlens.operators.segments import Scan, ranged, running, split
+from fleetlens.operators.segments import Scan, ranged, running, scan, split
+from fleetlens.plans.registry import BUILDS
+from fleetlens.sources.tables import Tables
 
 T0 = datetime(2024, 1, 1)
 
@@ -205,3 +208,18 @@ def test_intake_against_serial_machine(spark, limit):
         us = int((c["ts"] - datetime(1970, 1, 1)).total_seconds()) * 10**6
         want[c["request_id"]] = machine.decide(state, us, None if c["timeout_seconds"] else "bad", c["prompt"])
     assert got == want
+
+
+def test_more_than_a_thousand_cuts(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("v"), F.lit("k").alias("k"))
+    s = split(df, ["k"], ["v"], 25)
+    assert s.segments > 2400
+    out = scan(s, {"n": Scan("row_number")}).done()
+    assert out.withColumn("want", F.row_number().over(Window.orderBy("v"))).filter("n <> want").count() == 0
+
+
+@pytest.mark.parametrize("name", ["w6_islands", "w7_probe_state", "w13_positions", "a10_incidents", "a15_sessions", "j11_change_events"])
+def test_split_scans_read_the_input_once(spark, name):
+    """What is split is written once, and the last scan reads it for its rows and for its carries."""
+    df = BUILDS[name](Tables(spark, "/root/testdata/sf0.001", rows_per_task=25))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 2
