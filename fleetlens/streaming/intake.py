@@ -2,7 +2,8 @@
 
 State per tenant is bounded by the limits (admitted instants of the long window, live locks) and by what arrives within
 the watermark's delay, as requests wait until none can come before them.
-A tenant silent for the long window and its buffer is forgotten by an event-time timer.
+A silent tenant's short window is forgotten by one event-time timer, and all of its state, after the long window and its
+buffer, by another.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from fleetlens.operators.intake import IntakeMachine, SlidingThrottle, TtlLocks, prepare
 from fleetlens.streaming.runs import use_rocksdb
 
-IDLE_BUFFER_US = 600 * 10**6  # fixed value: ten minutes beyond the long window
+# fixed values: an idle tenant's windows are forgotten ten seconds and ten minutes after their length
+SHORT_BUFFER_US = 10 * 10**6
+IDLE_BUFFER_US = 600 * 10**6
 
 OUTPUT = T.StructType(
     [
@@ -48,6 +51,7 @@ class IntakeProcessor(StatefulProcessor):
 
     def __init__(self, throttle: SlidingThrottle, locks: TtlLocks):
         self.machine = IntakeMachine(throttle, locks)
+        self.short_us = throttle.short + SHORT_BUFFER_US
         self.keep_us = max(throttle.long, locks.ttl) + IDLE_BUFFER_US
 
     def init(self, handle) -> None:
@@ -74,7 +78,8 @@ class IntakeProcessor(StatefulProcessor):
             outcomes = [self.machine.decide(state, int(us), error, lock) for us, _, error, lock, _ in due]
             last = max(int(due[-1][0]), last or 0)
             self.state.update((self.machine.dump(state), last))
-            self.handle.registerTimer((last + self.keep_us) // 1000 + 1)
+            for wait in (self.short_us, self.keep_us):
+                self.handle.registerTimer((last + wait) // 1000 + 1)
             rest = waiting[len(due) :]
             self.open.clear()
             if rest:
@@ -88,6 +93,10 @@ class IntakeProcessor(StatefulProcessor):
             )
         elif last is not None and not waiting and now >= last + self.keep_us:
             self.state.clear()
+        elif last is not None and now >= last + self.short_us:
+            state = self.machine.load(saved)
+            state["throttle"]["short"].clear()
+            self.state.update((self.machine.dump(state), last))
 
     def close(self) -> None:
         pass

@@ -1,5 +1,6 @@
 """Streams in several micro-batches against their batch twins, and state expiry."""
 
+import json
 import random
 import time
 from datetime import datetime, timedelta
@@ -67,6 +68,22 @@ def test_idle_tenant_is_forgotten(spark, requests):
     assert {r[0] for r in held.select("key.organization_id").collect()} == {"last"}
 
 
+def test_windows_of_an_idle_tenant_expire_apart(spark):
+    row = lambda i, m, org: (i, T0 + timedelta(minutes=m), org, "sync", "p", {"a": "1"}, "", 30, "")
+    rows = [row("a", 0, "idle"), row("b", 30, "x"), row("c", 40, "x"), row("d", 45, "x")]
+    stream = intake_stream(in_steps(spark, rows, REQUEST_SCHEMA, 4), SlidingThrottle(2, 30))
+    out = new_folder(spark, "apart")
+    q = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "intake").load(out + "-c")
+    saved = {r[0]: json.loads(r[1]) for r in held.select("key.organization_id", "value.saved").collect()}
+    (short, long), _ = saved["idle"]
+    assert short == [] and len(long) == 1
+
+
 def test_changes_over_micro_batches(spark):
     rng = random.Random(2)
     polls = []
