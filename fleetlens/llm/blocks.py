@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -64,6 +64,7 @@ def pack(
     stays the same for every later pass, however that is partitioned."""
     kind = F.lit(0) if kind is None else kind
     carry = carry or []
+    names, types = ["block", "kind", "rows"], [pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -76,11 +77,13 @@ def pack(
             others, texts = zip(*open_.pop(k))
             sizes.pop(k)
             made += 1
-            return pd.DataFrame({"block": [(part << 24) + made], "kind": [k], "rows": [pack_rows(others, texts)]})
+            row = [[(part << 24) + made], [k], [pack_rows(others, texts)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names)
 
-        for pdf in batches:
-            others = pdf.iloc[:, 2:].astype(object).where(pdf.iloc[:, 2:].notna(), None).values.tolist()
-            for k, t, o in zip(pdf["kind"].tolist(), pdf["text"].tolist(), others):
+        # Arrow values one by one: a batch is never held as Python objects
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, t, *o = (column[i].as_py() for column in batch.columns)
                 raw = t.encode() if t is not None else None
                 open_.setdefault(k, []).append((o, raw))
                 sizes[k] = sizes.get(k, 0) + len(raw or b"") + 64
@@ -91,7 +94,7 @@ def pack(
 
     others = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(kind.cast("int").alias("kind"), F.col(text).alias("text"), *others)
-    return stored(rows.mapInPandas(run, "block long, kind int, rows binary"))
+    return stored(rows.mapInArrow(run, "block long, kind int, rows binary"))
 
 
 def pack_rows(others, texts) -> bytes:

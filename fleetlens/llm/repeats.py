@@ -23,14 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.blocks import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack_rows
+from fleetlens.llm.blocks import (
+    carried, carry_schema, expand, expand_sorted, pack, restored, squeeze, squeeze_sorted, unpack_rows,
+)
 from fleetlens.llm.common import expanding, mix, stored
 
 WIDTH = 200
 TOKEN = 64
-SEGMENT = 1 << 21
-BUCKET_SUFFIXES = 1_000_000
+SEGMENT = 1 << 19
+BUCKET_SUFFIXES = 600_000
 SAMPLED = 64  # one document of so many gives splitters
+SPLITTERS = 1024  # sampled splitters at most; between two, the values are divided evenly
+WINDOWS = 64  # about as many windows has a phrase
 NONE, WHOLE, OPEN, SEND = 0, 1, 2, 4
 _K = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _K)
@@ -105,8 +109,8 @@ def phrases(buffer: np.ndarray, text: np.ndarray, width: int = WIDTH, token: int
     h = tokens(buffer, token)
     place = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
     anchor = (_least(place, width - token + 1)[:n] & np.uint64(0xFFFFFF)).astype(np.int64)
-    part = _pieces(text)[:n]
-    valid = part == _pieces(text)[width - 1 :][:n]
+    part = text[:n]
+    valid = part == text[width - 1 :]
     first = valid.copy()
     first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
     start = np.flatnonzero(first)
@@ -122,10 +126,6 @@ def phrases(buffer: np.ndarray, text: np.ndarray, width: int = WIDTH, token: int
     return {"start": start, "count": count, "lead": h[anchor[start]], "whole": whole, "tokens": h}
 
 
-def _pieces(text: np.ndarray) -> np.ndarray:
-    return text
-
-
 def windows(h: np.ndarray, start: np.ndarray, count: np.ndarray, width: int = WIDTH, token: int = TOKEN):
     """Place, leading token and the fingerprint of the rest of every window of the phrases given."""
     at = np.repeat(start, count) + expanding(count)
@@ -168,7 +168,7 @@ def _sent(block: int, lead: np.ndarray, whole: np.ndarray, twice: np.ndarray, sp
 
 
 _SENT = "block long, bucket int, leads binary, wholes binary"
-_ANSWER = "block long, bucket int, step int, answer binary"
+_ANSWER = "block long, bucket int, step int, n_open long, answer binary"
 
 
 def _sort_bucket(pdf: pd.DataFrame):
@@ -198,14 +198,16 @@ def _answer_phrases(pdf: pd.DataFrame) -> pd.DataFrame:
     sender = first[~alone & some_open]
     rows[sender] |= SEND
     return pd.DataFrame({
-        "block": pdf["block"], "bucket": pdf["bucket"], "step": 1, "answer": [squeeze(x) for x in np.split(rows, cuts)],
+        "block": pdf["block"], "bucket": pdf["bucket"], "step": 1,
+        "n_open": [int((x >= OPEN).sum()) for x in np.split(rows, cuts)],
+        "answer": [squeeze(x) for x in np.split(rows, cuts)],
     })
 
 
 def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf, cuts, name, _, often, _ = _sort_bucket(pdf)
     return pd.DataFrame({
-        "block": pdf["block"], "bucket": pdf["bucket"], "step": 2,
+        "block": pdf["block"], "bucket": pdf["bucket"], "step": 2, "n_open": 0,
         "answer": [squeeze(np.packbits(x), np.array([len(x)])) for x in np.split(often[name], cuts)],
     })
 
@@ -228,33 +230,40 @@ def _open_windows(texts: list[bytes | None], code: np.ndarray, width: int, wante
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, k) for k in kinds)
 
 
-def _splitters(sample: DataFrame, buckets: int) -> np.ndarray:
-    """Cuts between leading tokens, from a sample of them; their number is that of the buckets."""
-    if buckets < 2:
-        return np.empty(0, dtype=np.uint64)
-    found = sample.agg(F.percentile_approx("lead", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    return np.unique(np.array([x + 2**63 for x in found or []], dtype=np.uint64))
+def _splitters(sample: DataFrame, step: int, suffixes: int) -> np.ndarray:
+    """Cuts between leading tokens for buckets of bounded size."""
+    buckets = max(8, -(-suffixes // BUCKET_SUFFIXES))
+    sampled = min(buckets, SPLITTERS)
+    shares = [i / sampled for i in range(1, sampled)]
+    found = sample.where(F.col("step") == step).agg(F.percentile_approx("lead", shares, 10_000)).first()[0]
+    cuts = [0, *sorted(x + 2**63 for x in set(found or [])), 2**64 - 1]
+    parts = -(-buckets // sampled)
+    fine = {a + (b - a) * i // parts for a, b in zip(cuts[:-1], cuts[1:]) for i in range(parts)} - {0}
+    return np.array(sorted(fine), dtype=np.uint64)
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of ``docs``.
+def repeated(
+    docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = WIDTH
+) -> DataFrame:
+    """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) for every row of ``docs``.
 
     A byte goes if a string of ``width`` bytes that covers it also starts anywhere else in any text, the same included;
     all strings are judged on the input. Texts are UTF-8; null ones count as empty, and texts shorter than ``width``
-    stay. Rows that repeat repeat each other. What stays may begin or end inside a character. Ids must be whole numbers
-    or null."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    blocks = pack(named)
+    stay. Rows that repeat repeat each other. What stays may begin or end inside a character."""
+    carry = list(carry)
+    blocks = pack(docs, text, carry)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(8, round(size / 70 / BUCKET_SUFFIXES))
 
     def sampled(batches):
         for pdf in batches:
-            p = _block([t.encode() for t in pdf["text"]], width)
-            yield pd.DataFrame({"lead": (np.unique(p["lead"]) ^ np.uint64(1 << 63)).view(np.int64)})
+            for buffer, text, _ in segments([t.encode() for t in pdf["text"]], width):
+                p = phrases(buffer, text, width)
+                for step, lead in ((1, np.unique(p["lead"])), (2, p["tokens"][:: 4 * SAMPLED])):
+                    yield pd.DataFrame({"step": step, "lead": (lead ^ np.uint64(1 << 63)).view(np.int64)})
 
-    chosen = named.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0))
-    splitters = _splitters(chosen.select("text").mapInPandas(sampled, "lead long"), buckets)
+    chosen = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0)
+    sample = stored(chosen.where("text is not null").mapInPandas(sampled, "step int, lead long"))
+    splitters = _splitters(sample, 1, size * 2 // (width - TOKEN))
 
     def ask(batches):
         for pdf in batches:
@@ -266,6 +275,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     asked = blocks.mapInPandas(ask, _SENT)
     first = stored(asked.groupBy("bucket").applyInPandas(_answer_phrases, _ANSWER))
 
+    n_open = first.agg(F.sum("n_open")).first()[0] or 0
+    window_splitters = _splitters(sample, 2, n_open * WINDOWS)
+
     def ask_open(key, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(got):
             return pd.DataFrame({"block": [], "bucket": [], "leads": [], "wholes": []})
@@ -274,17 +286,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         code = _first_senders(_codes(got, _distinct(p["lead"], p["whole"])[2]), p)
         _, _, lead, rest, kind = _open_windows(texts, code, width, OPEN | SEND)
         lead, rest, _, twice = _distinct(lead, rest)
-        return _sent(int(rows["block"].iloc[0]), lead, rest, twice, splitters)
+        return _sent(int(rows["block"].iloc[0]), lead, rest, twice, window_splitters)
 
     pairs = blocks.groupBy("block").cogroup(first.groupBy("block"))
     second = pairs.applyInPandas(ask_open, _SENT).groupBy("bucket").applyInPandas(_answer_windows, _ANSWER)
     answers = stored(first.unionByName(second))
 
     def cut(key, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        names = ["n_bytes", "n_removed", "n_spans", "kept"]
         if not len(rows):
-            return pd.DataFrame({c: [] for c in names})
-        ids, texts = unpack_rows(rows["rows"].iloc[0])
+            return pd.DataFrame({c: [] for c in [*(f"c{i}" for i in range(len(carry))), *names]})
+        others, texts = unpack_rows(rows["rows"].iloc[0])
         sizes = np.array([len(t or b"") for t in texts])
         base = np.cumsum(sizes) - sizes
         marks = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
@@ -306,20 +318,20 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                 np.add.at(marks, begin + width, -1)
         gone = np.cumsum(marks[:-1]) > 0
         out = []
-        for i, t, b, n in zip(ids, texts, base.tolist(), sizes.tolist()):
+        for t, b, n in zip(texts, base.tolist(), sizes.tolist()):
             mine = gone[b : b + n]
             removed = int(mine.sum())
             kept, spans = t or b"", 0
             if removed:
                 kept = np.frombuffer(t, dtype=np.uint8)[~mine].tobytes()
                 spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
-            out.append((i, n, removed, spans, kept))
-        frame = pd.DataFrame(out, columns=names)
-        return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            out.append((n, removed, spans, kept))
+        return pd.DataFrame(carried(others, carry) | dict(zip(names, map(list, zip(*out)))))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        cut, carry_schema(carry) + "n_bytes long, n_removed long, n_spans long, kept binary"
     )
+    return restored(done, docs, carry, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def _first_senders(code: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
