@@ -62,6 +62,7 @@ def recent_events(df: DataFrame, order: list[str], n: int = 30) -> DataFrame:
 def limit_results(df: DataFrame, order: list[str], max_results: int | None = None) -> DataFrame:
     """Default 10; from 1 to 100, else an error."""
     n = 10 if max_results is None else max_results
+    # fixed values: the messages
     if n <= 0:
         raise ValueError("maxResults must be greater than 0")
     if n > 100:

@@ -55,6 +55,7 @@ def change_line(name: Column, status: Column, conclusion: Column, is_new: Column
     shown = F.when(status == "completed", F.coalesce(F.nullif(conclusion, F.lit("")), status)).otherwise(status)
     name = F.coalesce(F.nullif(name, F.lit("")), F.lit("job"))
     text = lambda c: F.coalesce(c, F.lit("None"))
+    # fixed values: the lines' wording
     return F.when(is_new, F.concat(F.lit("Job started: "), name, F.lit(" ("), text(status), F.lit(")"))).otherwise(
         F.concat(F.lit("Job "), name, F.lit(": "), text(shown))
     )
@@ -102,6 +103,7 @@ def run_created(
     """A line whenever a poll names another run than the one known before; polls without a run say nothing."""
     named = polls.filter(F.col(run_id).isNotNull() & (F.col(run_id) != 0))
     rows = running(named, key, order, {"_old": Scan("lag", F.col(run_id))}, rows_per_task)
+    # fixed value: the line's wording
     line = F.concat(F.lit("GitHub Actions run #"), F.col(run_id), F.lit(" created"))
     fresh = rows.filter(~F.col("_old").eqNullSafe(F.col(run_id))).drop("_old")
     return fresh.withColumn("line", line).withColumn("level", level_of(F.col("line")))

@@ -23,6 +23,7 @@ def report_lines(df: DataFrame, cols: list[str], title: str, as_of: str) -> Data
     """Report as (section, line): head, one line per row, total."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols]), F.lit(" |"))
     rows = df.select(F.lit(1).alias("section"), cells.alias("line"))
+    # fixed values: the report's headings, here and in the total
     titles = F.array(F.lit(title), F.lit(f"Last Updated: {as_of}"), F.lit("|| " + " || ".join(cols) + " ||"))
     head = df.sparkSession.range(1).select(F.lit(0).alias("section"), F.explode(titles).alias("line"))
     total = df.groupBy().count().select(

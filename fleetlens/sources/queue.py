@@ -89,6 +89,7 @@ def decode_envelope(df: DataFrame, value: str = "value", config_schema: str | No
         "config_source",
         F.when(payload.isNotNull(), F.lit("payload")).when(given.isNotNull(), F.lit("parameters")),
     )
+    # fixed values: the error texts, here and in resolve_server
     errors = [
         F.when(~_is_object(raw), F.lit("failed to unmarshal job envelope")),
         F.when(F.col("config_json").isNull(), F.lit("no config found in payload or parameters")),
