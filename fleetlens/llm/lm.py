@@ -74,10 +74,11 @@ def asked(grams: Grams, texts: list[bytes | None]) -> tuple[list[np.ndarray], np
     return keys, counts, np.unique(np.concatenate(keys))
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Cuts of sorted keys by bucket: equal ranges of the 64-bit space."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]])
+def _bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, equal ranges of the 64-bit space, and where the keys of each begin."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    return of[first].astype(np.int64), first
 
 
 def _ask(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -92,11 +93,10 @@ def _ask(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 for k in keys if kind != FREE else ():
                     u, c = np.unique(k, return_counts=True)
                     count[np.searchsorted(distinct, u)] += c
-                cuts = _bucket(distinct, buckets)
+                present, first = _bucket(distinct, buckets)
                 out = [
                     (block, kind, b, squeeze_sorted(distinct[i:j]), squeeze(least_type(count[i:j])))
-                    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:]))
-                    if j > i
+                    for b, i, j in zip(present.tolist(), first, np.r_[first[1:], len(distinct)])
                 ]
                 yield pd.DataFrame(out, columns=["block", "kind", "bucket", "keys", "counts"])
 

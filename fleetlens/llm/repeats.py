@@ -159,10 +159,10 @@ def _block(texts: list[bytes | None], width: int):
 
 def _sent(block: int, lead: np.ndarray, whole: np.ndarray, twice: np.ndarray, splitters: np.ndarray) -> pd.DataFrame:
     cuts = np.r_[0, np.searchsorted(lead, splitters, side="right"), len(lead)]
+    present = np.flatnonzero(cuts[1:] > cuts[:-1])
     rows = [
         (block, b, squeeze_sorted(lead[i:j]), squeeze(whole[i:j], np.packbits(twice[i:j])))
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:]))
-        if j > i
+        for b, i, j in zip(present.tolist(), cuts[present], cuts[present + 1])
     ]
     return pd.DataFrame(rows, columns=["block", "bucket", "leads", "wholes"])
 
