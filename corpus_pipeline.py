@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated strings (and of characters cut in two by that). A document goes if no word of
     it is left by this; all others stay. A null text becomes empty."""
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode(errors="ignore"))
-
     others = [c for c in COLUMNS if c != "text"]
-    cut = repeats.repeated(docs, carry=tuple(others)).withColumn("text", text_of("kept"))
+    cut = repeats.repeated(docs, carry=tuple(others), as_text=True).withColumnRenamed("kept", "text")
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

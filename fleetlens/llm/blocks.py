@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import stored
 
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:

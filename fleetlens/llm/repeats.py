@@ -243,10 +243,13 @@ def _splitters(sample: DataFrame, step: int, suffixes: int) -> np.ndarray:
 
 
 def repeated(
-    docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = WIDTH
+    docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = WIDTH,
+    as_text: bool = False,
 ) -> DataFrame:
     """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) for every row of ``docs``.
 
+    With ``as_text``, kept is a string, without the characters that a removal cut in two.
+
     A byte goes if a string of ``width`` bytes that covers it also starts anywhere else in any text, the same included;
     all strings are judged on the input. Texts are UTF-8; null ones count as empty, and texts shorter than ``width``
     stay. Rows that repeat repeat each other. What stays may begin or end inside a character."""
@@ -325,11 +328,11 @@ def repeated(
             if removed:
                 kept = np.frombuffer(t, dtype=np.uint8)[~mine].tobytes()
                 spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
-            out.append((n, removed, spans, kept))
+            out.append((n, removed, spans, kept.decode(errors="ignore") if as_text else kept))
         return pd.DataFrame(carried(others, carry) | dict(zip(names, map(list, zip(*out)))))
 
     done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        cut, carry_schema(carry) + "n_bytes long, n_removed long, n_spans long, kept binary"
+        cut, carry_schema(carry) + f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     )
     return restored(done, docs, carry, "n_bytes", "n_removed", "n_spans", "kept")
 
