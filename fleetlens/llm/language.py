@@ -54,7 +54,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int =
     names = sorted(names)
     ids = docs.where(F.col(lang).isin(names) & F.col("doc_id").isNotNull()).select("doc_id")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    known = docs.join(chosen, "doc_id").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = docs.join(F.broadcast(chosen), "doc_id").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -22,7 +22,7 @@ from fleetlens.llm.common import mix
 BITS = 18
 SAMPLE = 16_384  # labelled texts a model is fitted on at most
 SHARDS = 8
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 REPEAT = re.compile(rb"(.)\1+")
 
@@ -107,7 +107,8 @@ def sample_of(
         .where("label = other").select("doc_id", "label")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     )
-    return docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id")
+    # at most ``size`` ids and labels, so the texts need not move to find theirs
+    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
 def train(sample: DataFrame, text: str = "text", shards: int = SHARDS, ftrl: Ftrl | None = None) -> np.ndarray:
@@ -116,7 +117,7 @@ def train(sample: DataFrame, text: str = "text", shards: int = SHARDS, ftrl: Ftr
     What comes back to the driver is one number for each slot."""
     ftrl = ftrl or Ftrl()
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("order", kind="stable")
         w = ftrl.fit(pdf["text"].tolist(), pdf["label"].to_numpy(dtype=float), seed=int(key[0]))
         at = np.flatnonzero(w)
