@@ -2,8 +2,9 @@
 
 A source's documents, in an order by hash, are one stream, cut into blocks of equal size. Time goes in slots, one block
 each. Block i of a source of weight w may not start before floor(i / w) and must be done by ceil((i + 1) / w); the earliest
-deadline goes first. Weights are fractions of ``period``, so the schedule of one period repeats for ever, is worked out once
-for any number of blocks, and keeps every source less than one block from its weight at every time.
+deadline goes first, which keeps every source less than one block from its weight at every time. Weights are fractions of a
+period of at least half the square of the mixture's slots, so that their rounding moves no source by more than 2 / slots of
+a block; the schedule is worked out for the slots of the mixture only.
 
 The mixture goes on until every source has been delivered whole; a source that is through begins again (the next epoch).
 """
@@ -11,7 +12,11 @@ The mixture goes on until every source has been delivered whole; a source that i
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,40 +27,64 @@ SOURCES = 255  # largest sources with a weight of their own; all others are one
 BLOCK = 65_536
 TEMPERATURE = 0.9
 ROWS_PER_PART = 50_000
+BROADCAST_ROWS = 1_000_000  # deliveries up to which the plan is sent to every executor
 REST = "rest"
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each positive weight, by largest remainders, at least one each."""
+    """Whole slots of a period for each positive weight, by largest remainders. A weight that gets none is left out."""
     used = {k: w for k, w in sorted(weights.items()) if w > 0}
     if len(used) > period:
         raise ValueError("more sources than slots of a period")
-    total, spare = sum(used.values()), period - len(used)
-    exact = {k: w / total * spare for k, w in used.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out.values()) if out else 0]:
+    total = math.fsum(used.values())
+    exact = {k: w / total * period for k, w in used.items()}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: period - sum(out.values()) if out else 0]:
         out[k] += 1
-    return out
+    return {k: n for k, n in out.items() if n}
 
 
-def schedule(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of a period, by earliest deadline among the released blocks."""
+def schedule(slots: dict[str, int], blocks: dict[str, int] | None = None) -> list[str]:
+    """The source of each slot, by earliest deadline among the released blocks: for one period, or, given their ``blocks``,
+    until all sources have been delivered whole."""
     period = sum(slots.values())
     waiting = [(0, k, 0) for k in slots]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    out = []
-    for now in range(period):
-        while waiting and waiting[0][0] <= now:
+    out: list[str] = []
+    missing = len(blocks) if blocks is not None else None
+    while missing if blocks is not None else len(out) < period:
+        while waiting and waiting[0][0] <= len(out):
             _, k, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * period // slots[k]), k, i))
         _, k, i = heapq.heappop(ready)
         out.append(k)
-        if i + 1 < slots[k]:
-            heapq.heappush(waiting, ((i + 1) * period // slots[k], k, i + 1))
+        heapq.heappush(waiting, ((i + 1) * period // slots[k], k, i + 1))
+        if blocks is not None and i + 1 == blocks[k]:
+            missing -= 1
     return out
 
 
+def period_for(weights: dict[str, float], blocks: dict[str, int], least: int = PERIOD) -> int:
+    """``least`` doubled up to half the square of the slots in which all sources are delivered whole."""
+    total = math.fsum(weights.values())
+    horizon = max(math.ceil(n * total / weights[k]) for k, n in blocks.items())
+    while 2 * least < horizon * horizon:
+        least *= 2
+    return least
+
+
+def deliveries(order: list[str], blocks: dict[str, int]) -> pd.DataFrame:
+    """__class, block, epoch and slot of each slot of ``order``."""
+    given: Counter[str] = Counter()
+    turn = np.empty(len(order), dtype=np.int64)
+    for at, k in enumerate(order):
+        turn[at] = given[k]
+        given[k] += 1
+    whole = np.array([blocks[k] for k in order], dtype=np.int64)
+    return pd.DataFrame({"__class": order, "block": turn % whole, "epoch": turn // whole, "slot": np.arange(len(order))})
+
+
 def _name(source: Column) -> Column:
     """A null source is a source too, apart from all texts."""
     return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source.cast("string")))
@@ -90,7 +119,6 @@ def mix_sources(
     docs = docs.drop("block", "epoch", "slot")
     known = sorted(k for k, w in weights.items() if w > 0 and k != REST)
     name = _name(F.col(source))
-    # at most as many classes as a period has slots
     class_of = F.when(name.isin(known), name).otherwise(F.lit(REST)) if known else F.lit(REST)
     rows = docs.withColumns({"__class": class_of, "__hash": F.xxhash64(key), "__size": _size(F.col(text))})
     total = rows.count()
@@ -110,30 +138,17 @@ def mix_sources(
     placed = rows.join(sums.select("__class", "__part", "__before"), ["__class", "__part"]).withColumn(
         "block", F.floor((F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0))) / block)
     )
-    # a class's blocks by its size: at most one row for each slot of a period
     blocks = {
         r["__class"]: -(-int(r["size"]) // block)
         for r in sums.groupBy("__class").agg(F.sum("__sum").alias("size")).collect()
     }
     mean = sum(weights[k] for k in known) / len(known) if known else 1.0
     rest = weights.get(REST, 0)
-    slots = shares({k: weights[k] if k in known else rest if rest > 0 else mean for k in blocks}, period)
-    order = schedule(slots)
-    spots: dict[str, list[int]] = {k: [] for k in slots}
-    for at, k in enumerate(order):
-        spots[k].append(at)
-    # slots until all are whole, and how many blocks each class delivers in them
-    end = 1 + max((n - 1) // slots[k] * period + spots[k][(n - 1) % slots[k]] for k, n in blocks.items())
-    delivered = {k: end // period * slots[k] + sum(x < end % period for x in spots[k]) for k in blocks}
-    plan = spark.createDataFrame(
-        [(k, n, delivered[k], slots[k], spots[k]) for k, n in blocks.items()],
-        "__class string, __blocks long, __delivered long, __share long, __spots array<int>",
-    )
-    sent = placed.join(F.broadcast(plan), "__class")  # a period's slots in all
-    last = F.floor((F.col("__delivered") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
-    sent = sent.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    turn = F.col("block") + F.col("epoch") * F.col("__blocks")
-    spot = F.element_at("__spots", (F.pmod(turn, F.col("__share")) + 1).cast("int"))
-    slot = F.floor(turn / F.col("__share")) * period + spot
-    extra = ["__class", "__hash", "__size", "__part", "__before", "__blocks", "__delivered", "__share", "__spots"]
-    return sent.withColumn("slot", slot.cast("long")).drop(*extra).select(*docs.columns, "block", "epoch", "slot")
+    targets = {k: weights[k] if k in known else rest if rest > 0 else mean for k in blocks}
+    slots = shares(targets, period_for(targets, blocks, period))
+    # one row for each slot, whatever the number of rows
+    sent = deliveries(schedule(slots, blocks), blocks)
+    plan = spark.createDataFrame(sent, "__class string, block long, epoch long, slot long")
+    if len(sent) <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    return placed.join(plan, ["__class", "block"]).select(*docs.columns, "block", "epoch", "slot")

@@ -91,3 +91,32 @@ def test_odd_rows(spark):
     assert mixing.mix_sources(empty, mixing.tempered(empty)).count() == 0
     with pytest.raises(ValueError):
         mixing.shares({str(i): 1.0 for i in range(mixing.PERIOD + 1)})
+
+
+@pytest.mark.parametrize("size", [10, 100, 256])
+def test_every_prefix_is_less_than_a_block_from_the_target(size):
+    """Against the weights themselves: a third for one source, the rest by tempered sizes, one of a single block."""
+    sizes = {"big": 2000} | {f"s{i:03}": 1 + 37 * i % 50 for i in range(size - 1)}
+    rest = sum(n**0.9 for k, n in sizes.items() if k != "big")
+    weights = {k: rest / 2 if k == "big" else n**0.9 for k, n in sizes.items()}
+    slots = mixing.shares(weights, mixing.period_for(weights, sizes))
+    order = mixing.schedule(slots, sizes)
+    share = {k: w / sum(weights.values()) for k, w in weights.items()}
+    seen = Counter()
+    for n, k in enumerate(order, 1):
+        seen[k] += 1
+        if n % 7 == 0 or n == len(order):
+            assert all(abs(seen[s] - n * w) < 1 + 1e-3 for s, w in share.items())
+    assert all(seen[k] >= n for k, n in sizes.items()) and len(order) > mixing.PERIOD
+
+
+def test_delivered_blocks_follow_the_target_weights(spark):
+    rows = [(i, "w" * 99, "hot" if i % 3 == 0 else f"s{i % 97:02}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = mixing.tempered(docs)
+    total = sum(weights.values())
+    sent = mixing.mix_sources(docs, weights, block=100).select("source", "slot").collect()
+    end = 1 + max(r.slot for r in sent)
+    count = Counter("=" + r.source for r in sent)
+    assert len({r.slot for r in sent}) == len(sent) == end
+    assert all(abs(count[k] - end * w / total) < 1.001 for k, w in weights.items())
