@@ -44,7 +44,7 @@ def dedup_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture in the order of its slots: every document at least once, small sources repeated up to their weight."""
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix_sources(docs, mixing.tempered(docs))
+    mixed = mixing.mix_sources(docs)
     return mixed.repartitionByRange("slot").sortWithinPartitions("slot").select(*COLUMNS)
 
 

@@ -107,10 +107,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_source_mixing")
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fleetlens.llm.mixing import mix_sources, tempered
+    from fleetlens.llm.mixing import mix_sources
 
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    return mix_sources(docs, tempered(docs)).select("doc_id", "source", "epoch", "block", "slot")
+    return mix_sources(docs).select("doc_id", "source", "epoch", "block", "slot")
 
 
 @query("op7_language_id")

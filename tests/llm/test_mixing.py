@@ -120,3 +120,39 @@ def test_delivered_blocks_follow_the_target_weights(spark):
     count = Counter("=" + r.source for r in sent)
     assert len({r.slot for r in sent}) == len(sent) == end
     assert all(abs(count[k] - end * w / total) < 1.001 for k, w in weights.items())
+
+
+@pytest.mark.parametrize("per_part", [50_000, 100])
+def test_every_source_beyond_the_largest_has_its_own_weight(spark, per_part):
+    """Three sources of 100 blocks and 1,500 of a hundredth of a block, each by its own tempered size."""
+    rows = [(i, "w" * 99, f"big{i % 3}") for i in range(300)] + [(1000 + i, "w" * (i % 3), f"s{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = mixing.tempered(docs)
+    total = sum(weights.values())
+    assert len(weights) == 1503 and weights["=s2"] == pytest.approx(3**0.9)
+    sent = mixing.mix_sources(docs, block=100, rows_per_part=per_part).collect()
+    small = [r for r in sent if r.source[0] == "s"]
+    assert Counter(r.source for r in small) == {f"s{i}": 1 for i in range(1500)}
+    by_slot = defaultdict(set)
+    for r in sent:
+        by_slot[r.slot].add(r.source if r.source[0] == "b" else "small")
+    assert sorted(by_slot) == list(range(len(by_slot))) and all(len(k) == 1 for k in by_slot.values())
+    share = {f"big{i}": weights[f"=big{i}"] / total for i in range(3)}
+    share["small"] = 1 - sum(share.values())
+    seen = Counter()
+    for n in range(len(by_slot)):
+        seen.update(by_slot[n])
+        assert all(abs(seen[k] - (n + 1) * w) < 1.01 for k, w in share.items())
+    filled = Counter()
+    for r in small:
+        filled[r.slot] += len(r.text) + 1
+    assert max(filled.values()) <= 100 and len(filled) > 60
+
+
+def test_weights_for_any_number_of_sources(spark):
+    rows = [(i, "w" * 9, f"s{i:04}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sent = mixing.mix_sources(docs, {f"={s}": 1.0 for _, _, s in rows}, block=10).collect()
+    assert sorted(r.slot for r in sent) == list(range(1100)) and len({r.doc_id for r in sent}) == 1100
+    tiny = mixing.mix_sources(docs, {f"={s}": 1.0 if i else 1e-9 for i, _, s in rows}, block=11).collect()
+    assert Counter(r.doc_id for r in tiny)[0] == 1
