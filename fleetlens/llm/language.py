@@ -14,14 +14,15 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import stored
 
 SLOTS = 1 << 16
-SAMPLE = 8192  # documents a text model is learned from at most
-LANGUAGES = 16
+SAMPLE = 8192  # documents a text model is learned from, dealt equally to the languages
+LEAST = 16  # documents of each language, however many languages there are
+BUCKETS = 4096  # of the ids' hashes, to find the least of a language without sorting it
 TEMPER = 0.1
 SHRINK = 5.0  # pages a parent's prior is worth
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|template|noscript)\b.*?</\1\s*>", re.S | re.I)
@@ -44,17 +45,34 @@ def slots(text: str) -> np.ndarray:
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and for each the log-probability of every slot.
-
-    Learned on the at most ``sample`` documents of least hash; at most the 16 most frequent languages of the table."""
-    names = [
-        r[0] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count()
-        .orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    ]
-    names = sorted(names)
-    ids = docs.where(F.col(lang).isin(names) & F.col("doc_id").isNotNull()).select("doc_id")
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    known = docs.join(F.broadcast(chosen), "doc_id").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """Every language of the table, and for each the log-probability of every slot (half a megabyte).
+
+    Each is learned on its documents of least hash that have words: ``sample`` in all, at least ``LEAST`` for each. Rows
+    without an id are taken for a language that has no others."""
+    langs = docs.where(F.col(lang).isNotNull()).withColumn("__words", F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    found = langs.groupBy(lang).agg(F.max(F.col("__words") & F.col("doc_id").isNotNull())).collect()
+    names = sorted(r[0] for r in found)
+    nameless = [r[0] for r in found if not r[1]]
+    per = max(LEAST, sample // max(1, len(names)))
+    usable = F.col("__words") & (F.col("doc_id").isNotNull() | F.col(lang).isin(nameless)) if nameless else (
+        F.col("__words") & F.col("doc_id").isNotNull()
+    )
+    hashed = F.xxhash64("doc_id")
+    ids = langs.where(usable).select(
+        F.col(lang).alias("__lang"), F.col("doc_id").alias("__id"), hashed.alias("__hash"),
+        F.pmod(hashed, F.lit(BUCKETS)).alias("__bucket"),
+    )
+    # buckets in their order until they hold enough ids of a language
+    before = Window.partitionBy("__lang").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy("__lang", "__bucket").agg(F.count_distinct("__id").alias("__n"))
+    reached = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where(F.col("__before") < per)
+    near = ids.join(F.broadcast(reached.groupBy("__lang").agg(F.max("__bucket").alias("__last"))), "__lang")
+    near = near.where("__bucket <= __last").select("__lang", "__id", "__bucket", "__hash").distinct()
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__bucket", "__hash", "__id"))
+    chosen = near.withColumn("__rank", rank).where(F.col("__rank") <= per).select("__lang", "__id")
+    # at most ``per`` ids of each language
+    same = (F.col(lang) == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    known = langs.join(F.broadcast(stored(chosen)), same).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -97,7 +115,7 @@ def identify(
     if not n:
         nothing = {c: F.lit(None).cast("string") for c in ("lang", "text_lang", "declared", "suffix", "host")}
         return pages.select(F.col(page_id).alias("page_id")).withColumns(nothing | {"confidence": F.lit(None).cast("double")})
-    shared = pages.sparkSession.sparkContext.broadcast(table)  # at most 16 x 65,536 numbers
+    shared = pages.sparkSession.sparkContext.broadcast(table)  # 65,536 numbers for each language
 
     @F.pandas_udf("array<double>")
     def likelihood(texts: pd.Series) -> pd.Series:
@@ -118,7 +136,6 @@ def identify(
     seen = stored(seen)
     everything = seen.agg(*(F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(n))).first()
     prior = [(x + 1.0) / (sum(everything) + n) for x in everything]
-    overall = F.array(*(F.lit(p) for p in prior))
 
     hosts = _sums(seen.where("host is not null"), ["domain", "host"], n, "host_sums")
     domains = _sums(seen.where("host is not null"), ["domain"], n, "domain_sums")
@@ -128,32 +145,41 @@ def identify(
         seen.join(hosts, ["domain", "host"], "left").join(domains, "domain", "left")
         .join(suffixes, "suffix", "left").join(claims, "declared", "left")
     )
-    i_range = range(n)
-    without = lambda sums, i: F.greatest(F.col(sums)[i] - F.col("alone")[i], F.lit(0.0))
-    total = lambda sums: sum(without(sums, i) for i in i_range)
-    domain_prior = [
-        F.when(F.col("domain_sums").isNull(), overall[i])
-        .otherwise((without("domain_sums", i) + shrink * overall[i]) / (total("domain_sums") + shrink))
-        for i in i_range
-    ]
-    all_ = all_.withColumn("domain_prior", F.array(*domain_prior))
-    host_prior = [
-        F.when(F.col("host_sums").isNull(), F.col("domain_prior")[i])
-        .otherwise((without("host_sums", i) + shrink * F.col("domain_prior")[i]) / (total("host_sums") + shrink))
-        for i in i_range
-    ]
-    all_ = all_.withColumn("host_prior", F.array(*host_prior))
-    # P(value | language), smoothed as if one page in the language's mean had the value
-    given = lambda sums, i: F.coalesce(
-        F.log((F.col(sums)[i] + 1.0) / F.lit(everything[i] + n)), F.lit(0.0)
-    )
-    score = F.array(*(
-        F.col("text")[i] + F.log(F.col("host_prior")[i]) + given("suffix_sums", i) + given("claim_sums", i)
-        for i in i_range
-    ))
-    names = F.array(*(F.lit(x) for x in languages))
-    at = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return all_.withColumn("posterior", _softmax(score)).select(
-        "page_id", at(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"),
-        at(F.col("text")).alias("text_lang"), "declared", "suffix", "host",
+    overall, mass = np.array(prior), np.array(everything)
+
+    def matrix(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a column of arrays, zeros for nulls, and which rows have one."""
+        has = arrays.notna().to_numpy()
+        out = np.zeros((len(arrays), n))
+        if has.any():
+            out[has] = np.stack(arrays[has].to_numpy())
+        return out, has[:, None]
+
+    # arrays as wide as there are languages: no expression grows with their number
+    @F.pandas_udf("lang string, confidence double, text_lang string")
+    def decide(
+        text: pd.Series, alone: pd.Series, host_sums: pd.Series, domain_sums: pd.Series, suffix_sums: pd.Series,
+        claim_sums: pd.Series,
+    ) -> pd.DataFrame:
+        words, own = matrix(text)[0], matrix(alone)[0]
+        before = np.broadcast_to(overall, words.shape)
+        for sums in (domain_sums, host_sums):
+            got, has = matrix(sums)
+            without = np.maximum(got - own, 0.0)
+            shrunk = (without + shrink * before) / (without.sum(axis=1, keepdims=True) + shrink)
+            before = np.where(has, shrunk, before)
+        score = words + np.log(before)
+        # P(value | language), smoothed as if one page in the language's mean had the value
+        for sums in (suffix_sums, claim_sums):
+            got, has = matrix(sums)
+            score = score + np.where(has, np.log((got + 1.0) / (mass + n)), 0.0)
+        powers = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
+        known = np.array(languages, dtype=object)
+        best = powers.argmax(axis=1)
+        top = powers.max(axis=1) / powers.sum(axis=1)
+        return pd.DataFrame({"lang": known[best], "confidence": top, "text_lang": known[words.argmax(axis=1)]})
+
+    sums = ("text", "alone", "host_sums", "domain_sums", "suffix_sums", "claim_sums")
+    return all_.withColumn("found", decide(*sums)).select(
+        "page_id", "found.lang", "found.confidence", "found.text_lang", "declared", "suffix", "host",
     )

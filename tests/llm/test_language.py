@@ -96,3 +96,20 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "http://a.b", "x")], pages.schema)
     assert language.identify(one, names, table).first().lang is None
     assert language.identify(pages, ["en"], np.zeros((1, language.SLOTS))).count() == 0
+
+
+def test_every_language_has_a_row_learned_from_its_documents(spark):
+    """Forty languages, one of them in two of every three documents and the last in one document only."""
+    rows = [(i, f"hot words go on {i}", "l00") for i in range(2000)]
+    rows += [(5000 + 30 * k + i, f"{chr(97 + k % 26) * 3}{k}q{k}z " * 20, f"l{k:02}") for k in range(1, 39) for i in range(25)]
+    rows += [(None, "rare rare tongue", "l39")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = language.learn(docs, sample=80)
+    assert names == [f"l{k:02}" for k in range(40)] and table.shape == (40, language.SLOTS)
+    assert all(np.ptp(row) > 0 for row in table)
+    pages = [(k, f"http://h{k}.x/", f"<p>{t}</p>") for k, t in enumerate({l: t for _, t, l in rows}.values())]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.identify(df, names, table).collect()}
+    want = {w[0]: w for w in brute_force(pages, names, table)}
+    assert all(got[k].lang == want[k][1] and got[k].confidence == pytest.approx(want[k][2]) for k in want)
+    assert all(got[k].text_lang == names[k] for k in want)
