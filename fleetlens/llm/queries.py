@@ -119,3 +119,62 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     languages, table = learn(documents(spark, sf_dir).select("doc_id", "lang", "text"))
     return identify(documents(spark, sf_dir, "pages"), languages, table)
+
+
+#: The contract's pattern; ownership follows it. RE2 splits and extracts at the same matches.
+_PIECES = """
+    SELECT row, source, repository, {k} AS kind, unnest(range(1, len(hits) + 1)) AS i,
+           unnest(hits) AS hit, list_transform(string_split_regex(text, '{p}'), lambda g: length(g)) AS gaps,
+           list_transform(hits, lambda h: length(h)) AS sizes
+    FROM (SELECT *, regexp_extract_all(text, '{p}') AS hits FROM d)
+"""
+
+
+def _secrets_sql() -> str:
+    from fleetlens.llm.secrets import KINDS, LEAST_VALUE, PATTERNS
+
+    quoted = {k: p.replace("'", "''") for k, p in PATTERNS.items()}
+    kinds = " UNION ALL ".join(_PIECES.format(k=i, p=quoted[k]) for i, k in enumerate(KINDS))
+    random = """length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 3
+                AND len(list_distinct(string_split(value, ''))) >= 10"""
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+    joined = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {i}), 0) AS n_{k}" for i, k in enumerate(KINDS))
+    return f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source, (source, lang) AS repository
+        FROM documents
+    ), p AS ({kinds}), v AS (
+        SELECT row, source, repository, kind, CAST(list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS BIGINT) AS e,
+               e - length(hit) AS s, CASE WHEN kind = 0 THEN regexp_extract(hit, '{quoted["assign"]}', 2) ELSE hit END AS value
+        FROM p
+    ), c AS (
+        SELECT *, {random} AS random FROM v
+        WHERE CASE kind WHEN 0 THEN length(value) >= {LEAST_VALUE} WHEN 3 THEN {random} ELSE TRUE END
+    ), o AS (
+        SELECT value, count(DISTINCT coalesce(source, '\0')) AS owners FROM c GROUP BY value
+    ), j AS (
+        SELECT c.*, CASE WHEN owners > 1 THEN 'example' WHEN random THEN 'live' ELSE 'plain' END AS verdict
+        FROM c JOIN o USING (value)
+    ), t AS (
+        SELECT * FROM j WHERE kind < 3 OR (verdict = 'live' AND NOT EXISTS (
+            SELECT 1 FROM c b WHERE b.row = j.row AND b.kind < 3 AND b.s < j.e AND j.s < b.e))
+    ), g AS (
+        SELECT row, {counts}, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example,
+               {joined} FILTER (kind < 3) AS base, {joined} AS spans
+        FROM t GROUP BY row
+    )
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*KINDS, "live", "example"))},
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (row)
+    """
+
+
+@query("op13_secret_scan", _secrets_sql())
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm import secrets
+
+    # the table has no repositories: an owner's documents of one language stand for one
+    return secrets.report(
+        *secrets.scan(documents(spark, sf_dir), F.col("source"), F.struct(F.col("source").alias("owner"), "lang"))
+    )
