@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import documents, remainder
@@ -178,3 +178,38 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(
         *secrets.scan(documents(spark, sf_dir), F.col("source"), F.struct(F.col("source").alias("owner"), "lang"))
     )
+
+
+def cycled(doc_id: Column, text: Column) -> Column:
+    """Texts with the repetitions of op11's contract: by their ids, a tenth go on in a cycle of their own words."""
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n = F.nullif(F.size(words), F.lit(0))
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.slice(F.concat(F.slice(words, F.lit(1), a), cycle), F.lit(1), n)
+    return F.when((crc % 10 == 0) & n.isNotNull(), F.array_join(planted, " ")).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.periods import highest, periodic_runs
+
+    docs = documents(spark, sf_dir).select("doc_id", cycled(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs).withColumn("best", highest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.llm.whitening import whiten
+
+    return whiten(documents(spark, sf_dir, "embeddings"))
