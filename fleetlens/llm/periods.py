@@ -13,13 +13,17 @@ below 2 d, so no run of three periods is missed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 LEAST_WORDS = 24
 LEAST_PERIODS = 3
-RUN = "struct<start:bigint,length:bigint,period:bigint>"
+RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
+ADDED = {"n_words": T.LongType(), "runs": T.ArrayType(RUN), "collapsed": T.StringType()}
+PART_BYTES = 4_000_000  # of results that a task holds
 
 
 def numbered(words: list[bytes]) -> np.ndarray:
@@ -81,33 +85,48 @@ def repeated_words(n: int, runs: np.ndarray) -> np.ndarray:
 
 
 def periodic_runs(
-    docs: DataFrame, text: str | Column = "text", least_words: int = LEAST_WORDS, least_periods: int = LEAST_PERIODS
+    docs: DataFrame, text: str | Column = "text", least_words: int = LEAST_WORDS, least_periods: int = LEAST_PERIODS,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``runs`` and ``collapsed``.
+    """The columns ``carry`` of ``docs`` (default: all) with ``n_words``, ``runs`` and ``collapsed``.
 
     ``runs``: every maximal stretch of words of smallest period q that is at least ``least_words`` and ``least_periods``
     times q long, as (start, length, period) by start, then period. ``least_periods`` is 3 or more. ``collapsed``: the
     words that no run holds after its first period, joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``; null and
     empty texts have none. Every row is searched by itself and whole, so repeated rows and null ids do not matter. Columns
-    of the three names are replaced. A text is held by one task, as is any cell of a table."""
+    of the three names are replaced. A text is held by one task, as is any cell of a table; other texts of its batch stay
+    in Arrow until their turn, and results leave in parts of bounded size."""
     if least_periods < 3:
         raise ValueError("basic factors propose every period only from three periods on")
-
-    @F.pandas_udf(f"n_words long, runs array<{RUN}>, collapsed string")
-    def searched(texts: pd.Series) -> pd.DataFrame:
-        counts, found, kept = [], [], []
-        for t in texts:
-            words = t.encode().split() if t else []
-            runs = find_runs(words, least_words, least_periods)
-            counts.append(len(words))
-            found.append([dict(zip(("start", "length", "period"), r)) for r in runs.tolist()])
-            if len(runs):
-                words = [words[i] for i in np.flatnonzero(~repeated_words(len(words), runs)).tolist()]
-            kept.append(b" ".join(words).decode())
-        return pd.DataFrame({"n_words": counts, "runs": found, "collapsed": kept})
-
-    out = docs.withColumn("__searched", searched(F.col(text) if isinstance(text, str) else text))
-    return out.withColumns({c: F.col(f"__searched.{c}") for c in ("n_words", "runs", "collapsed")}).drop("__searched")
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in ADDED.items()])
+    types = [to_arrow_type(t) for t in ADDED.values()]
+
+    def part(batch, start, made):
+        own = [batch.column(i).slice(start, len(made)) for i in range(len(kept))]
+        return pa.RecordBatch.from_arrays(own + [pa.array(m, t) for m, t in zip(zip(*made), types)], schema.fieldNames())
+
+    def run(batches):
+        for batch in batches:
+            start, size, made = 0, 0, []
+            for i in range(batch.num_rows):
+                t = batch.column(len(kept))[i].as_py()
+                words = t.encode().split() if t else []
+                runs = find_runs(words, least_words, least_periods)
+                left = words
+                if len(runs):
+                    left = [words[j] for j in np.flatnonzero(~repeated_words(len(words), runs)).tolist()]
+                found = [dict(zip(("start", "length", "period"), r)) for r in runs.tolist()]
+                made.append((len(words), found, b" ".join(left).decode()))
+                size += len(made[-1][2]) + 64 * len(found) + 64
+                if size >= PART_BYTES:
+                    yield part(batch, start, made)
+                    start, size, made = i + 1, 0, []
+            if made:
+                yield part(batch, start, made)
+
+    rows = docs.select(*kept, (F.col(text) if isinstance(text, str) else text).alias("__text"))
+    return rows.mapInArrow(run, schema)
 
 
 def highest(runs: Column) -> Column:

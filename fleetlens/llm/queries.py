@@ -198,7 +198,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.llm.periods import highest, periodic_runs
 
     docs = documents(spark, sf_dir).select("doc_id", cycled(F.col("doc_id"), F.col("text")).alias("text"))
-    found = periodic_runs(docs).withColumn("best", highest(F.col("runs")))
+    found = periodic_runs(docs, carry=["doc_id"]).withColumn("best", highest(F.col("runs")))
     line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
     lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
     return found.select(
