@@ -12,18 +12,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.ids import job_signature, lock_key
 from fleetlens.operators.segments import ROWS_PER_TASK
-from fleetlens.operators.stateful import Machine, run_machine
+from fleetlens.operators.stateful import Machine, pack_instants, run_machine, unpack_instants
 from fleetlens.operators.validate import first_error
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
+DENSE = 64  # requests within a window from which on it pays to decide them together
 DEFAULT_TTL = 300 * SECOND  # fixed value: default lock lifetime of five minutes
 
 
@@ -50,6 +52,40 @@ class SlidingThrottle:
         state["long"].append(now)
         return True
 
+    def admit_all(self, state: dict, times: np.ndarray) -> np.ndarray:
+        """What ``admit`` says to ascending instants one after the other.
+
+        No admission frees a place within a window's length, so within such a stretch the places open by request j are
+        known beforehand, b(j). With A(j) admissions up to it, A(j) = min(A(j - 1) + 1, b(j)), and so
+        A(j) = j + min(1, min of b(i) - i over i <= j): one running minimum. Sparse stretches go request by request."""
+        allowed = np.zeros(len(times), dtype=bool)
+        width, i = min(self.short, self.long), 0
+        while i < len(times):
+            end = int(np.searchsorted(times, times[i] + width))
+            if end - i < DENSE:
+                end = min(len(times), i + DENSE)
+                while i < end:
+                    if self.admit(state, int(times[i])):
+                        allowed[i] = True
+                        i += 1
+                    else:  # nothing is admitted before retry_at, so skip to it
+                        i = max(i + 1, int(np.searchsorted(times, self.retry_at(state))))
+                continue
+            part = times[i:end]
+            self._expire(state, int(part[0]))
+            free = np.full(len(part), np.iinfo(np.int64).max)
+            for name, window, limit in (("short", self.short, self.limit_short), ("long", self.long, self.limit_long)):
+                held = np.array(state[name], dtype=np.int64)
+                open_ = limit - len(held) + np.searchsorted(held, part - window, side="right")
+                free = np.minimum(free, np.maximum(open_, 0))
+            at = np.arange(len(part))
+            admitted = at + np.minimum(1, np.minimum.accumulate(free - at))
+            allowed[i:end] = np.diff(admitted, prepend=0) == 1
+            for name in ("short", "long"):
+                state[name].extend(part[allowed[i:end]].tolist())
+            i = end
+        return allowed
+
     def retry_at(self, state: dict) -> int:
         """Earliest instant at which a request denied now could be admitted."""
         waits = []
@@ -105,6 +141,9 @@ class NoThrottle(SlidingThrottle):
     def admit(self, state: dict, now: int) -> bool:
         return True
 
+    def admit_all(self, state: dict, times: np.ndarray) -> np.ndarray:
+        return np.ones(len(times), dtype=bool)
+
 
 class ThrottleMachine(Machine):
     columns = ["_us"]
@@ -123,21 +162,23 @@ class ThrottleMachine(Machine):
         return self.rule.load(json.loads(text))
 
     def run(self, state, chunk):
-        times, n, i = chunk["_us"], len(chunk["_us"]), 0
+        times = chunk["_us"]
         self.rule._expire(state, int(times[0]))
-        held = list(state["short"])
-        allowed = np.zeros(n, dtype=bool)
-        while i < n:
-            if self.rule.admit(state, int(times[i])):
-                allowed[i] = True
-                i += 1
-            else:  # nothing is admitted before retry_at, so skip to it
-                i = max(i + 1, int(np.searchsorted(times, self.rule.retry_at(state))))
+        held = np.array(state["short"], dtype=np.int64)
+        allowed = self.rule.admit_all(state, times)
         self.rule._expire(state, int(times[-1]))
-        admitted = np.concatenate([np.array(held, dtype=np.int64), times[allowed]])
+        admitted = np.concatenate([held, times[allowed]])
         in_window = len(held) + np.cumsum(allowed) - np.searchsorted(admitted, times - self.rule.short, side="right")
         return state, {"allowed": allowed, "remaining": np.maximum(self.rule.limit_short - in_window, 0)}
 
+    def page(self, chunk):
+        return pack_instants(chunk["_us"])
+
+    def carry(self, state, page):
+        self.rule.admit_all(state, times := unpack_instants(page))
+        self.rule._expire(state, int(times[-1]))
+        return state
+
 
 class LockMachine(Machine):
     """State is the instant of the current holder."""
@@ -167,6 +208,27 @@ class LockMachine(Machine):
             i = max(i + 1, int(np.searchsorted(times, state + self.ttl)))
         return state, {"acquired": acquired}
 
+    def page(self, chunk):
+        """Rows to (instant, last holder): a lock that is free by that instant, and not by the row before, ends there.
+
+        A row that takes the lock passes it on to the first row a lifetime later; pointers are doubled until each row
+        knows the last holder that it leads to. Rows beyond the first lifetime can't be the first to take it."""
+        times = chunk["_us"]
+        at = np.arange(len(times))
+        after = np.maximum(at + 1, np.searchsorted(times, times + self.ttl))
+        last = np.where(after < len(times), after, at)
+        while (last[last] != last).any():
+            last = last[last]
+        first = int(np.searchsorted(times, times[0] + self.ttl, side="right"))
+        root = last[: first + 1]
+        turn = np.append(np.flatnonzero(root[1:] != root[:-1]), len(root) - 1)  # the last row that leads to each holder
+        return np.stack([times[turn], times[root[turn]]]).tobytes()
+
+    def carry(self, state, page):
+        takes, leads = np.frombuffer(page, np.int64).reshape(2, -1)
+        at = 0 if state is None else int(np.searchsorted(takes, state + self.ttl))
+        return int(leads[at]) if at < len(takes) else state
+
 
 class TokenBucketMachine(Machine):
     """``refill`` tokens arrive at every multiple of ``period``, up to ``capacity``."""
@@ -201,6 +263,26 @@ class TokenBucketMachine(Machine):
             state = [tokens - granted, tick]
         return state, {"allowed": allowed, "tokens": left}
 
+    def page(self, chunk):
+        """First and last tick, and (low, high, add): tokens x at the first leave min(high, max(low, x + add)) after the
+        last. Each tick is such a map, and two of them are one again, so they are joined pairwise."""
+        ticks, first = np.unique(chunk["_us"] // self.period, return_index=True)
+        sizes = np.diff(np.append(first, len(chunk["_us"])))
+        add = self.refill * np.diff(ticks, prepend=ticks[0]) - sizes
+        low, high = np.zeros_like(add), np.maximum(self.capacity - sizes, 0)
+        while len(add) > 1:
+            odd = [a[-1:] if len(a) % 2 else a[:0] for a in (low, high, add)]
+            (l1, h1, a1), (l2, h2, a2) = ([a[k : len(add) // 2 * 2 : 2] for a in (low, high, add)] for k in (0, 1))
+            bound = lambda x: np.minimum(h2, np.maximum(l2, x + a2))  # noqa: B023, E731
+            low, high, add = (np.append(a, o) for a, o in zip((bound(l1), bound(h1), a1 + a2), odd))
+        return np.array([ticks[0], ticks[-1], low[0], high[0], add[0]], dtype=np.int64).tobytes()
+
+    def carry(self, state, page):
+        first, last, low, high, add = np.frombuffer(page, np.int64).tolist()
+        tokens, before = state or (self.capacity, first)
+        tokens = min(self.capacity, tokens + self.refill * (first - before))
+        return [min(high, max(low, tokens + add)), last]
+
 
 class IntakeMachine(Machine):
     """Throttle, then lock, for one tenant; a duplicate still uses quota.
@@ -237,19 +319,45 @@ class IntakeMachine(Machine):
 
     def run(self, state, chunk):
         valid = np.flatnonzero(pd.isna(chunk["_error"]))
-        times, locks, refused = chunk["_us"][valid], chunk["_lock"][valid], chunk["_refused"][valid]
-        decided = np.full(len(valid), "throttled", dtype=object)
-        i = 0
-        while i < len(valid):
-            decided[i] = self.decide(state, int(times[i]), None, locks[i], bool(refused[i]))
-            if decided[i] == "throttled":  # nothing is admitted before retry_at, so skip to it
-                i = max(i + 1, int(np.searchsorted(times, self.throttle.retry_at(state["throttle"]))))
-            else:
-                i += 1
         outcome = np.full(len(chunk["_us"]), "invalid", dtype=object)
-        outcome[valid] = decided
+        if len(valid):
+            outcome[valid] = self._decided(state, *(chunk[c][valid] for c in ("_us", "_lock", "_refused")))
         return state, {"outcome": outcome}
 
+    def _decided(self, state, times, locks, refused) -> np.ndarray:
+        """Outcomes of valid requests: quota first, which does not depend on locks, then locks of the admitted."""
+        out = np.full(len(times), "throttled", dtype=object)
+        for i in np.flatnonzero(self.throttle.admit_all(state["throttle"], times)).tolist():
+            now, key = int(times[i]), locks[i]
+            if not self.locks.acquire(state["locks"], key, now):
+                out[i] = "duplicate"
+            elif refused[i]:
+                self.locks.release(state["locks"], key)
+                out[i] = "refused"
+            else:
+                out[i] = "accepted"
+        return out
+
+    def page(self, chunk):
+        valid = np.flatnonzero(pd.isna(chunk["_error"]))
+        if not len(valid):
+            return b""
+        locks = pa.array(chunk["_lock"][valid], pa.string())
+        batch = pa.RecordBatch.from_arrays([locks, pa.array(chunk["_refused"][valid].astype(bool))], ["lock", "refused"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        times = pack_instants(chunk["_us"][valid])
+        return len(times).to_bytes(8, "little") + times + sink.getvalue().to_pybytes()
+
+    def carry(self, state, page):
+        if page:
+            end = 8 + int.from_bytes(page[:8], "little")
+            rest = pa.ipc.open_stream(page[end:]).read_all()
+            locks, refused = (rest.column(c).to_numpy() for c in ("lock", "refused"))
+            self._decided(state, unpack_instants(page[8:end]), locks, refused)
+        return state
+
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))

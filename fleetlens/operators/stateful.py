@@ -5,36 +5,36 @@ denied one does not), so no window frame expresses them. Rows are shuffled by
 key, sorted by time and fed to a small machine; only the machine's state is
 held, never a key's history.
 
-A key with more than ``rows_per_task`` rows is cut into segments. All segments
-run at once from an assumed entry state; a segment whose predecessor turned out
-to leave another state than assumed runs again, until every assumption holds.
-The fixed point is the serial answer: the first segment of a key starts from the
-true state, so every round settles at least one more segment. States travel as one
-row per segment and each round's states are checkpointed.
+A key with more than ``rows_per_task`` rows is cut into segments, in three steps.
+All segments are reduced at once to pages, which hold only what moves a state
+across their rows. A chain carries each key's state over its pages and notes it
+at the start of every segment. Then all segments are labelled at once from these
+states. What a page holds is up to the machine: where transitions compose (a
+token bucket is one clamped addition, a lock one table of successors) a page
+stays small however many rows it stands for; the sliding windows' transitions do
+not, so their pages hold the instants, packed, and the chain replays them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fleetlens.operators.segments import ROWS_PER_TASK, SEG, Segmented, same_key, split
-from fleetlens.session import checkpoint_dir
+from fleetlens.operators.segments import ROWS_PER_TASK, SEG, Segmented, split
+from fleetlens.session import written
 
-
-SPECULATIVE_ROUNDS = 4
+PAGE_ROWS = 262_144
 
 
 class Machine:
-    """State and transition. ``dump`` must give equal text for equal states."""
+    """State and transition. ``page`` and ``carry`` together lead to the state that ``run`` leaves."""
 
     columns: list[str] = []  # input columns read by run
     output: T.StructType = T.StructType()
@@ -51,6 +51,25 @@ class Machine:
     def run(self, state, chunk: dict[str, np.ndarray]) -> tuple[object, dict[str, np.ndarray]]:
         raise NotImplementedError
 
+    def page(self, chunk: dict[str, np.ndarray]) -> bytes:
+        """What moves a state across the rows of ``chunk``; must not depend on the state before."""
+        raise NotImplementedError
+
+    def carry(self, state, page: bytes):
+        raise NotImplementedError
+
+
+def pack_instants(times: np.ndarray) -> bytes:
+    """Ascending instants as the first one and the smallest steps that hold them."""
+    steps = np.diff(times)
+    steps = steps.astype(np.min_scalar_type(int(steps.max()))) if len(steps) else steps.astype(np.uint8)
+    return np.int64(times[0]).tobytes() + steps.dtype.char.encode() + steps.tobytes()
+
+
+def unpack_instants(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.dtype(packed[8:9].decode()), offset=9).astype(np.int64)
+    return np.cumsum(np.append(np.frombuffer(packed, np.int64, 1), steps))
+
 
 def _slices(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
     """Consecutive runs of equal keys (null equals null)."""
@@ -94,30 +113,50 @@ def _label_batches(machine: Machine, keys: list[str], columns: list[str], out_sc
     return run
 
 
-def _exit_batches(machine: Machine, keys: list[str], out_schema: pa.Schema):
-    """One row per key: the state after its last row."""
+def _page_batches(machine: Machine, keys: list[str], out_schema: pa.Schema):
+    """Rows of segments in, their pages out: keys, number within the segment, page."""
+
+    def close(key, number, parts):
+        chunk = {c: np.concatenate([p[c] for p in parts]) for c in machine.columns}
+        row = [*key, number, machine.page(chunk)]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out_schema)], names=out_schema.names)
 
     def run(batches):
-        key, state = None, None
-        done: list[tuple] = []
+        key, number, parts, size = None, 0, [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            entry = batch.column("_entry")
             for k, a, b in _slices(batch, keys):
+                if parts and (k != key or size >= PAGE_ROWS):
+                    yield close(key, number, parts)
+                    number, parts, size = number + 1, [], 0
+                if k != key:
+                    key, number = k, 0
+                parts.append(_chunk(machine, batch, a, b))
+                size += b - a
+        if parts:
+            yield close(key, number, parts)
+
+    return run
+
+
+def _chain_batches(machine: Machine, by: list[str], out_schema: pa.Schema):
+    """Pages in order in, the state before each segment's first page out."""
+
+    def run(batches):
+        key, state = object(), None
+        for batch in batches:
+            made = []
+            for i in range(batch.num_rows):
+                k = tuple(batch.column(c)[i].as_py() for c in by)
                 if k != key:
-                    if key is not None:
-                        done.append((*key, machine.dump(state)))
                     key, state = k, machine.start()
-                if entry[a].is_valid:
-                    state, a = machine.load(entry[a].as_py()), a + 1
-                if a < b:
-                    state, _ = machine.run(state, _chunk(machine, batch, a, b))
-        if key is not None:
-            done.append((*key, machine.dump(state)))
-        if done:
-            arrays = [pa.array(v, f.type) for v, f in zip(zip(*done), out_schema)]
-            yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
+                if batch.column("_page")[i].as_py() == 0:
+                    made.append((*k, batch.column(SEG)[i].as_py(), machine.dump(state)))
+                state = machine.carry(state, batch.column("_moves")[i].as_py())
+            if made:
+                arrays = [pa.array(v, f.type) for v, f in zip(zip(*made), out_schema)]
+                yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
 
     return run
 
@@ -135,50 +174,22 @@ def _feed(df: DataFrame, keys: list[str], order: list[str], header: bool) -> Dat
 
 
 def _settle(s: Segmented, machine: Machine) -> DataFrame:
-    """Entry state of every segment of every hot key.
-
-    What the machine reads of the hot keys is written once, one folder per segment, to the shared
-    folder; a later round reads the folders of its stale segments only.
-    """
-    spark = s.df.sparkSession
-    path = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
+    """Entry state of every segment of every hot key: pages of all segments at once, then a chain for each key."""
     keys = s.group
-    need = list(dict.fromkeys([*keys, *s.order, *machine.columns]))
-    hot = s.df.filter(F.col(SEG) > 0).select(*need)
-    hot.repartition(*[F.col(k) for k in keys]).write.partitionBy(SEG).parquet(path)
-    hot = spark.read.schema(hot.schema).parquet(path).select(*need)
-    exit_schema = T.StructType([*[hot.schema[k] for k in keys], T.StructField("_exit", T.StringType())])
-    initial = machine.dump(machine.start())
-
-    def exits(rows, entries):
-        fed = _feed(_with_entries(rows, entries, keys), keys, s.order, header=True)
-        return fed.mapInArrow(_exit_batches(machine, keys, to_arrow_schema(exit_schema)), exit_schema)
-
-    before = Window.partitionBy(*s.by).orderBy(SEG)
-    segments = hot.select(*keys).distinct().withColumn("_entry", F.lit(initial))
-    states = exits(hot, segments).withColumn("_entry", F.lit(initial)).checkpoint()
-    rounds = 0
-    while True:
-        rounds += 1
-        states = states.withColumn("_next", F.coalesce(F.lag("_exit").over(before), F.lit(initial)))
-        stale = states.filter(F.col("_next") != F.col("_entry"))
-        if rounds > SPECULATIVE_ROUNDS:
-            # the state keeps depending on all earlier segments: move on one segment per key
-            first = Window.partitionBy(*s.by).orderBy(SEG)
-            stale = stale.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
-        folders = [r[0] for r in stale.select(SEG).distinct().collect()]  # at most the number of segments
-        if not folders:
-            return states.select(*keys, "_entry")
-        stale = stale.select(*keys, F.col("_next").alias("_entry"))
-        k = stale.select(*[F.col(c).alias("_k_" + c) for c in keys])
-        rows = hot.filter(F.col(SEG).isin(*folders)).join(k, same_key(hot, k, keys, "_k_"), "left_semi")
-        again = exits(rows, stale).select(*[F.col(c).alias("_k_" + c) for c in keys], F.col("_exit").alias("_new"))
-        merged = states.join(again, same_key(states, again, keys, "_k_"), "left")
-        states = merged.select(
-            *keys,
-            F.coalesce("_new", "_exit").alias("_exit"),
-            F.when(F.col("_new").isNotNull(), F.col("_next")).otherwise(F.col("_entry")).alias("_entry"),
-        ).checkpoint()
+    hot = s.df.filter(F.col(SEG) > 0).select(*dict.fromkeys([*keys, *s.order, *machine.columns]))
+    fields = [hot.schema[k] for k in keys]
+    paged = T.StructType([*fields, T.StructField("_page", T.LongType()), T.StructField("_moves", T.BinaryType())])
+    pages = _feed(hot, keys, s.order, header=False).mapInArrow(
+        _page_batches(machine, keys, to_arrow_schema(paged)), paged
+    )
+    entered = T.StructType([*fields, T.StructField("_entry", T.StringType())])
+    chain = written(pages, "pages").repartition(*[F.col(k) for k in s.by]) if s.by else written(pages, "pages").coalesce(1)
+    return written(
+        chain.sortWithinPartitions(*s.by, SEG, "_page").mapInArrow(
+            _chain_batches(machine, s.by, to_arrow_schema(entered)), entered
+        ),
+        "entries",
+    )
 
 
 def run_machine(
