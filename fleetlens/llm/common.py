@@ -13,11 +13,15 @@ from fleetlens.session import checkpoint_dir
 PIECES_PER_SHARD = 8192
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once under ``spark.checkpoint.dir`` and read again: later passes neither recompute it nor depend
     on executors that have gone."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,11 +1,13 @@
 """Exact top-k search by inner product over norm-sorted, rotated vectors.
 
-Vectors are rotated by the right singular vectors of all of them, so that leading components carry most of a product. The
-longest vectors, a block of fixed size, give every query a first threshold: its k-th best score there. By Cauchy and
-Schwarz a query then needs only vectors at least ``threshold / |query|`` long, which leaves out whole chunks, as chunks
-hold vectors of one band of length. Inside a tile (a chunk against a group of queries) vectors go by descending length; a
-partial sum over the leading components plus the product of the residual norms bounds a score from above, and only
-candidates whose bound reaches the threshold are scored exactly, in integers.
+Vectors are rotated by the right singular vectors of all of them, so that leading components carry most of a product. A
+bounded set of vectors, the longest and a spread sample, gives every query a first threshold: its k-th best score there.
+Each task then takes its vectors by descending length. By Cauchy and Schwarz a query needs no vector shorter than
+``threshold / |query|``, so what remains is left out as soon as no query needs it. For the others, partial sums over more
+and more leading components, as matrix products, plus the product of the residual lengths bound the scores from above;
+after every step queries and vectors without a pair that may reach its threshold are dropped. What is left is scored
+exactly, in integers. Where vectors are of one length and no direction is stronger than others, few pairs go before most
+components are summed, and the work grows with queries times vectors, a few nanoseconds for each.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import stored
+from fleetlens.llm.common import new_path, stored
 
-SEED = 2048  # longest vectors that set the first thresholds
-CHUNK = 4096  # vectors of a chunk
-GROUP = 4096  # queries of a group
-SLAB = 512  # vectors of a chunk looked at together
-BANDS = 8  # bands of length for each power of two
+SEED = 2048  # vectors that set the first thresholds
+CHUNK = 1024  # vectors looked at together
+QUERIES = 4096  # queries looked at together
+GROUP_NUMBERS = 2**22  # components of the queries that every task holds at a time
+STEPS = (0.25, 0.5, 0.75, 0.875)  # shares of the components in the partial sums
+FEW = 0.02  # share of pairs from which on they are scored as a matrix
 
 
 def _matrix(values: pd.Series, dim: int) -> np.ndarray:
@@ -29,15 +32,15 @@ def _matrix(values: pd.Series, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """vec_id and ``ints``, the floored components as doubles; rows that are null or hold null, NaN or infinity go.
+    """row, vec_id and ``ints``, the floored components as doubles; rows that are null or hold null, NaN or infinity go.
 
     A vector without components goes too, and so does a row without an id."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     v = F.col(vector).cast("array<double>")
     return (
-        vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
+        vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("ints"))
+        .select("row", "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("ints"))
     )
 
 
@@ -82,133 +85,151 @@ def _below(score: np.ndarray) -> np.ndarray:
     return np.nextafter(score.astype(np.float64), -np.inf)
 
 
-def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of each query among the vectors of one chunk that may reach its threshold."""
-    dim, lead = len(turn), max(1, len(turn) // 4)
-    q_int, v_int = _matrix(queries["ints"], dim), _matrix(vectors["ints"], dim)
-    v_norm = np.sqrt((v_int * v_int).sum(axis=1))
-    by = np.argsort(-v_norm, kind="stable")
-    v_int, v_norm, v_id = v_int[by], v_norm[by], vectors["vec_id"].to_numpy()[by]
-    q_id, need = queries["vec_id"].to_numpy(), queries["threshold"].to_numpy(dtype=np.float64).copy()
-    q_norm = np.sqrt((q_int * q_int).sum(axis=1))
-    q_turn, v_turn = q_int @ turn, v_int @ turn
-    q_rest = np.sqrt((q_turn[:, lead:] ** 2).sum(axis=1))
-    v_rest = np.sqrt((v_turn[:, lead:] ** 2).sum(axis=1))
-    hits = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
-    for at in range(0, len(v_int), SLAB):
-        slack = 1e-9 * q_norm * v_norm[at] + 1e-6
-        live = np.flatnonzero(q_norm * v_norm[at] + slack >= need)
-        if not len(live):
-            break  # every later vector is shorter
-        s = slice(at, at + SLAB)
-        bound = q_turn[live, :lead] @ v_turn[s, :lead].T + np.outer(q_rest[live], v_rest[s])
-        a, b = np.nonzero((bound + slack[live, None] >= need[live, None]) & (q_id[live, None] != v_id[None, s]))
-        if not len(a):
-            continue
-        a, b = live[a], b + at
-        for part in np.array_split(np.arange(len(a)), max(1, len(a) * dim // 4_000_000)):
-            score = exact(q_int[a[part]], v_int[b[part]])
-            enough = score >= need[a[part]]
-            hits.append((a[part][enough], score[enough], v_id[b[part]][enough]))
-        row, score, ids = (np.concatenate(x) for x in zip(*hits))
-        keep = best(row, score, ids, k)
-        hits = [(row[keep], score[keep], ids[keep])]
-        found, counts = np.unique(hits[0][0], return_counts=True)
-        last = np.cumsum(counts) - 1
-        full = counts == k  # these have k scores of their own: the last of them is a threshold
-        need[found[full]] = np.maximum(need[found[full]], _below(hits[0][1][last[full]]))
-    row, score, ids = hits[0] if len(hits) == 1 else (np.concatenate(x) for x in zip(*hits))
-    return pd.DataFrame({"query_id": q_id[row], "vec_id": ids, "score": score})
-
-
-_HITS = "query_id long, vec_id long, score long"
+class Side:
+    """Vectors of one side of a product: exact, rotated, and the lengths of what follows each step's components."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray):
+        self.rows, self.ids, self.ints = rows, ids, ints
+        self.norm = np.sqrt((ints * ints).sum(axis=1))
+        self.turned = ints @ turn
+        self.cuts = sorted({0, *(int(s * len(turn)) for s in STEPS)})
+        squares = self.turned**2
+        self.rest = [np.sqrt(squares[:, c:].sum(axis=1)) for c in self.cuts]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
+def survivors(q: Side, v: Side, qs: np.ndarray, vs: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of ``qs`` and ``vs`` whose bounds reach the queries' needs after every step, and how many a step summed."""
+    part, summed = np.zeros((len(qs), len(vs))), 0
+    slack = 1e-9 * q.norm[qs, None] * v.norm[vs].max(initial=0) + 1e-6
+    floor = need[qs, None] - slack
+    for step in range(1, len(q.cuts)):
+        a, b = q.cuts[step - 1], q.cuts[step]
+        part += q.turned[qs, a:b] @ v.turned[vs, a:b].T
+        summed += part.size
+        live = part + np.outer(q.rest[step][qs], v.rest[step][vs]) >= floor
+        rows, columns = live.any(axis=1), live.any(axis=0)
+        if not rows.any():
+            return qs[:0], vs[:0], summed
+        if rows.sum() < 0.8 * len(rows) or columns.sum() < 0.8 * len(columns):
+            qs, vs, floor = qs[rows], vs[columns], floor[rows]
+            part, live = part[np.ix_(rows, columns)], live[np.ix_(rows, columns)]
+    i, j = np.nonzero(live) if len(q.cuts) > 1 else np.indices(part.shape).reshape(2, -1)
+    return qs[i], vs[j], summed
+
+
+def scores(q: Side, v: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs: a matrix product where pairs are many and doubles hold it exactly, else pair by pair."""
+    qs, a = np.unique(i, return_inverse=True)
+    vs, b = np.unique(j, return_inverse=True)
+    left, right = q.ints[qs], v.ints[vs]
+    bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[-1]
+    if bound < 2**52 and len(i) >= FEW * len(qs) * len(vs):
+        return (left @ right.T)[a, b].astype(np.int64)
+    dim = max(1, left.shape[-1])
+    parts = np.array_split(np.arange(len(i)), max(1, len(i) * dim // 4_000_000))
+    return np.concatenate([exact(left[a[p]], right[b[p]]) for p in parts])
+
+
+class Hits:
+    """The k best of each query so far, and the least score that may still enter."""
+
+    def __init__(self, q: Side, need: np.ndarray, k: int):
+        self.q, self.need, self.k = q, need.astype(np.float64).copy(), k
+        self.found = [np.empty(0, np.int64)] * 4  # query's place, score, vec_id, row
+
+    def search(self, v: Side, chunk: int, at_once: int = QUERIES) -> int:
+        """Take vectors ``v``, longest first. Returns the number of pairs with any component summed."""
+        order, summed = np.argsort(-v.norm, kind="stable"), 0
+        for at in range(0, len(order), chunk):
+            vs = order[at : at + chunk]
+            longest = v.norm[vs[0]]
+            live = np.flatnonzero(self.q.norm * longest * (1 + 1e-9) + 1e-6 >= self.need)
+            if not len(live):
+                break  # every later vector is shorter
+            for part in range(0, len(live), at_once):
+                i, j, n = survivors(self.q, v, live[part : part + at_once], vs, self.need)
+                summed += n
+                own = self.q.rows[i] == v.rows[j]
+                i, j = i[~own], j[~own]
+                if len(i):
+                    self._enter(i, scores(self.q, v, i, j), v.ids[j], v.rows[j])
+        return summed
+
+    def _enter(self, i: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        enough = score >= self.need[i]
+        new = [a[enough] for a in (i, score, ids, rows)]
+        i, score, ids, rows = (np.concatenate(x) for x in zip(self.found, new))
+        keep = best(i, score, ids, self.k)
+        self.found = [a[keep] for a in (i, score, ids, rows)]
+        place, counts = np.unique(self.found[0], return_counts=True)
+        full = counts == self.k  # these have k scores of their own: the last of them is a threshold
+        last = (np.cumsum(counts) - 1)[full]
+        self.need[place[full]] = np.maximum(self.need[place[full]], _below(self.found[1][last]))
+
+
+_HITS = "query_row long, query_id long, vec_id long, score long"
 
 
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256,
-    seed: int = SEED, chunk: int = CHUNK, group: int = GROUP,
+    seed: int = SEED, chunk: int = CHUNK, group: int | None = None,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each query with all other vectors.
+    """query_id, rank, vec_id, score: the k highest integer inner products of each query with all other rows.
 
-    ``queries`` is a condition on ``vec_id``; ties go to the smaller id. Vectors of another length than the most common
-    one of the table (the smaller, if two are) take no part, nor do unusable ones. A query's own id never is a hit, so
-    rows that repeat an id are never hits of each other, and each asks for itself once: repeated (id, components) count
-    once. Scores beyond 64 bits count as the nearest 64-bit number."""
-    ints = usable(vectors, key, vector, scale).dropDuplicates(["vec_id", "ints"])
+    ``queries`` is a condition on ``vec_id``; ties go to the smaller id. Every usable row is a candidate for every other
+    one, and every row that meets the condition is a query of its own, also where ids or whole rows repeat. Vectors of
+    another length than the most common one of the table (the smaller, if two are) take no part, nor do unusable ones.
+    Scores beyond 64 bits count as the nearest 64-bit number. Other columns of ``vectors`` are not read.
+
+    Queries go in groups of a bounded size (``group`` rows), one job for each; a job reads all vectors once."""
+    spark = vectors.sparkSession
+    ints = usable(vectors, key, vector, scale)
+    # a row's number is written down once, as it is no fact of the table
     ints = stored(ints.withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x * x))))
     sizes = ints.groupBy(F.size("ints").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = "query_id long, rank int, vec_id long, score long"
     if sizes is None:
-        return vectors.sparkSession.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = int(sizes["dim"])
     ints = ints.where(F.size("ints") == dim)
     turn = rotation(ints, dim)
-    spark = vectors.sparkSession
-
-    # thresholds from the longest vectors, a block of fixed size
-    longest = ints.orderBy(F.desc("norm"), "vec_id").limit(seed).select("vec_id", "ints").toPandas()
-    shared = spark.sparkContext.broadcast((longest, turn))
+    longest = ints.orderBy(F.desc("norm"), "row").limit(seed - seed // 2)
+    spread = ints.orderBy(F.xxhash64("row"), "row").limit(seed // 2)
+    seeds = longest.unionAll(spread).select("row", "vec_id", "ints").toPandas().drop_duplicates("row")
+    shared = spark.sparkContext.broadcast((seeds, turn))
+    side = lambda pdf, turn: Side(pdf["row"].to_numpy(), pdf["vec_id"].to_numpy(), _matrix(pdf["ints"], dim), turn)
 
     def first(batches):
-        longest, turn = shared.value
+        seeds, turn = shared.value
         for pdf in batches:
-            hits = _tile(pdf.assign(threshold=-np.inf), longest, turn, k)
-            counts = hits.groupby("query_id")["score"].agg(["size", "min"])
-            kth = counts["min"].where(counts["size"] == k).reindex(pdf["vec_id"]).to_numpy(dtype=float)
-            yield pdf.assign(threshold=np.where(np.isnan(kth), -np.inf, _below(kth)))
-
-    asked = ints.where(queries).mapInPandas(first, "vec_id long, ints array<double>, norm double, threshold double")
-    # |v| must reach threshold / |q|; a threshold below 0 rules out nothing
-    least = F.when((F.col("threshold") > 0) & (F.col("norm") > 0), F.col("threshold") / F.col("norm")).otherwise(0.0)
-    band = lambda c: F.floor(F.log2(F.greatest(c, F.lit(0.5))) * BANDS).cast("int")
-    asked = stored(asked.withColumn("low", band(least * (1 - 1e-9))))
-
-    # bands of length, longest first, each cut into chunks; there are at most 8 x 2,100 bands of finite doubles
-    bands = ints.groupBy(band(F.col("norm")).alias("band")).agg(F.count("*").alias("n")).toPandas()
-    bands = bands.sort_values("band", ascending=False)
-    parts = -(-bands["n"].to_numpy() // chunk)
-    starts = np.cumsum(parts) - parts
-    plan = spark.createDataFrame(
-        [(int(b), int(s), int(p)) for b, s, p in zip(bands["band"], starts, parts)], "band int, start long, parts long"
-    )
-    dealt = ints.withColumn("band", band(F.col("norm"))).join(F.broadcast(plan), "band")
-    dealt = dealt.select(
-        "vec_id", "ints", (F.col("start") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("chunk")
-    )
-    # groups of queries with like needs: each meets the chunks down to its lowest band
-    group_sizes = asked.groupBy("low").agg(F.count("*").alias("n")).toPandas().sort_values("low", ascending=False)
-    if group_sizes.empty:
-        return spark.createDataFrame([], empty)
-    last = [int(parts[bands["band"].to_numpy() >= low].sum()) for low in group_sizes["low"]]
-    low_parts = -(-group_sizes["n"].to_numpy() // group)
-    low_plan = spark.createDataFrame(
-        [
-            (int(low), int(s), int(p), int(n))
-            for low, s, p, n in zip(group_sizes["low"], np.cumsum(low_parts) - low_parts, low_parts, last)
-        ],
-        "low int, start long, parts long, chunks long",
-    )
-    grouped = asked.join(F.broadcast(low_plan), "low").select(
-        "vec_id", "ints", "threshold", "chunks",
-        (F.col("start") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("grp"),
-    )
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    tiles = (
-        low_plan.where("chunks > 0")
-        .select(F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1)).alias("grp"), "chunks")
-        .select("grp", every(F.col("chunks")).alias("chunk"))
-    )
-    left = grouped.where("chunks > 0").withColumn("chunk", every(F.col("chunks"))).drop("chunks")
-    right = dealt.join(tiles, "chunk")
-
-    def tile(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _tile(q, v, shared.value[1], k)
-
-    hits = left.groupBy("grp", "chunk").cogroup(right.groupBy("grp", "chunk")).applyInPandas(tile, _HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+            if len(pdf):
+                hits = Hits(side(pdf, turn), np.full(len(pdf), -np.inf), k)
+                hits.search(side(seeds, turn), chunk)
+                yield pdf.assign(threshold=hits.need)
+
+    asked = ints.where(queries).select("row", "vec_id", "ints")
+    asked = stored(asked.mapInPandas(first, "row long, vec_id long, ints array<double>, threshold double"))
+    groups = max(1, -(-asked.count() // (group or max(1, GROUP_NUMBERS // dim))))
+    found = new_path(spark)
+    for g in range(groups):
+        mine = asked.where(F.pmod(F.xxhash64("row"), F.lit(groups)) == g).toPandas()
+        sent = spark.sparkContext.broadcast((mine, turn))
+
+        def search(batches, sent=sent):
+            mine, turn = sent.value
+            q = side(mine, turn)
+            hits = Hits(q, mine["threshold"].to_numpy(), k)
+            for pdf in batches:
+                if len(pdf):
+                    hits.search(side(pdf, turn), chunk)
+            i, score, ids, _ = hits.found
+            yield pd.DataFrame({"query_row": q.rows[i], "query_id": q.ids[i], "vec_id": ids, "score": score})
+
+        by_length = ints.select("row", "vec_id", "ints", "norm").sortWithinPartitions(F.desc("norm")).drop("norm")
+        by_length.mapInPandas(search, _HITS).write.mode("append").parquet(found)
+        sent.destroy()
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    hits = spark.read.schema(_HITS).parquet(found).withColumn("rank", F.row_number().over(order))
+    return hits.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

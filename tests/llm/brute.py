@@ -35,9 +35,9 @@ def top_k(rows, is_query, k=5):
     good = [(i, [int(np.floor(256.0 * float(x))) for x in v]) for i, v in rows
             if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for n_q, (q, a) in enumerate(good):
         if is_query(q):
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(good) if n != n_q)
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
