@@ -336,6 +336,7 @@ class IntakeMachine(Machine):
                 out[i] = "refused"
             else:
                 out[i] = "accepted"
+        self.throttle._expire(state["throttle"], int(times[-1]))
         return out
 
     def page(self, chunk):

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import capacity, intake, metrics, slo, tracking
 from fleetlens.plans.registry import query
+from fleetlens.session import written
+from fleetlens.streaming.runs import new_folder
 
 HOUR_US, DAY_US = 3600 * 10**6, 86400 * 10**6
 
@@ -237,22 +239,61 @@ def job_requests(t):
     )
 
 
-@query(
-    "t1_intake",
-    """WITH RECURSIVE q AS (SELECT event_id, ts, 'org' || user_id AS org, CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS job_type, CAST(props->>'$.k' AS INT) AS k, event_type FROM events),
+def intake_sql(final: str, known: str = "", window: str = "TRUE", refused: str = "FALSE", unthrottled: bool = False) -> str:
+    """Requests one after the other per tenant: quota held, locks held. ``known`` are further tables, ``window`` picks
+    requests, ``refused`` those that the queue does not take; ``final`` reads v (requests) and r (decisions)."""
+    ok = "TRUE" if unthrottled else (
+        "len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 HOUR)) < 2 AND len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY)) < 2"
+    )
+    return f"""WITH RECURSIVE {known} q AS (SELECT event_id, ts, 'org' || user_id AS org, CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS job_type, CAST(props->>'$.k' AS INT) AS k, event_type, {refused} AS refused FROM events WHERE {window}),
       v AS (SELECT *, CASE WHEN job_type = '' THEN 'job_type is required' WHEN event_type = 'view' THEN 'either prompt or payload is required' WHEN k >= 90 THEN 'timeout_seconds must be positive' END AS error,
-        'mcp:job:' || org || ':' || job_type || ':' || sha256(CASE WHEN event_type = 'view' THEN 'view' ELSE 'prompt ' || (k % 2) || job_type || 'payload' END || 'a1b2') AS key FROM q),
+        'mcp:job:' || org || ':' || job_type || ':' || sha256(CASE WHEN event_type = 'view' THEN 'view' ELSE 'prompt ' || (k % 2) || job_type || 'payload' END || 'a1b2') AS key,
+        '{{"job_id":"' || sha256(event_id::VARCHAR) || '","organization_id":"' || org || '","job_type":"' || job_type || '","prompt":"prompt ' || (k % 2) || '","parameters":{{"b":"2","a":"1"}},"payload":"payload","timeout_seconds":30,"callback_url":"","created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}}' AS envelope FROM q),
       o AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY ts, event_id::VARCHAR) AS rn FROM v WHERE error IS NULL),
-      r AS (SELECT event_id, org, ts, rn, key, 'accepted' AS outcome, [ts] AS held, [{'k': key, 't': ts}] AS locks FROM o WHERE rn = 1
-        UNION ALL SELECT event_id, org, ts, rn, key, CASE WHEN NOT ok THEN 'throttled' WHEN taken THEN 'duplicate' ELSE 'accepted' END,
-          CASE WHEN ok THEN list_append(live, ts) ELSE live END, CASE WHEN ok AND NOT taken THEN list_append(valid, {'k': key, 't': ts}) ELSE valid END
+      r AS (SELECT event_id, org, ts, rn, CASE WHEN refused THEN 'refused' ELSE 'accepted' END AS outcome, [ts] AS held, CASE WHEN refused THEN [] ELSE [{{'k': key, 't': ts}}] END AS locks FROM o WHERE rn = 1
+        UNION ALL SELECT event_id, org, ts, rn, CASE WHEN NOT ok THEN 'throttled' WHEN taken THEN 'duplicate' WHEN refused THEN 'refused' ELSE 'accepted' END,
+          CASE WHEN ok THEN list_append(live, ts) ELSE live END, CASE WHEN ok AND NOT taken AND NOT refused THEN list_append(valid, {{'k': key, 't': ts}}) ELSE valid END
         FROM (SELECT *, len(list_filter(valid, lambda l: l.k = key)) > 0 AS taken FROM
-          (SELECT o.event_id, o.org, o.ts, o.rn, o.key, list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY) AS live, list_filter(r.locks, lambda l: l.t + INTERVAL 3 DAY > o.ts) AS valid,
-            len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 HOUR)) < 2 AND len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY)) < 2 AS ok
+          (SELECT o.event_id, o.org, o.ts, o.rn, o.key, o.refused, list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY) AS live, list_filter(r.locks, lambda l: l.t + INTERVAL 3 DAY > o.ts) AS valid,
+            {ok} AS ok
            FROM r JOIN o ON o.org = r.org AND o.rn = r.rn + 1)))
-    SELECT v.event_id::VARCHAR AS request_id, v.org AS organization_id, v.error, coalesce(r.outcome, 'invalid') AS outcome, v.key AS lock_key FROM v LEFT JOIN r USING (event_id)""",
-)
+    {final}"""
+
+
+OUTCOMES = """SELECT v.event_id::VARCHAR AS request_id, v.org AS organization_id, v.error, coalesce(r.outcome, 'invalid') AS outcome, v.key AS lock_key,
+      CASE WHEN r.outcome = 'accepted' THEN v.envelope END AS envelope FROM v LEFT JOIN r USING (event_id)"""
+
+
+@query("t1_intake", intake_sql(OUTCOMES))
 def t1(t):
     rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
     out = intake.intake(job_requests(t), rules, intake.TtlLocks(3 * DAY_US), t.rows_per_task)
-    return out.select("request_id", "organization_id", "error", "outcome", "lock_key")
+    return out.select("request_id", "organization_id", "error", "outcome", "lock_key", "envelope")
+
+
+@query("t1_unthrottled", intake_sql(OUTCOMES, unthrottled=True))
+def t1_unthrottled(t):
+    out = intake.intake(job_requests(t), intake.NoThrottle(), intake.TtlLocks(3 * DAY_US), t.rows_per_task)
+    return out.select("request_id", "organization_id", "error", "outcome", "lock_key", "envelope")
+
+
+@query(
+    "x4_queue_refusals",
+    intake_sql(
+        """SELECT v.event_id::VARCHAR AS request_id, coalesce(r.outcome, 'invalid') AS outcome, CASE WHEN r.outcome = 'accepted' THEN v.org END AS key,
+        CASE WHEN r.outcome = 'accepted' THEN v.envelope END AS value FROM v LEFT JOIN r USING (event_id)""",
+        refused="event_id % 5 = 0",
+    ),
+)
+def x4(t):
+    """The queue refuses every fifth request; those release their locks, the others are read back from it."""
+    requests = job_requests(t)
+    refused = requests.filter(F.col("request_id").cast("long") % 5 == 0).select("request_id")
+    rules, path = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US), new_folder(t.spark, "refusing-queue")
+    labelled = intake.intake(requests, rules, intake.TtlLocks(3 * DAY_US), t.rows_per_task, refused)
+    labelled = written(labelled.select("request_id", "organization_id", "outcome", "envelope"), "labelled")
+    intake.enqueue(labelled, lambda messages: messages.write.parquet(path))
+    job = F.sha2("request_id", 256)
+    sent = t.spark.read.schema("key string, value string").parquet(path)
+    sent = sent.withColumn("job", F.get_json_object("value", "$.job_id"))
+    return labelled.select("request_id", "outcome", job.alias("job")).join(sent, "job", "left").drop("job")

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from fleetlens.operators import inference, intake
 from fleetlens.plans.registry import ORACLES, query
 from fleetlens.plans.rows_q import ROUTES
-from fleetlens.plans.sequences_q import DAY_US, HOUR_US, job_requests
+from fleetlens.plans.sequences_q import DAY_US, HOUR_US, intake_sql, job_requests
 from fleetlens.sources import files, queue
 from fleetlens.streaming import intake as intake_s
 from fleetlens.streaming import metrics as metrics_s
 from fleetlens.streaming import tracking as tracking_s
-from fleetlens.streaming.runs import Drain, new_folder, run_to_end, table_stream
+from fleetlens.streaming.runs import Drain, new_folder, run_to_end, state_at_end, table_stream
 
 
 def drained(t, table, rows):
@@ -53,7 +53,29 @@ def t1(t):
     requests, drain = drained(t, "events", lambda e: job_requests(_Stream(e)))
     rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
     # the drain's own request waits for the watermark for ever
-    return run_to_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)).drop("envelope"), "t1", (drain,))
+    return run_to_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)), "t1", (drain,))
+
+
+@query(
+    "t2_state_expiry",
+    intake_sql(
+        """SELECT org AS organization_id, CASE WHEN now >= last + 3610000000 THEN 0 ELSE coalesce(short, 0) END AS short_held, coalesce(long, 0) AS long_held
+        FROM (SELECT org, max(epoch_us(ts)) AS last FROM v GROUP BY org) JOIN w ON last + 259800000000 > now
+            OR org IN (SELECT 'org' || user_id FROM events WHERE epoch_us(ts) >= now) LEFT JOIN
+          (SELECT org, len(held) AS long, len(list_filter(held, lambda h: h > ts - INTERVAL 1 HOUR)) AS short FROM r
+           QUALIFY row_number() OVER (PARTITION BY org ORDER BY rn DESC) = 1) USING (org)""",
+        known="w AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 AS now FROM events),",
+        window="epoch_us(ts) < (SELECT now FROM w)",
+    ),
+)
+def t2(t):
+    """What the stream's state still holds when its watermark, ten minutes behind the last event, stands still: idle
+    tenants have no short window after an hour and, unless a request waits, no state after three days, each with a buffer."""
+    requests = job_requests(_Stream(table_stream(t.spark, t.sf_dir, "events")))
+    rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
+    held = state_at_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)), "t2", "intake")
+    window = lambda i: F.size(F.from_json(F.get_json_object("value.saved", f"$[0][{i}]"), "array<bigint>")).cast("long")
+    return held.select("key.organization_id", window(0).alias("short_held"), window(1).alias("long_held"))
 
 
 class _Stream:

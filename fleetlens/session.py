@@ -61,4 +61,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))
+    # files of that kind do not reach the runner that Spark starts beside the driver for streams with state
+    known = context.environment.get("PYTHONPATH", "")
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(root.parent), *([known] if known else [])])
     context._fleetlens_shipped = True

@@ -1,15 +1,18 @@
 """Streaming intake: the batch machine with its state in the state store.
 
-State per tenant is bounded by the limits (admitted instants of the long window, live locks) and by what arrives within
-the watermark's delay, as requests wait until none can come before them.
-A silent tenant's short window is forgotten by one event-time timer, and all of its state, after the long window and its
-buffer, by another.
+Requests wait, within the watermark's delay, until none can come before them. They wait in pieces of bounded size under
+keys of a map, so that a trigger reads the pieces that hold due requests and no others. A tenant has one timer, at its
+next due request or expiry. State per tenant is bounded by the limits (admitted instants of the long window, live locks)
+and by what waits. A silent tenant's short window is forgotten first and all of its state after the long window. These
+expiries follow event time, for which Spark's own time-to-live, which follows the clock, cannot be set.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,15 +38,8 @@ OUTPUT = T.StructType(
 )
 
 
-WAITING = T.StructType(
-    [
-        T.StructField("us", T.LongType()),
-        T.StructField("request_id", T.StringType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("lock_key", T.StringType()),
-        T.StructField("envelope", T.StringType()),
-    ]
-)
+WAITING = ["us", "request_id", "error", "lock_key", "envelope"]
+PIECE = 256  # requests that wait under one key
 
 
 class IntakeProcessor(StatefulProcessor):
@@ -57,46 +53,77 @@ class IntakeProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("intake", "saved string, last bigint")
-        self.open = handle.getListState("open", WAITING)
+        # first instant and key of every waiting piece, and the timer that is set
+        self.plan = handle.getValueState("plan", "pieces string, timer bigint")
+        self.waiting = handle.getMapState("waiting", "piece bigint", "requests string")
+
+    def _wake(self, pieces: list, timer: int | None, at: int | None) -> None:
+        """Keep the plan, with the timer moved to ``at`` (null: none)."""
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if pieces or at is not None:
+            self.plan.update((json.dumps(pieces), at))
+        else:
+            self.plan.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # rows wait until the watermark has passed them: none can come before them any more
+        saved, timer = self.plan.get() if self.plan.exists() else ("[]", None)
+        pieces = json.loads(saved)
+        number = max((n for _, n in pieces), default=0)
         for part in rows:
-            part = part[WAITING.fieldNames()].astype(object).where(part[WAITING.fieldNames()].notna(), None)
-            self.open.appendList([tuple(r) for r in part.itertuples(index=False)])
-            for ms in {int(us) // 1000 for us in part["us"]}:
-                self.handle.registerTimer(ms + 1)
+            part = part[WAITING].sort_values(["us", "request_id"])
+            requests = part.astype(object).where(part.notna(), None).values.tolist()
+            for at in range(0, len(requests), PIECE):
+                number += 1
+                pieces.append([int(requests[at][0]), number])
+                self.waiting.updateValue((number,), (json.dumps(requests[at : at + PIECE]),))
+        pieces.sort()
+        due = pieces[0][0] // 1000 + 1
+        self._wake(pieces, timer, due if timer is None else min(due, timer))
         return iter(())
 
+    def _take(self, pieces: list, now: int) -> list:
+        """Requests before ``now`` in order, out of the pieces that begin before it; ``pieces`` is brought up to date."""
+        due, begun = [], [p for p in pieces if p[0] < now]
+        for piece in begun:
+            requests = json.loads(self.waiting.getValue((piece[1],))[0])
+            rest = [r for r in requests if r[0] >= now]
+            due += requests[: len(requests) - len(rest)]
+            if rest:
+                piece[0] = rest[0][0]
+                self.waiting.updateValue((piece[1],), (json.dumps(rest),))
+            else:
+                pieces.remove(piece)
+                self.waiting.removeKey((piece[1],))
+        pieces.sort()
+        return sorted(due, key=lambda r: (r[0], r[1]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.open.get(), key=lambda r: (r[0], r[1])) if self.open.exists() else []
-        due = [r for r in waiting if r[0] < now]
+        pieces = json.loads(self.plan.get()[0]) if self.plan.exists() else []
+        due = self._take(pieces, now)
         saved, last = self.state.get() if self.state.exists() else (None, None)
+        state = self.machine.start() if saved is None else self.machine.load(saved)
         if due:
-            state = self.machine.start() if saved is None else self.machine.load(saved)
-            outcomes = [self.machine.decide(state, int(us), error, lock) for us, _, error, lock, _ in due]
-            last = max(int(due[-1][0]), last or 0)
-            self.state.update((self.machine.dump(state), last))
-            for wait in (self.short_us, self.keep_us):
-                self.handle.registerTimer((last + wait) // 1000 + 1)
-            rest = waiting[len(due) :]
-            self.open.clear()
-            if rest:
-                self.open.put(rest)
-            yield pd.DataFrame(
-                [
-                    (request, key[0], error, outcome, lock, envelope if outcome == "accepted" else None)
-                    for (_, request, error, lock, envelope), outcome in zip(due, outcomes)
-                ],
-                columns=OUTPUT.fieldNames(),
-            )
-        elif last is not None and not waiting and now >= last + self.keep_us:
+            us, request, error, lock, envelope = (np.array(c, dtype=object) for c in zip(*due))
+            chunk = {"_us": us.astype(np.int64), "_error": error, "_lock": lock, "_refused": np.zeros(len(due), dtype=bool)}
+            state, made = self.machine.run(state, chunk)
+            outcome, last = made["outcome"], max(int(us[-1]), last or 0)
+            envelope[outcome != "accepted"] = None
+            columns = [request, [key[0]] * len(due), error, outcome, lock, envelope]
+            yield pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns)))
+        ends = [] if last is None else [last + self.short_us, last + self.keep_us]
+        if ends and now >= ends[1] and not pieces:
             self.state.clear()
-        elif last is not None and now >= last + self.short_us:
-            state = self.machine.load(saved)
-            state["throttle"]["short"].clear()
+        elif ends:
+            if now >= ends[0]:
+                state["throttle"]["short"].clear()
             self.state.update((self.machine.dump(state), last))
+        to_come = [p[0] for p in pieces[:1]] + [e for e in ends if e > now]
+        self._wake(pieces, None, min(to_come) // 1000 + 1 if to_come else None)
 
     def close(self) -> None:
         pass

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.session import checkpoint_dir
+from fleetlens.session import checkpoint_dir, ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -18,7 +18,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state larger than memory, and the provider that stateful processors need."""
+    """Keyed state larger than memory, and the provider that stateful processors need; their runners get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -93,3 +94,12 @@ def run_to_end(stream: DataFrame, name: str, drains: tuple[Drain, ...] = (), int
             drain.close()
         start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def state_at_end(stream: DataFrame, name: str, variable: str) -> DataFrame:
+    """key and value of a state variable after everything available has been processed."""
+    out = new_folder(stream.sparkSession, name)
+    checkpoint = out + "-checkpoint"
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.format("statestore").option("stateVarName", variable).load(checkpoint)

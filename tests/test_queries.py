@@ -38,5 +38,5 @@ def test_query_with_split_groups(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["request_id", "organization_id", "error", "outcome", "lock_key"]
+    assert df.columns == ["request_id", "organization_id", "error", "outcome", "lock_key", "envelope"]
     assert {r[0] for r in df.select("outcome").distinct().collect()} >= {"accepted", "throttled", "invalid"}

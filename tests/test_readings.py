@@ -182,3 +182,20 @@ print("rows", __spark_entry__.entry(spark).count())
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYTEST_CURRENT_TEST")}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "rows 1000" in done.stdout, done.stderr[-2000:]
+
+
+STATEFUL = ["t1_intake_stream", "t3_change_stream", "t5_alert_stream", "t8_job_state_stream"]
+
+
+def test_streams_with_state_run_from_another_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(entry.__file__).parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+for name in {STATEFUL!r}:
+    print(name, __spark_entry__.queries()[name](spark, {SF!r}).count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYTEST_CURRENT_TEST")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert [x for x in done.stdout.splitlines() if x.endswith("True")] == [f"{n} True" for n in STATEFUL], done.stderr[-2000:]
