@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.metrics import BAD, bucket
@@ -54,34 +54,71 @@ def mtbf(found: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def tick_grid(ticks: DataFrame, by: list[str], step: int) -> DataFrame:
-    """Every whole tick number from a series' first to its last; a tick without data is false.
+TICKS_AT_ONCE = 4096  # of one interval that one row is expanded to
 
-    ``ticks`` has by + (tick, active), one row per tick.
-    """
-    span = ticks.groupBy(*by).agg(F.min("tick").alias("_a"), F.max("tick").alias("_b"))
-    grid = span.select(*by, F.explode(F.sequence("_a", "_b", F.lit(step).cast("long"))).alias("tick"))
-    return grid.join(ticks, [*by, "tick"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
+def _interval(first: Column, last: Column, state: Column, since: Column) -> Column:
+    return F.struct(first.alias("from_tick"), last.alias("to_tick"), state.alias("state"), since.alias("since"))
 
-def alert_states(ticks: DataFrame, by: list[str], step: int, for_: int) -> DataFrame:
-    """inactive, pending, or firing once the condition has held for ``for_`` (in tick units).
 
-    A series has as many rows as its life has ticks, whatever the number of events behind them.
-    """
-    grid = tick_grid(ticks, by, step)
-    ordered = Window.partitionBy(*by).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    quiet = F.max(F.when(~F.col("active"), F.col("tick"))).over(ordered)
-    since = F.coalesce(quiet + step, F.min("tick").over(ordered))
-    out = grid.withColumn("since", F.when(F.col("active"), since))
-    held = F.col("tick") - F.col("since")
-    state = F.when(~F.col("active"), "inactive").when(held >= for_, "firing").otherwise("pending")
-    entered = F.col("active") & (held >= for_) & (held - step < for_)
-    return out.withColumn("state", state).withColumn("entered_firing", entered)
+def alert_intervals(
+    ticks: DataFrame, by: list[str], step: int, for_: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """from_tick, to_tick, state and ``since`` of every stretch of one state: inactive, pending, or firing once the
+    condition has held for ``for_`` (in tick units). A silent year is one row.
+
+    ``ticks`` has by + (tick, active), one row per tick, whole steps apart; a tick without a row is false, and a series
+    lives from its first tick to its last. Only true ticks are put in order, and a series of very many is cut."""
+    none = F.lit(None).cast("long")
+    true = ticks.filter("active").select(*by, F.col("tick").cast("long").alias("tick"))
+    s = scan(split(true, by, ["tick"], rows_per_task), {"_prev": Scan("lag", F.col("tick"))})
+    opens = F.col("_prev").isNull() | (F.col("tick") - F.col("_prev") > step)
+    s = scan(s, {"_run": Scan("sum", F.when(opens, 1).otherwise(0))})
+    runs = s.done().groupBy(*by, "_run").agg(
+        F.min("tick").alias("_a"), F.max("tick").alias("_b"), F.min(F.when(opens, F.col("_prev"))).alias("_before")
+    )
+    a, b, fires = F.col("_a"), F.col("_b"), F.col("_a") + -(-for_ // step) * step
+    inside = F.array(
+        F.when(F.col("_before").isNotNull(), _interval(F.col("_before") + step, a - step, F.lit("inactive"), none)),
+        F.when(fires > a, _interval(a, F.least(b, fires - step), F.lit("pending"), a)),
+        F.when(fires <= b, _interval(fires, b, F.lit("firing"), a)),
+    )
+    when = F.when(F.col("active"), F.col("tick"))
+    life = ticks.groupBy(*by).agg(
+        F.min("tick").cast("long").alias("_a"), F.max("tick").cast("long").alias("_b"), F.min(when).alias("_on"), F.max(when).alias("_off")
+    )
+    quiet = lambda first, last: F.when(first <= last, _interval(first, last, F.lit("inactive"), none))
+    outside = F.array(quiet(a, F.coalesce(F.col("_on") - step, b)), quiet(F.col("_off") + step, b))
+    parts = [df.select(*by, F.explode(F.array_compact(p)).alias("i")) for df, p in ((runs, inside), (life, outside))]
+    return parts[0].unionAll(parts[1]).select(*by, "i.*")
+
+
+def interval_ticks(intervals: DataFrame, by: list[str], step: int) -> DataFrame:
+    """Every tick of the intervals with its state, for callers that need rows: long intervals in bounded pieces."""
+    size = step * TICKS_AT_ONCE
+    piece = F.explode(F.sequence("from_tick", "to_tick", F.lit(size).cast("long"))).alias("_at")
+    pieces = intervals.select(*by, "from_tick", "to_tick", "state", "since", piece)
+    until = F.least(F.col("to_tick"), F.col("_at") + (size - step))
+    return pieces.select(*by, F.explode(F.sequence("_at", until, F.lit(step).cast("long"))).alias("tick"), "from_tick", "state", "since")
+
+
+def alert_states(
+    ticks: DataFrame, by: list[str], step: int, for_: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The state of every whole tick from a series' first to its last: ``alert_intervals``, tick by tick.
+
+    A series has as many rows as its life has ticks, whatever the number of events behind them."""
+    rows = interval_ticks(alert_intervals(ticks, by, step, for_, rows_per_task), by, step)
+    entered = (F.col("state") == "firing") & (F.col("tick") == F.col("from_tick"))
+    return rows.select(
+        *by, "tick", (F.col("state") != "inactive").alias("active"), "since", "state", entered.alias("entered_firing")
+    )
 
 
 def alert_count(states: DataFrame, by: list[str]) -> DataFrame:
-    return states.groupBy(*by).agg(F.sum(F.when(F.col("entered_firing"), 1).otherwise(0)).alias("alerts"))
+    """Times that an alert began to fire, from its states or its intervals."""
+    begins = F.col("entered_firing") if "entered_firing" in states.columns else F.col("state") == "firing"
+    return states.groupBy(*by).agg(F.sum(F.when(begins, 1).otherwise(0)).alias("alerts"))
 
 
 def probe_state(

@@ -74,15 +74,26 @@ ALERTS = """WITH c AS (SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT
 """
 
 
-def alerts(t):
+def alert_ticks(t):
     tick = F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp"))
-    ticks = t.events.groupBy("event_type", tick.alias("tick")).agg((F.count(F.lit(1)) >= 3).alias("active"))
-    return slo.alert_states(ticks, ["event_type"], 3600, 7200)
+    return t.events.groupBy("event_type", tick.alias("tick")).agg((F.count(F.lit(1)) >= 3).alias("active"))
 
 
 @query("w5_alert_states", ALERTS + "SELECT * FROM s")
 def w5(t):
-    return alerts(t).select("event_type", "tick", "state")
+    states = slo.alert_states(alert_ticks(t), ["event_type"], 3600, 7200, t.rows_per_task)
+    return states.select("event_type", "tick", "state")
+
+
+@query(
+    "w5_alert_intervals",
+    ALERTS
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY tick) - row_number() OVER (PARTITION BY event_type, state ORDER BY tick) AS island FROM s)
+    SELECT event_type, min(tick) AS from_tick, max(tick) AS to_tick, state FROM n GROUP BY event_type, state, island""",
+)
+def w5_intervals(t):
+    found = slo.alert_intervals(alert_ticks(t), ["event_type"], 3600, 7200, t.rows_per_task)
+    return found.select("event_type", "from_tick", "to_tick", "state")
 
 
 @query(
@@ -92,7 +103,8 @@ def w5(t):
     SELECT event_type, sum((state = 'firing' AND before IS DISTINCT FROM 'firing')::INT)::BIGINT AS alerts FROM f GROUP BY 1""",
 )
 def a13(t):
-    return slo.alert_count(alerts(t), ["event_type"])
+    found = slo.alert_intervals(alert_ticks(t), ["event_type"], 3600, 7200, t.rows_per_task)
+    return slo.alert_count(found, ["event_type"])
 
 
 @query(

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SPLIT = """
 a1_running_counters a4_latency a10_incidents a11_mttr a12_mtbf a15_sessions a23_worker_stats a31_dr_compliance
 j1_nest j4_nest_skip_level j10_correlate j11_change_events u6_build_report w1_counter_rate w6_islands
-w7_probe_state w12_assign_ids w13_positions
+w5_alert_intervals w5_alert_states w7_probe_state w12_assign_ids w13_positions
 """.split()
 
 

@@ -189,6 +189,42 @@ def test_alert_gap_resolves(spark):
     assert slo.alert_count(states, ["s"]).collect()[0]["alerts"] == 1
 
 
+def test_a_silent_year_is_one_row(spark):
+    year = 365 * 86400
+    ticks = [("s", 0, True), ("s", 1, True), ("s", 2, True), ("s", year, False), ("s", 2 * year, True), ("t", 5, False), ("t", 9, False), ("u", 7, True)]
+    df = spark.createDataFrame(ticks, "s string, tick long, active boolean")
+    want = [
+        ("s", 0, 1, "pending", 0), ("s", 2, 2, "firing", 0), ("s", 3, 2 * year - 1, "inactive", None),
+        ("s", 2 * year, 2 * year, "pending", 2 * year), ("t", 5, 9, "inactive", None), ("u", 7, 7, "pending", 7),
+    ]
+    for limit in (10**9, 2):
+        found = slo.alert_intervals(df, ["s"], 1, 2, limit)
+        assert sorted((tuple(r) for r in found.collect()), key=lambda r: r[:2]) == want
+    at_once = slo.alert_intervals(df, ["s"], 1, 0).filter("s = 'u'").collect()
+    assert [tuple(r) for r in at_once] == [("u", 7, 7, "firing", 7)]
+    every = slo.interval_ticks(spark.createDataFrame([("s", 3, 30_002, "inactive", None)], found.schema), ["s"], 3)
+    assert sorted(r["tick"] for r in every.collect()) == list(range(3, 30_003, 3))
+
+
+@pytest.mark.parametrize("step, for_", [(1, 2), (5, 12), (2, 0)])
+def test_alert_intervals_against_every_tick(spark, step, for_):
+    import random
+
+    rng = random.Random(step)
+    ticks = [(k, step * t, rng.random() < 0.7) for k in "ab" for t in sorted(rng.sample(range(300), 160))]
+    want = set()
+    for k in "ab":
+        mine = {t: a for n, t, a in ticks if n == k}
+        since = None
+        for t in range(min(mine), max(mine) + 1, step):
+            active = mine.get(t, False)
+            since = (t if since is None else since) if active else None
+            want.add((k, t, "inactive" if not active else "firing" if t - since >= for_ else "pending"))
+    df = spark.createDataFrame(ticks, "k string, tick long, active boolean")
+    for limit in (10**9, 20):
+        assert {tuple(r) for r in slo.alert_states(df, ["k"], step, for_, limit).select("k", "tick", "state").collect()} == want
+
+
 def test_percentiles_of_a_hot_group(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("g"), ((F.col("id") * 37) % 211).cast("double").alias("v"))
     plain = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("v", 0.95).alias("p")).collect()}
