@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.segments import ROWS_PER_TASK, bounded_broadcast, large_keys
+from fleetlens.session import written
+
 
 def _joined(labels: Column, source: list[str], separator: str) -> Column:
     return F.concat_ws(separator, *[F.coalesce(F.try_element_at(labels, F.lit(s)), F.lit("")) for s in source])
@@ -107,40 +110,56 @@ def image_inventory(*kinds: tuple[str, DataFrame]) -> DataFrame:
     return rows.orderBy("namespace", "kind", "name", "container", "image")
 
 
-def match_selector(selectors: DataFrame, objects: DataFrame) -> DataFrame:
+def match_selector(selectors: DataFrame, objects: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(selector_id, object_id) where the selector's pairs are all among the object's labels.
 
     ``selectors`` has selector_id, match map, namespaces array (null = all); ``objects`` has
-    object_id, namespace, labels map. Each selector is looked up by its rarest pair only and the
-    rest is tested on the candidate, so partial matches are never paired up. An empty selector
-    matches every object of its namespaces.
+    object_id (unique), namespace, labels map. Postings, a row for each object and each label pair that
+    some selector asks for, are all that moves: every selector is looked up by its rarest pair, in its
+    namespaces or in all, and an empty selector by the namespace alone. A posting list of more than
+    ``rows_per_task`` objects is cut into pieces, each with its own copy of the selectors that ask for
+    it. Labels are fetched for candidates of selectors with further pairs only.
     """
     pairs = selectors.select("selector_id", F.explode("match").alias("k", "v"))
     known = pairs.select("k", "v").distinct()
-    used = objects.select(F.explode("labels").alias("k", "v")).join(known, ["k", "v"], "left_semi")
-    labels = used.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    tags = objects.select("object_id", "namespace", F.explode("labels").alias("k", "v"))
+    tags = tags.join(known, ["k", "v"], "left_semi")
     # a pair no object has makes its selector match nothing: it counts as the rarest
-    frequency = known.join(labels, ["k", "v"], "left").fillna(0, ["n"])
-    anchor = (
-        pairs.join(frequency, ["k", "v"])
-        .groupBy("selector_id")
-        .agg(F.min_by(F.struct("k", "v"), F.struct("n", "k", "v")).alias("anchor"))
+    frequency = known.join(tags.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), ["k", "v"], "left")
+    anchor = pairs.join(frequency.fillna(0, ["n"]), ["k", "v"]).groupBy("selector_id").agg(
+        F.min_by(F.struct("k", "v"), F.struct("n", "k", "v")).alias("anchor")
     )
+    scoped = lambda c: F.concat(F.lit("="), c)  # noqa: E731 - so that no namespace reads like "all"
+    scopes = F.coalesce(F.transform(F.array_distinct("namespaces"), scoped), F.array(F.lit("*")))
+    list_ = ["scope", "bare", "k", "v"]
     wanted = selectors.join(anchor, "selector_id", "left").select(
-        "selector_id", "match", F.explode(F.array_distinct(F.coalesce("namespaces", F.array(F.lit("*"))))).alias("in_ns"),
-        F.coalesce(F.concat_ws("=", "anchor.k", "anchor.v"), F.lit("")).alias("_anchor"),
-    ).withColumn("_anchor", F.when(F.size("match") == 0, F.lit("")).otherwise(F.col("_anchor")))
-    tags = F.concat(
-        F.array(F.lit("")), F.transform(F.map_entries("labels"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        "selector_id", F.explode(scopes).alias("scope"), F.col("anchor").isNull().alias("bare"),
+        *[F.coalesce(f"anchor.{c}", F.lit("")).alias(c) for c in "kv"],
+        F.when(F.size("match") > 1, F.col("match")).alias("match"),
     )
-    seen = objects.select("object_id", "labels", "namespace", F.explode(tags).alias("_anchor")).select(
-        "*", F.explode(F.array(F.col("namespace"), F.lit("*"))).alias("in_ns")
+    wanted = written(wanted, "selectors")
+    everything = objects.select("object_id", "namespace", F.lit("").alias("k"), F.lit("").alias("v"), F.lit(True).alias("bare"))
+    postings = tags.withColumn("bare", F.lit(False)).unionByName(everything).select(
+        "object_id", F.explode(F.array(scoped(F.col("namespace")), F.lit("*"))).alias("scope"), "bare", "k", "v"
     )
-    found = seen.join(wanted, ["in_ns", "_anchor"])
+    postings = postings.join(wanted.select(*list_).distinct(), list_, "left_semi")
+    long, _ = large_keys(postings, list_, rows_per_task)
+    if long:
+        cut = objects.sparkSession.createDataFrame(
+            [(*[r[c] for c in list_], -(-r["_n"] // rows_per_task)) for r in long], "scope string, bare boolean, k string, v string, cuts long"
+        )
+        cut = bounded_broadcast(cut, len(long))
+        cuts = F.coalesce("cuts", F.lit(1))
+        postings = postings.join(cut, list_, "left").withColumn("piece", F.pmod(F.xxhash64("object_id"), cuts)).drop("cuts")
+        wanted = wanted.join(cut, list_, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))).drop("cuts")
+        list_ = [*list_, "piece"]
+    found = postings.join(wanted, list_).select("selector_id", "object_id", "match")
+    more = found.filter("match IS NOT NULL").join(objects.select("object_id", "labels"), "object_id")
     contained = F.forall(
         F.map_entries("match"), lambda e: F.try_element_at(F.col("labels"), e["key"]).eqNullSafe(e["value"])
     )
-    return found.filter(contained).select("selector_id", "object_id")
+    whole = found.filter("match IS NULL").unionByName(more.filter(contained).select("selector_id", "object_id", "match"))
+    return whole.select("selector_id", "object_id")
 
 
 def _term(labels: Column, term: dict) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from fleetlens.operators.components import components
 from fleetlens.operators.segments import ROWS_PER_TASK, Scan, running
-from fleetlens.session import checkpoint_dir
+from fleetlens.session import written
 
 PAGE_ROWS = 1000
 
@@ -76,17 +80,87 @@ def _least(rows: DataFrame, value: str, place: Column, named: str) -> DataFrame:
     return rows.groupBy(F.col(value).alias(f"_{named}")).agg(F.min(place).alias(f"_{named}_at"))
 
 
+WHOLE_ROWS = 500_000  # clashing rows that one task settles in order
+
+
+def _settled_batches(keys: list[str], out_schema: pa.Schema):
+    """Rows in order within each bucket in, those that no accepted row before them clashes with out."""
+
+    def run(batches):
+        bucket, held = None, [set() for _ in keys]
+        for batch in batches:
+            won, buckets = [], batch.column("_bucket").to_pylist()
+            for i, (b, *values) in enumerate(zip(buckets, *(batch.column(k).to_pylist() for k in keys))):
+                if b != bucket:
+                    bucket, held = b, [set() for _ in keys]
+                if not any(v in h for v, h in zip(values, held)):
+                    won.append(i)
+                    for v, h in zip(values, held):
+                        if v is not None:
+                            h.add(v)
+            yield batch.take(pa.array(won, pa.int64())).select(out_schema.names)
+
+    return run
+
+
+def _settle_whole(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Accepted rows, where rows of one ``_bucket`` clash with each other only and are few enough for one task."""
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_bucket"])
+    fed = rows.repartition("_bucket").sortWithinPartitions("_bucket", *order)
+    return fed.mapInArrow(_settled_batches(keys, to_arrow_schema(schema)), schema)
+
+
+def _clash_buckets(rows: DataFrame, keys: list[str], whole: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a ``_bucket`` that holds whole components of clashes, and rows of components above ``whole``."""
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "clashes")
+    links = []
+    for k in keys:
+        hub = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("_row").alias("_hub"), F.count(F.lit(1)).alias("_n"))
+        links.append(rows.join(hub.filter("_n > 1"), k).select(F.col("_row").alias("a"), F.col("_hub").alias("b")))
+    found = components(reduce(DataFrame.unionAll, links)).select(F.col("node").alias("_row"), "component")
+    found = found.withColumnRenamed("component", "_part")
+    named = rows.join(found, "_row", "left").withColumn("_part", F.coalesce("_part", "_row")).drop("_row")
+    named = written(named, "clashes")
+    large = named.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole)
+    large = written(large.select("_part"), "large-clashes")  # at most rows / whole of them
+    buckets = max(1, -(-2 * named.count() // whole))
+    few = named.join(large, "_part", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("_part"), F.lit(buckets)))
+    return few.drop("_part"), named.join(large, "_part", "left_semi").drop("_part")
+
+
+def _settle_in_rounds(
+    rows: DataFrame, keys: list[str], order: list[str], whole: int, holders: Callable[[DataFrame, DataFrame, str], DataFrame]
+) -> list[DataFrame]:
+    """Accepted rows by rounds: a row with no open row before it under any key is accepted, which refuses those it
+    clashes with, until few enough are open for one task."""
+    place, accepted, open_ = F.struct(*order), [], rows
+    while True:
+        open_ = written(open_, "open")
+        if open_.count() <= whole:
+            return [*accepted, _settle_whole(open_.withColumn("_bucket", F.lit(0).cast("long")), keys, order)]
+        seen = holders(open_, open_, "open")
+        first = reduce(lambda a, b: a & b, [
+            F.col(f"_open{i}_at").isNull() | (F.col(f"_open{i}_at") == place) for i in range(len(keys))
+        ])
+        seen = written(seen.withColumn("_first", first).select(*rows.columns, "_first"), "open")
+        won = seen.filter("_first").drop("_first")
+        accepted.append(won)
+        rest = holders(seen.filter("NOT _first").drop("_first"), won, "won")
+        lost = F.coalesce(*[F.col(f"_won{i}_at") for i in range(len(keys))]).isNotNull()
+        open_ = rest.filter(~lost).select(*rows.columns)
+
+
 def reject_duplicates(
-    new: DataFrame, existing: DataFrame, keys: list[tuple[str, str]], order: list[str]
+    new: DataFrame, existing: DataFrame, keys: list[tuple[str, str]], order: list[str], whole: int = WHOLE_ROWS
 ) -> DataFrame:
     """Error of each new row whose value of a key is held by an existing row or an earlier accepted new one.
 
     ``keys`` are (column, message); ``order`` columns stand in both tables and are unique in each. The holder that
-    came first decides the message, and of one holder the first key. A refused row holds nothing, so rows that clash
-    with new rows only are settled in rounds: a row with no open row before it under any key is accepted, which refuses
-    those it clashes with. Rounds grow with the longest chain of clashes, and only open rows go on.
+    came first decides the message, and of one holder the first key. A refused row holds nothing, so whether a row is
+    accepted may depend on any chain of clashes before it. Up to ``whole`` open rows are settled in order by one task;
+    more are parted into components of clashes, which do not touch each other and share tasks of that size; a component
+    above it goes in rounds until so few of it are open.
     """
-    path = f"{checkpoint_dir(new.sparkSession)}/clashes-{uuid.uuid4().hex}"
     place = F.struct(*order)
     names = [k for k, _ in keys]
     rows = new.select(*dict.fromkeys([*order, *names]))
@@ -99,22 +173,15 @@ def reject_duplicates(
 
     old = holders(rows, existing, "old")
     taken = F.coalesce(*[F.col(f"_old{i}_at") for i in range(len(keys))]).isNotNull()
-    open_, accepted, turn = old.filter(~taken).select(*rows.columns), None, 0
-    while True:
-        seen = holders(open_, open_, "open")
-        first = reduce(lambda a, b: a & b, [
-            F.col(f"_open{i}_at").isNull() | (F.col(f"_open{i}_at") == place) for i in range(len(keys))
-        ])
-        seen.withColumn("_first", first).select(*rows.columns, "_first").write.parquet(f"{path}/{turn}")
-        seen = new.sparkSession.read.parquet(f"{path}/{turn}")
-        won = seen.filter("_first").drop("_first")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        rest = seen.filter("NOT _first").drop("_first")
-        if rest.isEmpty():
-            break
-        rest = holders(rest, won, "won")
-        lost = F.coalesce(*[F.col(f"_won{i}_at") for i in range(len(keys))]).isNotNull()
-        open_, turn = rest.filter(~lost).select(*rows.columns), turn + 1
+    open_ = written(old.filter(~taken).select(*rows.columns), "open")
+    if open_.count() <= whole:
+        parts = [_settle_whole(open_.withColumn("_bucket", F.lit(0).cast("long")), names, order)]
+    else:
+        few, many = _clash_buckets(open_, names, whole)
+        parts = [_settle_whole(few, names, order)]
+        if not many.isEmpty():
+            parts += _settle_in_rounds(many, names, order, whole, holders)
+    accepted = written(reduce(DataFrame.unionByName, parts), "accepted")
     # the earliest holder of any of a row's values: existing rows first, then accepted ones that came before it
     out = holders(holders(new, existing, "old"), accepted, "won")
     clashes = []

@@ -262,6 +262,96 @@ def test_selectors(spark):
     assert got == {(1, 10), (2, 10), (2, 12), (4, 11), (4, 13)}
 
 
+@pytest.mark.parametrize("limit", [10**9, 20])
+def test_selectors_over_hot_pairs_and_namespaces(spark, limit):
+    """An empty selector over everything, and pairs and a namespace that most objects share."""
+    import random
+
+    rng = random.Random(6)
+    objects = [(i, rng.choice(["big"] * 8 + ["small", "*"]), {"app": "web" if i % 10 else "db", "tier": str(i % 3), "own": str(i)}) for i in range(300)]
+    objects.append((300, None, {"app": "web"}))
+    selectors = [
+        (1, {}, None), (2, {}, ["big"]), (3, {"app": "web"}, None), (4, {"app": "web", "tier": "1"}, ["small", "*", "small"]),
+        (5, {"tier": "2"}, ["big", "none"]), (6, {"app": "web", "no": "1"}, None), (7, {}, []), (8, {"own": "7", "app": "web"}, None), (9, {}, ["*"]),
+    ]
+    want = {
+        (s, o) for s, match, ns in selectors for o, n, labels in objects
+        if (ns is None or n in ns) and all(labels.get(k) == v for k, v in match.items())
+    }
+    sel = spark.createDataFrame(selectors, "selector_id int, match map<string,string>, namespaces array<string>")
+    obj = spark.createDataFrame(objects, "object_id int, namespace string, labels map<string,string>")
+    found = cluster.match_selector(sel, obj, limit)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def serial_clashes(existing, new):
+    """One registration after the other; rows are (id, a, b)."""
+    held, out = [{}, {}], {}
+    for i, *values in sorted(existing):
+        for h, v in zip(held, values):
+            h.setdefault(v, (0, i))
+    for i, *values in sorted(new):
+        clash = [(h[v], k) for k, (h, v) in enumerate(zip(held, values)) if v is not None and v in h]
+        out[i] = "ab"[min(clash)[1]] if clash else None
+        if not clash:
+            for h, v in zip(held, values):
+                h.setdefault(v, (1, i))
+    return out
+
+
+@pytest.mark.parametrize("whole", [10**6, 40, 6])
+def test_clash_components(spark, whole):
+    """Chains, stars and loose rows; components go to tasks whole, and those above the bound in rounds."""
+    import random
+
+    rng = random.Random(9)
+    new = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(60)]  # a chain of clashes
+    new += [(100 + i, "star", f"s{i}") for i in range(20)] + [(200 + i, f"x{rng.randrange(25)}", f"y{rng.randrange(25)}") for i in range(40)]
+    new += [(300, None, None), (301, None, "b3"), (302, "only", None), (303, None, None)]
+    existing = [(1, "a7", None), (2, "x3", "y4"), (3, None, "s4")]
+    schema = "id long, a string, b string"
+    out = relations.reject_duplicates(
+        spark.createDataFrame(new, schema).repartition(5), spark.createDataFrame(existing, schema), [("a", "a"), ("b", "b")], ["id"], whole
+    )
+    assert {r["id"]: r["error"] for r in out.collect()} == serial_clashes(existing, new)
+
+
+def test_components(spark):
+    import random
+
+    from fleetlens.operators.components import components
+
+    rng = random.Random(4)
+    path = list(range(400))
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:])) + [(500 + rng.randrange(30), 500 + rng.randrange(30)) for _ in range(20)] + [(900, 900 + i) for i in range(50)]
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {v: find(v) for v in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_long_chain_of_clashes_takes_few_jobs(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("id", "concat('a', (id + 1) div 2) AS a", "concat('b', id div 2) AS b")
+    none = spark.createDataFrame([], "id long, a string, b string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    out = relations.reject_duplicates(chain, none, [("a", "a"), ("b", "b")], ["id"])
+    accepted = sorted(r["id"] for r in out.filter("error IS NULL").collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert accepted == list(range(0, n, 2)) and jobs <= 20
+
+
 def test_policies_only_add(spark):
     schema = "n int, ns string, direction string, pod_labels map<string,string>, peer_ns map<string,string>, peer_pod map<string,string>, peer_ns_name string, protocol string, port int"
     flows = [
