@@ -14,9 +14,11 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fleetlens.llm.common import PIECES_PER_SHARD, expanding, stored
 
@@ -93,33 +95,28 @@ def pieces(
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document: its ids, then ``end_id``, cut after each
     ``sequence`` ids. Null and empty texts have the end alone. Other columns of ``docs`` are not carried."""
     path = tokenizer_path or default_tokenizer()
-    schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    id_type = docs.schema[doc_id].dataType.simpleString()
+    made = "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL(made).fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
 
     def run(batches):
         words, end, width = _words(path), array("I", [end_id]).tobytes(), 4 * sequence
-        for pdf in batches:
-            names, texts = pdf.iloc[:, 0], pdf.iloc[:, 1].tolist()
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                coded = [c + end for c in words.of(texts[at : at + TEXTS_AT_ONCE])]
-                sizes = np.array([len(c) // 4 for c in coded])
-                counts = -(-sizes // sequence)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                few = batch.slice(at, TEXTS_AT_ONCE)
+                coded = [c + end for c in words.of(few.column(1).to_pylist())]
+                counts = np.array([-(-len(c) // width) for c in coded])
                 part = expanding(counts)
                 cuts = [c[i : i + width] for c in coded for i in range(0, len(c), width)]
-                rows = {
-                    "doc_id": np.repeat(names.iloc[at : at + TEXTS_AT_ONCE].to_numpy(), counts),
-                    "piece": part.astype("int32"),
-                    "start": part * sequence,
-                    "length": np.array([len(c) // 4 for c in cuts]),
-                    "ids_crc32": np.array([zlib.crc32(c) for c in cuts], dtype="int64"),
-                }
+                columns = [part, part * sequence, [len(c) // 4 for c in cuts], [zlib.crc32(c) for c in cuts]]
                 if with_ids:
-                    rows["ids"] = [np.frombuffer(c, "<u4").astype("int64") for c in cuts]
-                yield pd.DataFrame(rows)
+                    columns.append([np.frombuffer(c, "<u4").astype("int64") for c in cuts])
+                # ids stay in Arrow: pandas would make doubles of them beside a null
+                ids = few.column(0).take(pa.array(np.repeat(np.arange(len(coded)), counts)))
+                arrays = [ids, *(pa.array(c, t) for c, t in zip(columns, types))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        run, f"doc_id {id_type}, {schema}"
-    )
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def place(
@@ -166,12 +163,16 @@ def best_fit(
     capacity = (sequence, max_documents or sequence, max_attention or sequence * sequence)
     cut = stored(cut)
     shards = max(1, -(-cut.count() // per_shard))
-    dealt = cut.drop("sequence_id", "offset").withColumn("__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name not in ("sequence_id", "offset"))
+    dealt = cut.drop("sequence_id", "offset").withColumn(
+        "__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
+    )
+    added = T.StructType.fromDDL("sequence_id long, offset long")
+    schema = T.StructType(dealt.drop("__shard").schema.fields + added.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = place(pdf["length"].to_numpy(dtype="int64"), capacity, weights, rule)
-        out = pdf.drop(columns="__shard")
-        return out.assign(sequence_id=(pdf["__shard"].to_numpy() << 24) + bins, offset=offsets)
+    def run(table: pa.Table) -> pa.Table:
+        bins, offsets = place(table.column("length").to_numpy().astype("int64"), capacity, weights, rule)
+        out = table.drop_columns("__shard")
+        out = out.append_column("sequence_id", pa.array((table.column("__shard").to_numpy() << 24) + bins))
+        return out.append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("__shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("__shard").applyInArrow(run, schema)

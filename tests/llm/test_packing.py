@@ -1,3 +1,5 @@
+from collections import Counter
+
 import brute
 import numpy as np
 import public_tokenizers
@@ -75,3 +77,11 @@ def test_shards_cover_every_piece(spark):
     got = packing.best_fit(cut, per_shard=600).toPandas()
     assert sorted(got.id) == list(range(5000)) and got.columns.tolist() == ["id", "length", "shard", "sequence_id", "offset"]
     check(got)
+
+
+def test_large_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**63), None, 2**63 - 1]
+    docs = spark.createDataFrame([(i, "some words " * 900) for i in ids], "doc_id long, text string").coalesce(1)
+    got = packing.best_fit(packing.pieces(docs)).select("doc_id", "piece").collect()
+    per_text = len(got) // len(ids)
+    assert per_text >= 1 and Counter(r.doc_id for r in got) == Counter(i for i in ids for _ in range(per_text))
