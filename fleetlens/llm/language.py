@@ -23,16 +23,45 @@ SLOTS = 1 << 16
 SAMPLE = 8192  # documents a text model is learned from, dealt equally to the languages
 LEAST = 16  # documents of each language, however many languages there are
 BUCKETS = 4096  # of the ids' hashes, to find the least of a language without sorting it
+FEW_LANGUAGES = 64
 TEMPER = 0.1
 SHRINK = 5.0  # pages a parent's prior is worth
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+HIDDEN = ("script", "style", "nav", "template", "noscript")
+OPEN = re.compile(rf"<!--|<({'|'.join(HIDDEN)})\b", re.I)
+CLOSE = {"!--": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in HIDDEN}
 TAG = re.compile(r"<[^>]*>")
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 DECLARED = r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z]{2,3})"""
+HTML = re.compile("<html", re.I | re.A)
+LANG = re.compile(r"""\s(?=lang\s*=\s*["']?([A-Za-z]{2,3}))""", re.I | re.A)
 
 
 def visible(page: str | None) -> str:
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or "")))
+    """What is left of a page without comments, hidden elements and tags; what is never closed stays, and costs one look
+    for its end however often it is opened."""
+    page, kept, at, seek, endless = page or "", [], 0, 0, set()
+    while (m := OPEN.search(page, seek)) is not None:
+        kind = next((n for n in HIDDEN if m[1] and re.fullmatch(n, m[1], re.I)), "!--")
+        end = None if kind in endless else CLOSE[kind].search(page, m.end())
+        if end is None:
+            endless.add(kind)
+            seek = m.start() + 1
+        else:
+            kept.append(page[at : m.start()])
+            at = seek = end.end()
+    text = " ".join([*kept, page[at:]])
+    last = text.rfind(">") + 1  # no tag ends after it
+    return entities.unescape(TAG.sub(" ", text[:last]) + text[last:])
+
+
+def declared(page: str | None) -> str | None:
+    """The language that the first ``html`` tag with one declares: what DECLARED finds, looking at each sign once."""
+    for tag in (page or "").split(">"):
+        start = HTML.search(tag)
+        found = LANG.findall(tag, start.end()) if start else None
+        if found:
+            return found[-1].lower()
+    return None
 
 
 def slots(text: str) -> np.ndarray:
@@ -99,8 +128,13 @@ def _softmax(scores: Column) -> Column:
 
 
 def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
-    """Sums of the posteriors of a group, combined before they are shuffled."""
-    return rows.groupBy(*by).agg(F.array(*(F.sum(F.col("alone")[i]) for i in range(n))).alias(name))
+    """Sums of the posteriors of a group, combined before they are shuffled: as many expressions as languages, or, where
+    these are many, a row for each of a page's posteriors."""
+    if n <= FEW_LANGUAGES:
+        return rows.groupBy(*by).agg(F.array(*(F.sum(F.col("alone")[i]) for i in range(n))).alias(name))
+    each = rows.select(*by, F.posexplode("alone").alias("__at", "__p")).groupBy(*by, "__at").agg(F.sum("__p").alias("__p"))
+    whole = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__at", "__p"))).alias(name))
+    return whole.withColumn(name, F.transform(name, lambda x: x["__p"]))
 
 
 def identify(
@@ -117,24 +151,24 @@ def identify(
         return pages.select(F.col(page_id).alias("page_id")).withColumns(nothing | {"confidence": F.lit(None).cast("double")})
     shared = pages.sparkSession.sparkContext.broadcast(table)  # 65,536 numbers for each language
 
-    @F.pandas_udf("array<double>")
-    def likelihood(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("text array<double>, declared string")
+    def read(texts: pd.Series) -> pd.DataFrame:
         t = shared.value
-        return texts.map(lambda x: (t[:, slots(visible(x))].sum(axis=1) * temper).tolist())
+        likelihood = [(t[:, slots(visible(x))].sum(axis=1) * temper).tolist() for x in texts]
+        return pd.DataFrame({"text": likelihood, "declared": [declared(x) for x in texts]})
 
     address = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), HOST, 1))
-    said = F.lower(F.regexp_extract(F.coalesce(F.col(page), F.lit("")), DECLARED, 1))
     none = lambda c: F.when(c != "", c)
     seen = pages.select(
-        F.col(page_id).alias("page_id"), none(address).alias("host"), none(said).alias("declared"),
-        likelihood(F.col(page)).alias("text"),
-    )
+        F.col(page_id).alias("page_id"), none(address).alias("host"), read(F.col(page)).alias("read")
+    ).select("page_id", "host", "read.declared", "read.text")
     seen = seen.withColumns({
         "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)\.?$", 1), "suffix": F.regexp_extract("host", r"([^.]+)\.?$", 1),
         "alone": _softmax(F.col("text")),
     })
     seen = stored(seen)
-    everything = seen.agg(*(F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(n))).first()
+    everything = ((_sums(seen, [], n, "sums").first() or [None])[0]) or []
+    everything = [x or 0.0 for x in everything] or [0.0] * n
     prior = [(x + 1.0) / (sum(everything) + n) for x in everything]
 
     hosts = _sums(seen.where("host is not null"), ["domain", "host"], n, "host_sums")

@@ -113,3 +113,52 @@ def test_every_language_has_a_row_learned_from_its_documents(spark):
     want = {w[0]: w for w in brute_force(pages, names, table)}
     assert all(got[k].lang == want[k][1] and got[k].confidence == pytest.approx(want[k][2]) for k in want)
     assert all(got[k].text_lang == names[k] for k in want)
+
+
+def test_reading_of_markup_equals_the_patterns():
+    import random
+    import re
+
+    hidden = re.compile(r"<!--.*?-->|<(script|style|nav|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+    rng = random.Random(3)
+    parts = ["<!--", "-->", "<script", "<SCRIPT src=x>", "</script >", "</Script", "<style>", "</style>", "<nav ", "</nav>", "<", ">", "a", " ",
+             "<html", "<HTML x", " lang=en", "\tLANG = 'deu", " lang=", "\n", "x lang=f", "&amp;", "<!-", "-", "<navy>"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        plain = language.entities.unescape(re.sub("<[^>]*>", " ", hidden.sub(" ", page)))
+        assert language.visible(page) == plain, page
+        m = re.search(language.DECLARED, page, re.A)
+        assert language.declared(page) == (m[1].lower() if m else None), page
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script ", "<", "<html lang", "<html ", "</script ", "<script></script", "<!---->", " lang=", "&"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page, start = part * (1_000_000 // len(part)), time.process_time()
+    language.visible(page)
+    language.declared(page)
+    assert time.process_time() - start < 2
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    names, table = ["de", "en"], np.log(np.random.default_rng(1).dirichlet(np.ones(language.SLOTS), 2))
+    page = "<html lang=en>" + "the long page goes on and on " * 20_000
+    pages = [(1, "http://a.b.com/", page)] * 3 + [(2, "http://a.b.com/", "<!--" * 1000 + "text")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr(
+        "*", "'x' AS text", "1 AS alone", "'y' AS declared", "2 AS domain", "3 AS read", "4 AS found", "'z' AS confidence"
+    )
+    want = sorted(brute_force(pages, names, table))
+    got = sorted((r.page_id, r.lang, r.confidence, r.declared, r.suffix, r.host) for r in language.identify(df, names, table).collect())
+    assert [(g[0], g[1], g[3:]) for g in got] == [(w[0], w[1], w[3:]) for w in want]
+
+
+def test_five_hundred_languages(spark):
+    rng = np.random.default_rng(7)
+    names = [f"l{k:03}" for k in range(500)]
+    table = np.log(rng.dirichlet(np.full(64, 0.3), 500)[:, rng.integers(0, 64, language.SLOTS)] + 1e-6)
+    pages = [(i, f"http://h{i % 3}.example.com/", f"<html lang=l{i % 2}x><p>words of page {i} {i * i}</p>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {w[0]: w for w in brute_force(pages, names, table)}
+    got = {r.page_id: r for r in language.identify(df, names, table).collect()}
+    assert all(got[k].lang == want[k][1] and got[k].confidence == pytest.approx(want[k][2]) for k in want)
