@@ -23,6 +23,7 @@ from fleetlens.session import written
 
 ROWS_PER_TASK = 4_000_000
 MAX_CUTS = 8192  # cuts of one hot key; all keys together have about rows / rows_per_task of them
+NESTED_CUTS = 64  # up to which cuts are nested conditions
 BROADCAST_ROWS = 10_000  # of a list of keys that the driver holds anyway
 SAMPLE_ROWS = 4096  # sampled rows by which a key counts as large
 SEG = "_seg"
@@ -92,7 +93,18 @@ def position(df: DataFrame, col: str) -> Column:
 
 
 def _between_cuts(value: Column, cuts: list, base: int) -> Column:
-    """base + 2 * (cuts below value) + (value is a cut), by binary search over one Arrow column."""
+    """base + 2 * (cuts below value) + (value is a cut), by binary search: few cuts as nested conditions, which Spark
+    compiles, many over one Arrow column."""
+    if len(cuts) <= NESTED_CUTS:
+
+        def among(a: int, b: int) -> Column:
+            if a == b:
+                return F.lit(base + 2 * a).cast("long")
+            m = (a + b) // 2
+            here = F.lit(base + 2 * m + 1).cast("long")
+            return F.when(value < F.lit(cuts[m]), among(a, m)).when(value == F.lit(cuts[m]), here).otherwise(among(m + 1, b))
+
+        return F.when(value.isNotNull(), among(0, len(cuts))).otherwise(base + 1)
     at = np.array(cuts)
 
     @F.pandas_udf("long")

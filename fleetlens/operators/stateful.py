@@ -168,9 +168,12 @@ def _with_entries(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataF
     )
 
 
-def _feed(df: DataFrame, keys: list[str], order: list[str], header: bool) -> DataFrame:
+def _feed(df: DataFrame, keys: list[str], order: list[str], header: bool, segments: int = 0) -> DataFrame:
+    """Rows by key in order; with segments in so many partitions that few of these share one."""
     first = [F.col("_entry").isNull()] if header else []
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *first, *order)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(max(usual, 2 * segments), *keys) if segments else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *first, *order)
 
 
 def _settle(s: Segmented, machine: Machine) -> DataFrame:
@@ -179,7 +182,7 @@ def _settle(s: Segmented, machine: Machine) -> DataFrame:
     hot = s.df.filter(F.col(SEG) > 0).select(*dict.fromkeys([*keys, *s.order, *machine.columns]))
     fields = [hot.schema[k] for k in keys]
     paged = T.StructType([*fields, T.StructField("_page", T.LongType()), T.StructField("_moves", T.BinaryType())])
-    pages = _feed(hot, keys, s.order, header=False).mapInArrow(
+    pages = _feed(hot, keys, s.order, False, s.segments).mapInArrow(
         _page_batches(machine, keys, to_arrow_schema(paged)), paged
     )
     entered = T.StructType([*fields, T.StructField("_entry", T.StringType())])
@@ -203,5 +206,5 @@ def run_machine(
         fed = _feed(df, by, order, header=False)
         return fed.mapInArrow(_label_batches(machine, by, df.columns, made), schema)
     entries = _settle(s, machine)
-    fed = _feed(_with_entries(s.df, entries, s.group), s.group, s.order, header=True)
+    fed = _feed(_with_entries(s.df, entries, s.group), s.group, s.order, True, s.segments)
     return fed.mapInArrow(_label_batches(machine, s.group, df.columns, made), schema)
