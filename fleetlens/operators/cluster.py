@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.segments import ROWS_PER_TASK, bounded_broadcast, large_keys
+from fleetlens.operators.segments import ROWS_PER_TASK, cut_join
 from fleetlens.session import written
 
 
@@ -143,17 +143,7 @@ def match_selector(selectors: DataFrame, objects: DataFrame, rows_per_task: int
         "object_id", F.explode(F.array(scoped(F.col("namespace")), F.lit("*"))).alias("scope"), "bare", "k", "v"
     )
     postings = postings.join(wanted.select(*list_).distinct(), list_, "left_semi")
-    long, _ = large_keys(postings, list_, rows_per_task)
-    if long:
-        cut = objects.sparkSession.createDataFrame(
-            [(*[r[c] for c in list_], -(-r["_n"] // rows_per_task)) for r in long], "scope string, bare boolean, k string, v string, cuts long"
-        )
-        cut = bounded_broadcast(cut, len(long))
-        cuts = F.coalesce("cuts", F.lit(1))
-        postings = postings.join(cut, list_, "left").withColumn("piece", F.pmod(F.xxhash64("object_id"), cuts)).drop("cuts")
-        wanted = wanted.join(cut, list_, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))).drop("cuts")
-        list_ = [*list_, "piece"]
-    found = postings.join(wanted, list_).select("selector_id", "object_id", "match")
+    found = cut_join(postings, wanted, list_, F.col("object_id"), rows_per_task).select("selector_id", "object_id", "match")
     more = found.filter("match IS NOT NULL").join(objects.select("object_id", "labels"), "object_id")
     contained = F.forall(
         F.map_entries("match"), lambda e: F.try_element_at(F.col("labels"), e["key"]).eqNullSafe(e["value"])
@@ -207,11 +197,11 @@ def policy_verdict(flows: DataFrame, policies: list[dict]) -> DataFrame:
     return flows.withColumn("allowed", ~selected | allowed)
 
 
-def effective_permissions(bindings: DataFrame, roles: DataFrame) -> DataFrame:
+def effective_permissions(bindings: DataFrame, roles: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(subject, namespace, api_group, resource, verb) granted by (subject, namespace, role) bindings.
 
-    ``roles`` has role and rules array<struct<api_groups, resources, verbs>>; it is unnested
-    before the join, and a hot role is split by adaptive execution.
+    ``roles`` has role (unique) and rules array<struct<api_groups, resources, verbs>>; it is unnested
+    before the join, in which a role of very many bindings is cut.
     """
     rules = roles.select("role", F.explode("rules").alias("r"))
     grants = (
@@ -220,21 +210,23 @@ def effective_permissions(bindings: DataFrame, roles: DataFrame) -> DataFrame:
         .select("role", "api_group", "resource", F.explode("r.verbs").alias("verb"))
         .distinct()
     )
-    return bindings.select("subject", "namespace", "role").distinct().join(grants, "role").drop("role").distinct()
+    bound = bindings.select("subject", "namespace", "role").distinct()
+    return cut_join(bound, grants, ["role"], F.col("subject"), rows_per_task, bindings).drop("role").distinct()
+
 
+def can_i(questions: DataFrame, bindings: DataFrame, roles: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Answer (subject, namespace, api_group, resource, verb) questions; * grants everything.
 
-def can_i(questions: DataFrame, bindings: DataFrame, roles: DataFrame) -> DataFrame:
-    """Answer (subject, namespace, api_group, resource, verb) questions; * grants everything."""
+    A question meets each role of its subject once, with the role's rules as one list, and a role that very many
+    questions meet is cut."""
     keys = ["subject", "namespace", "api_group", "resource", "verb"]
-    rules = roles.select("role", F.explode("rules").alias("r"))
-    covers = lambda have, want: F.arrays_overlap(F.col(have), F.array(F.col(want), F.lit("*")))
+    covers = lambda have, want: F.arrays_overlap(have, F.array(F.col(want), F.lit("*")))
+    rule = lambda r: covers(r["api_groups"], "api_group") & covers(r["resources"], "resource") & covers(r["verbs"], "verb")
     asked = questions.select(*keys).distinct()
+    met = asked.join(bindings.select("subject", "namespace", "role").distinct(), ["subject", "namespace"])
     granted = (
-        asked.join(bindings.select("subject", "namespace", "role").distinct(), ["subject", "namespace"])
-        .join(rules, "role")
-        .filter(covers("r.api_groups", "api_group") & covers("r.resources", "resource") & covers("r.verbs", "verb"))
-        .select(*keys, F.lit(True).alias("allowed"))
-        .distinct()
+        cut_join(met, roles.select("role", "rules"), ["role"], F.struct(*keys), rows_per_task)
+        .filter(F.exists("rules", rule)).select(*keys, F.lit(True).alias("allowed")).distinct()
     )
     return asked.join(granted, keys, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 

@@ -25,6 +25,7 @@ from fleetlens.operators.validate import first_error
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
+NEVER = 2**62
 DENSE = 64  # requests within a window from which on it pays to decide them together
 DEFAULT_TTL = 300 * SECOND  # fixed value: default lock lifetime of five minutes
 
@@ -87,7 +88,9 @@ class SlidingThrottle:
         return allowed
 
     def retry_at(self, state: dict) -> int:
-        """Earliest instant at which a request denied now could be admitted."""
+        """Earliest instant at which a request denied now could be admitted; a limit of nothing never admits."""
+        if min(self.limit_short, self.limit_long) <= 0:
+            return NEVER
         waits = []
         if len(state["short"]) >= self.limit_short:
             waits.append(state["short"][0] + self.short)

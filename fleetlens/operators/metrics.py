@@ -242,7 +242,8 @@ def counter_rate(samples: DataFrame, by: list[str], range_seconds: int, step_sec
     ticks = cells.filter("_from <= _to").select(*by, F.explode(F.sequence("_from", "_to")).alias("tick"))
     points = own.unionByName(ticks.withColumn("_at", F.col("tick") * step), allowMissingColumns=True)
     wanted = {"n": Scan("sum", F.col("n")), "first": Scan("min", F.col("first")), "last": Scan("max", F.col("last")), "reset": Scan("sum", F.col("reset"))}
-    found = ranged(points, by, F.col("_at"), 1 - reach, 0, {"_" + k: v for k, v in wanted.items()})
+    in_reach = reach // unit + reach // step + 2  # cells and ticks of a series
+    found = ranged(points, by, F.col("_at"), 1 - reach, 0, {"_" + k: v for k, v in wanted.items()}, positions=in_reach)
     sums = found.filter(F.col("tick").isNotNull() & (F.col("_n") >= 2)).select(
         *by, "tick", F.col("_n").alias("n"), "_first.t0", "_last.t1", "_first.v0", "_last.v1",
         # a fall into the range's first cell happened before the range

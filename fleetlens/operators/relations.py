@@ -217,10 +217,12 @@ def resolve_user(df: DataFrame, directory: DataFrame, email: str, user_id: str =
 
 
 def last_change(changes: DataFrame, key: str, order: list[str] | None) -> DataFrame:
-    """One change per key, the last by ``order``; without an order keys are taken to be unique."""
-    if not order:
-        return changes
+    """One change per key, the last by ``order``; without an order a key that is changed twice is an error."""
     rest = [c for c in changes.columns if c != key]
+    if not order:
+        once = changes.groupBy(key).agg(F.any_value(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+        twice = F.raise_error(F.concat(F.lit("several changes of one key need an order: "), F.col(key).cast("string")))
+        return once.withColumn("_r", F.when(F.col("_n") > 1, twice).otherwise(F.col("_r"))).select(key, "_r.*")
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 

@@ -137,6 +137,25 @@ def large_keys(df: DataFrame, by: list[str], limit: int) -> tuple[list[Row], flo
     return counts.filter(F.col("_n") > limit).collect(), share
 
 
+def cut_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread: Column, rows_per_task: int = ROWS_PER_TASK,
+    sampled: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join in which a key of more than ``rows_per_task`` rows of ``left`` is cut into pieces by the column
+    ``spread``; each piece meets its own copy of the key's rows of ``right``, which should be few. ``sampled`` stands in
+    for ``left`` where it is cheaper to read and has no fewer rows of any key."""
+    large, _ = large_keys(left if sampled is None else sampled, on, rows_per_task)
+    large = [r for r in large if all(r[k] is not None for k in on)]  # null meets nothing
+    if not large:
+        return left.join(right, on)
+    schema = T.StructType([left.schema[k] for k in on] + [T.StructField("_cuts", T.LongType())])
+    cuts = left.sparkSession.createDataFrame([(*[r[k] for k in on], -(-r["_n"] // rows_per_task)) for r in large], schema)
+    cuts, n = bounded_broadcast(cuts, len(large)), F.coalesce("_cuts", F.lit(1))
+    left = left.join(cuts, on, "left").withColumn("_piece", F.pmod(F.xxhash64(spread), n)).drop("_cuts")
+    right = right.join(cuts, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_cuts")
+    return left.join(right, [*on, "_piece"]).drop("_piece")
+
+
 def split(df: DataFrame, by: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK) -> Segmented:
     """Add a segment column where keys hold more than ``rows_per_task`` rows.
 
@@ -258,13 +277,17 @@ def running(df, by, order, cols, rows_per_task=ROWS_PER_TASK, reverse=False) ->
     return scan(split(df, by, order, rows_per_task), cols, reverse).done()
 
 
-def ranged(df: DataFrame, by: list[str], at: Column, lo: int, hi: int, cols: dict[str, Scan]) -> DataFrame:
+def ranged(
+    df: DataFrame, by: list[str], at: Column, lo: int, hi: int, cols: dict[str, Scan], rows_per_task: int = ROWS_PER_TASK,
+    positions: int | None = None,
+) -> DataFrame:
     """min, max, sum or count over rows of the same key with position in [at + lo, at + hi].
 
     ``at`` is a whole number (seconds, micros, ticks). Rows are first reduced to one per key and
     position. Time is cut into buckets as wide as the range, so every range is the end of one bucket
     and the start of the next: two running aggregates per bucket answer all ranges, in time linear
-    in the rows, and no task holds more of a key than one bucket.
+    in the rows. A bucket has at most ``positions`` rows of a key (default: its width); where that may
+    be more than ``rows_per_task``, buckets that a sample shows to be so full are cut as well.
     """
     width = hi - lo
     if width <= 0:
@@ -285,12 +308,20 @@ def ranged(df: DataFrame, by: list[str], at: Column, lo: int, hi: int, cols: dic
     own = entry(F.col("_at"), 0, {n: F.col(n) for n in cols})
     begins, ends = entry(F.col("_at") + lo, 1, none), entry(F.col("_at") + hi, 2, none)
     points = per.select(*by, "_at", F.explode(F.array(own, begins, ends)).alias("p")).select(*by, "_at", "p.*")
-    spot = Window.partitionBy(*by, "_bucket")
-    values_first = (F.col("_side") > 0).asc()
-    upto = spot.orderBy("_pos", values_first).rowsBetween(Window.unboundedPreceding, 0)
-    onward = spot.orderBy(F.col("_pos").desc(), values_first).rowsBetween(Window.unboundedPreceding, 0)
-    part = {n: F.when(F.col("_side") == 1, merge[c.kind](n).over(onward)).when(F.col("_side") == 2, merge[c.kind](n).over(upto)) for n, c in cols.items()}
-    halves = points.select(*by, "_at", "_side", *[v.alias(n) for n, v in part.items()]).filter("_side > 0")
+    # at equal positions values come before the ends of ranges, in either direction
+    points = points.withColumns({"_asked": (F.col("_side") > 0).cast("int"), "_held": (F.col("_side") == 0).cast("int")})
+    spot = [*by, "_bucket"]
+    cut = Segmented(points, spot, ["_pos"], 0)
+    if 3 * (positions or width) > rows_per_task:
+        full, _ = large_keys(rows.withColumn("_bucket", bucket(F.col("_at"))), spot, max(1, rows_per_task // 3))
+        cut = split(points, spot, ["_pos"], rows_per_task) if full else cut
+    kinds = {n: "sum" if c.kind == "count" else c.kind for n, c in cols.items()}
+    upto = scan(Segmented(cut.df, spot, ["_pos", "_asked"], cut.segments), {"_up_" + n: Scan(k, F.col(n)) for n, k in kinds.items()})
+    both = scan(
+        Segmented(upto.df, spot, ["_pos", "_held"], cut.segments), {"_on_" + n: Scan(k, F.col(n)) for n, k in kinds.items()}, reverse=True
+    )
+    part = {n: F.when(F.col("_side") == 1, F.col("_on_" + n)).when(F.col("_side") == 2, F.col("_up_" + n)) for n in cols}
+    halves = both.done().select(*by, "_at", "_side", *[v.alias(n) for n, v in part.items()]).filter("_side > 0")
     whole = halves.groupBy(*by, "_at").agg(*[merge[c.kind](n).alias(n) for n, c in cols.items()])
     keys = [*by, "_at"]
     found = whole.select(*[F.col(k).alias("_k_" + k) for k in keys], *cols)

@@ -137,7 +137,7 @@ def correlate(
         F.struct(F.col("listing_pos").cast("long").alias("pos"), F.col("run_id").cast("long").alias("run_id")).alias("_run"),
     )
     if late is not None:
-        rows = ranged(d.unionByName(r), by, F.col("_us"), -early * 10**6, late * 10**6, {"_best": Scan("min", F.col("_run"))})
+        rows = ranged(d.unionByName(r), by, F.col("_us"), -early * 10**6, late * 10**6, {"_best": Scan("min", F.col("_run"))}, rows_per_task)
     else:
         # a run at exactly dispatch - early counts: at equal positions runs come after the dispatch
         shifted = d.withColumn("_us", F.col("_us") - early * 10**6).unionByName(r)
@@ -146,8 +146,14 @@ def correlate(
     return rows.filter("_run is null").select(*by, "dispatch_id", "ts", F.col("_best.run_id").alias("run_id"))
 
 
+LIMITED_ROWS = 1000  # up to which Spark limits a window's rows before the shuffle (its default)
+
+
 def last_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """Newest n rows per key; Spark keeps only n per key and task before the shuffle."""
+    """Newest n rows per key. Spark keeps only n per key and task before the shuffle, as long as these are few; for many,
+    positions come from a segmented scan."""
+    if n > LIMITED_ROWS:
+        return running(df, by, order, {"_rn": Scan("row_number")}, reverse=True).filter(F.col("_rn") <= n).drop("_rn")
     newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -251,22 +251,24 @@ def job_requests(t):
     )
 
 
-def intake_sql(final: str, known: str = "", window: str = "TRUE", refused: str = "FALSE", unthrottled: bool = False) -> str:
+def intake_sql(final: str, known: str = "", window: str = "TRUE", refused: str = "FALSE", unthrottled: bool = False, told: str = "", more: str = "") -> str:
     """Requests one after the other per tenant: quota held, locks held. ``known`` are further tables, ``window`` picks
-    requests, ``refused`` those that the queue does not take; ``final`` reads v (requests) and r (decisions)."""
+    requests, ``refused`` those that the queue does not take, which give back their locks at once or, with ``told``, where that
+    holds for lock l and request o (with columns ``more``); ``final`` reads v (requests) and r (decisions)."""
+    keeps = "TRUE" if told else "NOT refused"
     ok = "TRUE" if unthrottled else (
         "len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 HOUR)) < 2 AND len(list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY)) < 2"
     )
-    return f"""WITH RECURSIVE {known} q AS (SELECT event_id, ts, 'org' || user_id AS org, CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS job_type, CAST(props->>'$.k' AS INT) AS k, event_type, {refused} AS refused FROM events WHERE {window}),
+    return f"""WITH RECURSIVE {known} q AS (SELECT event_id, ts, 'org' || user_id AS org, CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS job_type, CAST(props->>'$.k' AS INT) AS k, event_type, {refused} AS refused{more} FROM events WHERE {window}),
       v AS (SELECT *, CASE WHEN job_type = '' THEN 'job_type is required' WHEN event_type = 'view' THEN 'either prompt or payload is required' WHEN k >= 90 THEN 'timeout_seconds must be positive' END AS error,
         'mcp:job:' || org || ':' || job_type || ':' || sha256(CASE WHEN event_type = 'view' THEN 'view' ELSE 'prompt ' || (k % 2) || job_type || 'payload' END || 'a1b2') AS key,
         '{{"job_id":"' || sha256(event_id::VARCHAR) || '","organization_id":"' || org || '","job_type":"' || job_type || '","prompt":"prompt ' || (k % 2) || '","parameters":{{"b":"2","a":"1"}},"payload":"payload","timeout_seconds":30,"callback_url":"","created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}}' AS envelope FROM q),
       o AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY ts, event_id::VARCHAR) AS rn FROM v WHERE error IS NULL),
-      r AS (SELECT event_id, org, ts, rn, CASE WHEN refused THEN 'refused' ELSE 'accepted' END AS outcome, [ts] AS held, CASE WHEN refused THEN [] ELSE [{{'k': key, 't': ts}}] END AS locks FROM o WHERE rn = 1
+      r AS (SELECT event_id, org, ts, rn, CASE WHEN refused THEN 'refused' ELSE 'accepted' END AS outcome, [ts] AS held, CASE WHEN {keeps} THEN [{{'k': key, 't': ts, 'r': refused}}] ELSE [] END AS locks FROM o WHERE rn = 1
         UNION ALL SELECT event_id, org, ts, rn, CASE WHEN NOT ok THEN 'throttled' WHEN taken THEN 'duplicate' WHEN refused THEN 'refused' ELSE 'accepted' END,
-          CASE WHEN ok THEN list_append(live, ts) ELSE live END, CASE WHEN ok AND NOT taken AND NOT refused THEN list_append(valid, {{'k': key, 't': ts}}) ELSE valid END
+          CASE WHEN ok THEN list_append(live, ts) ELSE live END, CASE WHEN ok AND NOT taken AND {keeps} THEN list_append(valid, {{'k': key, 't': ts, 'r': refused}}) ELSE valid END
         FROM (SELECT *, len(list_filter(valid, lambda l: l.k = key)) > 0 AS taken FROM
-          (SELECT o.event_id, o.org, o.ts, o.rn, o.key, o.refused, list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY) AS live, list_filter(r.locks, lambda l: l.t + INTERVAL 3 DAY > o.ts) AS valid,
+          (SELECT o.event_id, o.org, o.ts, o.rn, o.key, o.refused, list_filter(r.held, lambda h: h > o.ts - INTERVAL 1 DAY) AS live, list_filter(r.locks, lambda l: l.t + INTERVAL 3 DAY > o.ts AND NOT ({told or 'FALSE'})) AS valid,
             {ok} AS ok
            FROM r JOIN o ON o.org = r.org AND o.rn = r.rn + 1)))
     {final}"""

@@ -1,16 +1,19 @@
 """Streams run to their end over the given tables, and batched prediction."""
 
+from contextlib import suppress
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from fleetlens.operators import inference, intake
 from fleetlens.plans.registry import ORACLES, query
 from fleetlens.plans.rows_q import ROUTES
-from fleetlens.plans.sequences_q import DAY_US, HOUR_US, intake_sql, job_requests
+from fleetlens.plans.sequences_q import DAY_US, HOUR_US, OUTCOMES, intake_sql, job_requests
 from fleetlens.sources import files, queue
 from fleetlens.streaming import intake as intake_s
 from fleetlens.streaming import metrics as metrics_s
 from fleetlens.streaming import tracking as tracking_s
-from fleetlens.streaming.runs import Drain, new_folder, run_to_end, state_at_end, table_stream
+from fleetlens.streaming.runs import Drain, folder_stream, new_folder, run_to_end, state_at_end, table_stream
 
 
 def drained(t, table, rows):
@@ -32,6 +35,34 @@ def s2(t):
     return run_to_end(stream.drop("o_custkey"), "s2")
 
 
+@query(
+    "s2_bounded_fetch",
+    "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey, o_orderstatus, TRUE AS within FROM orders",
+)
+def s2_bounded(t):
+    """Fetches of at most 4,000 messages; the first one fails after its work is done, and the query is started again."""
+    path, sink, limit = new_folder(t.spark, "queue"), new_folder(t.spark, "fetched"), 4000
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    queue.write_jobs(queue.to_messages(rows, "o_custkey"), path, per_file=1000)
+    fetched = queue.from_messages(queue.read_jobs_stream(t.spark, path, fetch_limit=limit, per_file=1000), rows.schema)
+
+    def run(fails: bool) -> None:
+        def each(batch, epoch):
+            batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+            if fails:
+                raise RuntimeError("the worker is lost")
+
+        stream = fetched.writeStream.foreachBatch(each).option("checkpointLocation", sink + "-checkpoint")
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+    with suppress(StreamingQueryException):
+        run(fails=True)
+    run(fails=False)
+    got = t.spark.read.parquet(sink)
+    sizes = got.groupBy("epoch").agg((F.count(F.lit(1)) <= limit).alias("within"))
+    return got.join(sizes, "epoch").select("key", "o_orderkey", "o_orderstatus", "within")
+
+
 @query(
     "s11_fan_out",
     "SELECT 'archive' AS sink, event_id, event_type FROM events UNION ALL SELECT 'errors', event_id, event_type FROM events WHERE event_type = 'error'",
@@ -83,25 +114,60 @@ class _Stream:
         self.events = events
 
 
-SNAPSHOTS = """(SELECT user_id AS run_id, event_id AS poll, event_type AS status, CAST(props->>'$.k' AS INT) AS k, event_type = 'purchase' AND CAST(props->>'$.k' AS INT) > 80 AS done FROM events)"""
+TOLD = "TIMESTAMP '2024-01-16'"
+
+
+@query(
+    "x4_queue_feedback_stream",
+    intake_sql(
+        OUTCOMES, refused="event_id % 5 = 0", told=f"l.r AND l.t < o.known AND o.ts >= {TOLD}",
+        more=f", (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE ts < {TOLD}) AS known",
+    ),
+)
+def x4_stream(t):
+    """Requests in two halves; the queue refuses every fifth, and what it refused of the first half is known when the
+    second begins."""
+    requests, folder = with_instants(job_requests(t)), new_folder(t.spark, "feedback")
+    told = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    rules, asked = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US), f"{folder}/requests"
+    last = requests.agg(F.max("ts")).first()[0]
+    closing = requests.limit(1).withColumn("ts", F.lit(last).cast("timestamp") + F.make_dt_interval(days=F.lit(366)))
+    refused = lambda messages, epoch: messages.filter(F.col("request_id").cast("long") % 5 == 0)
+    for half in (requests.filter(F.col("ts") < told), requests.filter(F.col("ts") >= told), closing):
+        half.write.mode("append").parquet(asked)
+        stream = folder_stream(t.spark, asked, requests.schema)
+        intake_s.intake_with_queue(stream, rules, intake.TtlLocks(3 * DAY_US), refused, folder, told).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/labelled").drop("epoch")
+
+
+SNAPSHOTS = """(SELECT user_id AS run_id, event_id AS poll, event_type, CAST(props->>'$.k' AS INT) AS k, event_type = 'purchase' AND CAST(props->>'$.k' AS INT) > 80 AS done FROM events)"""
 
 
 @query(
     "t3_change_stream",
-    f"""WITH s AS (SELECT *, lag(status) OVER w AS before, sum(done::INT) OVER (PARTITION BY run_id ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM {SNAPSHOTS} WINDOW w AS (PARTITION BY run_id ORDER BY poll)),
-      l AS (SELECT *, CASE WHEN NOT done THEN 'syncing' WHEN k % 2 = 1 THEN 'ready' ELSE 'failed' END AS phase FROM s WHERE coalesce(ended, 0) = 0)
-    SELECT run_id, poll, 'log' AS kind, CASE WHEN before IS NULL THEN 'Job started: build (' || status || ')' ELSE 'Job build: ' || status END AS line, 'info' AS level, NULL AS phase FROM l WHERE before IS DISTINCT FROM status
+    f"""WITH s AS (SELECT *, lag(poll) OVER w AS prior, sum(done::INT) OVER (PARTITION BY run_id ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM {SNAPSHOTS} WINDOW w AS (PARTITION BY run_id ORDER BY poll)),
+      l AS (SELECT *, CASE WHEN NOT done THEN 'syncing' WHEN k % 2 = 1 THEN 'ready' ELSE 'failed' END AS phase FROM s WHERE coalesce(ended, 0) = 0),
+      u AS (SELECT *, unnest(range(1, 2 + k % 3)) AS job FROM l),
+      j AS (SELECT run_id, poll, prior, job, ['build', 'test', 'deploy'][job] AS name, CASE WHEN job = 1 THEN event_type WHEN (k + job) % 4 < 2 THEN 'queued' ELSE 'in_progress' END AS status FROM u),
+      b AS (SELECT j.*, o.status AS before FROM j LEFT JOIN j o ON o.run_id = j.run_id AND o.poll = j.prior AND o.job = j.job)
+    SELECT run_id, poll, 'log' AS kind, CASE WHEN before IS NULL THEN 'Job started: ' || name || ' (' || status || ')' ELSE 'Job ' || name || ': ' || status END AS line, 'info' AS level, NULL AS phase FROM b WHERE before IS DISTINCT FROM status
     UNION ALL SELECT run_id, poll, 'status', NULL, NULL, phase FROM l UNION ALL SELECT run_id, poll, 'complete', NULL, NULL, phase FROM l WHERE done""",
 )
 def t3(t):
+    """Polls of runs with one to three jobs, which come and go."""
     k = F.get_json_object("props", "$.k").cast("int")
     done = (F.col("event_type") == "purchase") & (k > 80)
+    job = F.col("job_id")
     snapshots = table_stream(t.spark, t.sf_dir, "events").select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("poll"),
         F.when(done, "completed").otherwise("in_progress").alias("run_status"),
         F.when(done, F.when(k % 2 == 1, "success").otherwise("failure")).alias("run_conclusion"),
-        F.lit(0).alias("listing_pos"), F.lit(1).cast("long").alias("job_id"), F.lit("build").alias("name"),
-        F.col("event_type").alias("status"), F.lit(None).cast("string").alias("conclusion"),
+        "event_type", k.alias("k"), F.posexplode(F.sequence(F.lit(1).cast("long"), 1 + k % 3)).alias("listing_pos", "job_id"),
+    ).select(
+        "run_id", "poll", "run_status", "run_conclusion", "listing_pos", "job_id",
+        F.element_at(F.array(*map(F.lit, ("build", "test", "deploy"))), job.cast("int")).alias("name"),
+        F.when(job == 1, F.col("event_type")).when((F.col("k") + job) % 4 < 2, "queued").otherwise("in_progress").alias("status"),
+        F.lit(None).cast("string").alias("conclusion"),
     )
     return run_to_end(tracking_s.change_stream(snapshots), "t3")
 

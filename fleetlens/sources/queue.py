@@ -26,10 +26,15 @@ def from_messages(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.select("key", F.from_json(F.col("value").cast("string"), schema).alias("m")).select("key", "m.*")
 
 
+MESSAGES_PER_FILE = 10_000
+
+
 def write_jobs(
-    messages: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None, order: list[str] | None = None
+    messages: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None, order: list[str] | None = None,
+    per_file: int = MESSAGES_PER_FILE,
 ) -> None:
-    """Write (key, value). Kafka's own partitioner keeps a tenant on one partition.
+    """Write (key, value). Kafka's own partitioner keeps a tenant on one partition; a folder's files hold at most
+    ``per_file`` messages, so that whole files make up a bounded fetch.
 
     With ``order`` a tenant's messages also arrive in that order, which takes one writer per tenant;
     without it a large tenant is written by many tasks.
@@ -39,31 +44,37 @@ def write_jobs(
     if kafka:
         messages.write.format("kafka").options(**{"kafka.acks": "all", **kafka}).save()
     else:
-        messages.write.mode("append").parquet(path)
+        messages.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
 
 
 def write_jobs_stream(
-    messages: DataFrame, checkpoint: str, path: str | None = None, kafka: dict[str, str] | None = None
+    messages: DataFrame, checkpoint: str, path: str | None = None, kafka: dict[str, str] | None = None,
+    per_file: int = MESSAGES_PER_FILE,
 ) -> StreamingQuery:
     out = messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if kafka:
         return out.format("kafka").options(**{"kafka.acks": "all", **kafka}).start()
-    return out.format("parquet").option("path", path).start()
+    return out.format("parquet").option("path", path).option("maxRecordsPerFile", per_file).start()
 
 
 def read_jobs_stream(
     spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None, files_per_batch: int = 100,
     glob: str | None = None, schema: T.StructType | str = "key string, value string", fetch_limit: int | None = None,
+    per_file: int = MESSAGES_PER_FILE,
 ) -> DataFrame:
     """Messages of the queue as a stream; the checkpoint of the sink tracks offsets.
 
-    One fetch takes at most ``fetch_limit`` messages of Kafka, or ``files_per_batch`` files of a folder. How often one is
-    made is the sink's trigger (``interval`` of ``runs.run_to_end``)."""
+    One fetch takes at most ``fetch_limit`` messages, of a folder in whole files of at most ``per_file``, or without that
+    limit ``files_per_batch`` files. How often one is made is the sink's trigger (``interval`` of ``runs.run_to_end``)."""
     if kafka:
         limit = {"maxOffsetsPerTrigger": str(fetch_limit)} if fetch_limit else {}
         return spark.readStream.format("kafka").options(**kafka, **limit).load().select(
             F.col("key").cast("string"), F.col("value").cast("string")
         )
+    if fetch_limit is not None:
+        if fetch_limit < per_file:
+            raise ValueError(f"a file may hold {per_file} messages, more than one fetch")
+        files_per_batch = fetch_limit // per_file
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

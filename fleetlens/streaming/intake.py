@@ -10,17 +10,17 @@ expiries follow event time, for which Spark's own time-to-live, which follows th
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from fleetlens.operators.intake import IntakeMachine, SlidingThrottle, TtlLocks, prepare
-from fleetlens.streaming.runs import use_rocksdb
+from fleetlens.streaming.runs import folder_stream, use_rocksdb
 
 # fixed values: an idle tenant's windows are forgotten ten seconds and ten minutes after their length
 SHORT_BUFFER_US = 10 * 10**6
@@ -34,16 +34,20 @@ OUTPUT = T.StructType(
         T.StructField("outcome", T.StringType()),
         T.StructField("lock_key", T.StringType()),
         T.StructField("envelope", T.StringType()),
+        T.StructField("us", T.LongType()),
     ]
 )
 
 
-WAITING = ["us", "request_id", "error", "lock_key", "envelope"]
+WAITING = ["us", "request_id", "error", "lock_key", "envelope", "release_us"]
 PIECE = 256  # requests that wait under one key
 
 
 class IntakeProcessor(StatefulProcessor):
-    """Decides a tenant's requests in the order of their instants, whatever order they arrive in within the delay."""
+    """Decides a tenant's requests in the order of their instants, whatever order they arrive in within the delay.
+
+    A row with ``release_us`` is no request: it gives back the lock that the request of that instant took, if it still
+    holds it, before any request of its own instant."""
 
     def __init__(self, throttle: SlidingThrottle, locks: TtlLocks):
         self.machine = IntakeMachine(throttle, locks)
@@ -76,6 +80,8 @@ class IntakeProcessor(StatefulProcessor):
         for part in rows:
             part = part[WAITING].sort_values(["us", "request_id"])
             requests = part.astype(object).where(part.notna(), None).values.tolist()
+            for r in requests:
+                r[5] = None if r[5] is None else int(r[5])
             for at in range(0, len(requests), PIECE):
                 number += 1
                 pieces.append([int(requests[at][0]), number])
@@ -99,7 +105,21 @@ class IntakeProcessor(StatefulProcessor):
                 pieces.remove(piece)
                 self.waiting.removeKey((piece[1],))
         pieces.sort()
-        return sorted(due, key=lambda r: (r[0], r[1]))
+        return sorted(due, key=lambda r: (r[0], r[5] is None, r[1] or ""))
+
+    def _decide(self, state: dict, due: list) -> np.ndarray:
+        """Outcomes of the requests among the due rows, which releases part."""
+        outcomes, start = [], 0
+        for end in [*(i for i, r in enumerate(due) if r[5] is not None), len(due)]:
+            if end > start:
+                us, _, error, lock, _, _ = (np.array(c, dtype=object) for c in zip(*due[start:end]))
+                none = np.zeros(len(us), dtype=bool)
+                chunk = {"_us": us.astype(np.int64), "_error": error, "_lock": lock, "_refused": none}
+                outcomes.append(self.machine.run(state, chunk)[1]["outcome"])
+            if end < len(due) and state["locks"].get(due[end][3]) == due[end][5]:
+                self.machine.locks.release(state["locks"], due[end][3])
+            start = end + 1
+        return np.concatenate(outcomes) if outcomes else np.empty(0, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -108,13 +128,13 @@ class IntakeProcessor(StatefulProcessor):
         saved, last = self.state.get() if self.state.exists() else (None, None)
         state = self.machine.start() if saved is None else self.machine.load(saved)
         if due:
-            us, request, error, lock, envelope = (np.array(c, dtype=object) for c in zip(*due))
-            chunk = {"_us": us.astype(np.int64), "_error": error, "_lock": lock, "_refused": np.zeros(len(due), dtype=bool)}
-            state, made = self.machine.run(state, chunk)
-            outcome, last = made["outcome"], max(int(us[-1]), last or 0)
-            envelope[outcome != "accepted"] = None
-            columns = [request, [key[0]] * len(due), error, outcome, lock, envelope]
-            yield pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns)))
+            outcome, last = self._decide(state, due), max(int(due[-1][0]), last or 0)
+            asked = [r for r in due if r[5] is None]
+            if asked:
+                us, request, error, lock, envelope, _ = (np.array(c, dtype=object) for c in zip(*asked))
+                envelope[outcome != "accepted"] = None
+                columns = [request, [key[0]] * len(asked), error, outcome, lock, envelope, us.astype(np.int64)]
+                yield pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns)))
         ends = [] if last is None else [last + self.short_us, last + self.keep_us]
         if ends and now >= ends[1] and not pieces:
             self.state.clear()
@@ -129,11 +149,64 @@ class IntakeProcessor(StatefulProcessor):
         pass
 
 
-def intake_stream(
-    requests: DataFrame, throttle: SlidingThrottle, locks: TtlLocks | None = None, delay: str = "10 minutes"
+RELEASES = "organization_id string, ts timestamp, lock_key string, release_us string"
+
+
+def _decided(
+    requests: DataFrame, throttle: SlidingThrottle, locks: TtlLocks | None, delay: str, releases: DataFrame | None
 ) -> DataFrame:
     use_rocksdb(requests.sparkSession)
-    rows = prepare(requests).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    rows = prepare(requests).withColumn("release_us", F.lit(None).cast("string"))
+    if releases is not None:
+        rows = rows.unionByName(releases, allowMissingColumns=True)
+    # one watermark behind the union: a second one would hold it back for as long as nothing is released
+    rows = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     return rows.groupBy("organization_id").transformWithStateInPandas(
         IntakeProcessor(throttle, locks or TtlLocks()), OUTPUT, "append", "EventTime"
     )
+
+
+def intake_stream(
+    requests: DataFrame, throttle: SlidingThrottle, locks: TtlLocks | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    return _decided(requests, throttle, locks, delay, None).drop("us")
+
+
+def intake_with_queue(
+    requests: DataFrame, throttle: SlidingThrottle, locks: TtlLocks | None, sink: Callable[[DataFrame, int], DataFrame],
+    folder: str, told_at: Column | None = None, delay: str = "10 minutes",
+) -> StreamingQuery:
+    """Two-phase intake of everything available: label, then hand what is accepted to the queue, batch by batch.
+
+    ``sink`` gets accepted envelopes (request_id, key, value) with the micro-batch's number, and gives back the
+    request_ids that the queue refused. Those are labelled so under ``folder``/labelled, and go to ``folder``/refused,
+    which the stream reads with its next batches: there they release the locks that they hold since their own instants,
+    as of ``told_at`` (default: the time of the refusal). News older than the watermark comes too late. A micro-batch
+    that is tried again replaces its own folders.
+    """
+    spark, told = requests.sparkSession, F.current_timestamp() if told_at is None else told_at
+    releases = folder_stream(spark, f"{folder}/refused/*", RELEASES)
+    decided = _decided(requests, throttle, locks, delay, releases)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        rows = f"{folder}/decided/{epoch}"
+        batch.write.mode("overwrite").parquet(rows)
+        batch = spark.read.schema(batch.schema).parquet(rows)
+        accepted = batch.filter("outcome = 'accepted'")
+        messages = accepted.select("request_id", F.col("organization_id").alias("key"), F.col("envelope").alias("value"))
+        refused = sink(messages, epoch).select("request_id").distinct().withColumn("_refused", F.lit(True))
+        marked = batch.join(refused, "request_id", "left")
+        lost = (F.col("outcome") == "accepted") & F.col("_refused")
+        told_apart = {
+            "outcome": F.when(lost, "refused").otherwise(F.col("outcome")),
+            "envelope": F.when(~F.coalesce(lost, F.lit(False)), F.col("envelope")),
+        }
+        labelled = marked.withColumns(told_apart).drop("us", "_refused")
+        labelled.write.mode("overwrite").parquet(f"{folder}/labelled/epoch={epoch}")
+        accepted.join(refused, "request_id", "left_semi").select(
+            "organization_id", told.alias("ts"), "lock_key", F.col("us").cast("string").alias("release_us")
+        ).write.mode("overwrite").parquet(f"{folder}/refused/{epoch}")
+
+    # the stream reads a folder that must be there, also before the first refusal
+    spark.createDataFrame([], RELEASES).write.mode("ignore").parquet(f"{folder}/refused/none")
+    return decided.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -114,6 +114,16 @@ def test_ranged(df, rows, lo, hi):
     assert {r["id"]: (r["n"] or 0, r["top"], r["low"], r["total"]) for r in got.collect()} == want
 
 
+def test_ranged_inside_a_full_range(df, rows):
+    """Instants by the microsecond: one range's width holds more rows of a key than a task should."""
+    at = F.unix_micros("ts")
+    cols = {"n": Scan("count", F.lit(1)), "top": Scan("max", F.struct("v", "id")), "low": Scan("min", F.col("v")), "total": Scan("sum", F.col("v"))}
+    for lo, hi in ((-3000, 900), (0, 700)):
+        plain = ranged(df, ["key"], at, lo * 10**6, hi * 10**6, cols, 10**12).select("id", *cols)
+        cut = ranged(df, ["key"], at, lo * 10**6, hi * 10**6, cols, 30).select("id", *cols)
+        assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+
+
 def brute_throttle(rows, ls, ll, short, long):
     want = {}
     for group in by_key(rows).values():
@@ -223,3 +233,44 @@ def test_split_scans_read_the_input_once(spark, name):
     """What is split is written once, and the last scan reads it for its rows and for its carries."""
     df = BUILDS[name](Tables(spark, "/root/testdata/sf0.001", rows_per_task=25))
     assert df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pages_lead_where_rows_lead(seed):
+    """A machine's state after pages is the one after the rows, however these are cut and whatever state comes in."""
+    import numpy as np
+
+    from fleetlens.operators.intake import LockMachine, ThrottleMachine, TokenBucketMachine
+
+    rng = np.random.default_rng(seed)
+    steps = rng.choice([0, 1, 3, 40, 500], 1200, p=[0.2, 0.3, 0.3, 0.15, 0.05])
+    times = np.cumsum(steps) + 1000
+    machines = [
+        ThrottleMachine(SlidingThrottle(5, 30, 60, 900)), ThrottleMachine(SlidingThrottle(90, 100, 200, 150)), LockMachine(70),
+        LockMachine(0), TokenBucketMachine(7, 3, 25), TokenBucketMachine(2, 50, 4),
+    ]
+    cuts = [0, *sorted(rng.choice(np.arange(1, 1200), 9, replace=False).tolist()), 1200]
+    for m in machines:
+        by_rows, by_pages = m.start(), m.start()
+        outputs = []
+        for a, b in zip(cuts, cuts[1:]):
+            by_rows, out = m.run(by_rows, {"_us": times[a:b]})
+            outputs.append(out)
+            by_pages = m.carry(m.load(m.dump(by_pages)), m.page({"_us": times[a:b]}))
+            assert m.dump(by_rows) == m.dump(by_pages)
+        whole = m.run(m.start(), {"_us": times})[1]
+        for name, values in whole.items():
+            assert np.concatenate([o[name] for o in outputs]).tolist() == values.tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_admissions_together_equal_one_by_one(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    times = np.cumsum(rng.choice([0, 1, 2, 90], 6000, p=[0.3, 0.4, 0.295, 0.005])).astype(np.int64)
+    for rule in (SlidingThrottle(40, 300, 100, 1500), SlidingThrottle(70, 60, 300, 120), SlidingThrottle(1000, 1000, 200, 4000), SlidingThrottle(0, 5, 50, 60)):
+        one, all_ = rule.start(), rule.start()
+        want = [rule.admit(one, int(t)) for t in times]
+        got = [rule.admit_all(all_, times[a : a + 700]) for a in range(0, len(times), 700)]
+        assert np.concatenate(got).tolist() == want

@@ -5,12 +5,13 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import slo, tracking
-from fleetlens.operators.intake import REQUEST_SCHEMA, SlidingThrottle, TtlLocks, intake
-from fleetlens.streaming.intake import intake_stream
+from fleetlens.operators.intake import REQUEST_SCHEMA, IntakeMachine, SlidingThrottle, TtlLocks, intake
+from fleetlens.streaming.intake import WAITING, IntakeProcessor, intake_stream
 from fleetlens.streaming.metrics import alert_stream, counter_stream
 from fleetlens.streaming.runs import folder_stream, new_folder, run_to_end
 from fleetlens.streaming.tracking import change_stream, correlate_stream, job_state_stream
@@ -138,3 +139,96 @@ def test_job_life_cycle(spark):
     assert [(j, s) for j, _, s in out] == [
         (0, "UNSPECIFIED"), (0, "RUNNING"), (0, "TIMEOUT"), (1, "PENDING"), (1, "RUNNING"), (1, "COMPLETED"), (2, "PENDING"), (2, "RUNNING"), (2, "TIMEOUT"), (3, "PENDING"), (3, "CANCELLED"),
     ]
+
+
+class Store:
+    """The state of one tenant in memory, with a count of the waiting requests that were read."""
+
+    def __init__(self):
+        self.values, self.timers, self.read = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Value(self.values, name)
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValue(self, key):
+        self.read += len(json.loads(self.values[key][0]))
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Value:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def update(self, value):
+        self.values[self.name] = value
+
+    def clear(self):
+        self.values.pop(self.name, None)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_hot_tenant_reads_due_requests_only():
+    """20,000 requests of one tenant in 200 micro-batches, each shuffled, ten minutes of which always wait."""
+    rng = random.Random(2)
+    requests = [(10**6 * 1000 + i * 60_000 + rng.randrange(60_000), f"r{i:05}", None, f"k{rng.randrange(50)}", "e", None) for i in range(20_000)]
+    store, out = Store(), []
+    p = IntakeProcessor(SlidingThrottle(20, 600), TtlLocks())
+    p.init(store)
+    for a in range(0, len(requests), 100):
+        part = rng.sample(requests[a : a + 100], 100)
+        assert list(p.handleInputRows(("o",), iter([pd.DataFrame(part, columns=WAITING)]), None)) == []
+        ms = (max(r[0] for r in part) - 600 * 10**6) // 1000
+        for end in (False, a + 100 == len(requests)):
+            ms = 10**12 if end else ms
+            while due := [t for t in store.timers if t <= ms]:
+                assert len(store.timers) == 1
+                store.timers.remove(due[0])
+                out += [r for frame in p.handleExpiredTimer(("o",), Watermark(ms), None) for r in frame.itertuples(index=False)]
+    machine = IntakeMachine(SlidingThrottle(20, 600), TtlLocks())
+    state = machine.start()
+    want = [(r[1], machine.decide(state, r[0], None, r[3])) for r in sorted(requests)]
+    assert [(r.request_id, r.outcome) for r in out] == want
+    assert {o for _, o in want} == {"accepted", "throttled", "duplicate"}
+    # due requests, and at most two pieces a trigger that the watermark stands in; all that waits would be two million
+    assert store.read <= len(requests) + 200 * 2 * 100
+    assert not store.values and not store.timers
+
+
+def test_a_release_gives_back_the_lock_it_knows(spark):
+    at = lambda s: (T0 + timedelta(seconds=s))
+    us = lambda s: int((at(s) - datetime(1970, 1, 1)).total_seconds()) * 10**6
+    p, store = IntakeProcessor(SlidingThrottle(100, 100), TtlLocks(300 * 10**6)), Store()
+    p.init(store)
+    rows = [(us(0), "a", None, "k", "e", None), (us(10), "b", None, "k", "e", None), (us(20), None, None, "k", None, str(us(0))),
+            (us(20), "c", None, "k", "e", None), (us(30), None, None, "k", None, str(us(0))), (us(40), "d", None, "k", "e", None)]
+    list(p.handleInputRows(("o",), iter([pd.DataFrame(rows, columns=WAITING)]), None))
+    frame = pd.concat(p.handleExpiredTimer(("o",), Watermark(us(100) // 1000), None))
+    assert dict(zip(frame.request_id, frame.outcome)) == {"a": "accepted", "b": "duplicate", "c": "accepted", "d": "duplicate"}

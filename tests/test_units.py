@@ -189,6 +189,26 @@ def test_alert_gap_resolves(spark):
     assert slo.alert_count(states, ["s"]).collect()[0]["alerts"] == 1
 
 
+def test_many_newest_rows_of_a_hot_key(spark):
+    from fleetlens.operators import tracking
+
+    df = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 'hot' ELSE 'cold' END AS k", "id * 7919 % 5003 AS t")
+    rows = [tuple(r) for r in df.collect()]
+    for n in (3, 1500):
+        want = sorted(r for k in ("hot", "cold") for r in sorted((x for x in rows if x[0] == k), key=lambda x: -x[1])[:n])
+        assert sorted(tuple(r) for r in tracking.last_n(df, ["k"], ["t"], n).collect()) == want
+
+
+def test_two_changes_of_a_key_need_an_order(spark):
+    from pyspark.errors import SparkRuntimeException
+
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    once = spark.createDataFrame([(1, "x"), (3, "z")], "k long, v string")
+    assert {tuple(r) for r in relations.upsert(base, once, "k").collect()} == {(1, "x"), (2, "b"), (3, "z")}
+    with pytest.raises(SparkRuntimeException, match="need an order: 1"):
+        relations.upsert(base, once.union(once.limit(1)), "k").collect()
+
+
 def test_a_silent_year_is_one_row(spark):
     year = 365 * 86400
     ticks = [("s", 0, True), ("s", 1, True), ("s", 2, True), ("s", year, False), ("s", 2 * year, True), ("t", 5, False), ("t", 9, False), ("u", 7, True)]
@@ -352,6 +372,29 @@ def test_a_long_chain_of_clashes_takes_few_jobs(spark):
     assert accepted == list(range(0, n, 2)) and jobs <= 20
 
 
+@pytest.mark.parametrize("limit", [10**9, 15])
+def test_permissions_of_a_role_that_most_subjects_have(spark, limit):
+    import random
+
+    rng = random.Random(8)
+    roles = [("view", [(["", "apps"], ["pods", "jobs"], ["get", "list"])]), ("admin", [(["*"], ["*"], ["*"])]), ("odd", [(["apps"], ["jobs"], ["*"]), ([""], ["pods"], ["watch"])])]
+    bindings = [(f"s{i % 90}", rng.choice("xy"), rng.choice(["view"] * 8 + ["admin", "odd", None, "none"])) for i in range(150)]
+    asked = [(f"s{rng.randrange(95)}", rng.choice("xy"), rng.choice(["", "apps"]), rng.choice(["pods", "jobs"]), rng.choice(["get", "watch"])) for _ in range(300)]
+    rules = dict(roles)
+    held = lambda have, want: "*" in have or want in have
+    want = {
+        q: any((q[0], q[1], r) in set(bindings) and any(held(g, q[2]) and held(o, q[3]) and held(v, q[4]) for g, o, v in rules.get(r, [])) for r in rules)
+        for q in asked
+    }
+    roles = spark.createDataFrame(roles, "role string, rules array<struct<api_groups array<string>, resources array<string>, verbs array<string>>>")
+    bound = spark.createDataFrame(bindings, "subject string, namespace string, role string")
+    questions = spark.createDataFrame(asked, "subject string, namespace string, api_group string, resource string, verb string")
+    got = cluster.can_i(questions, bound, roles, limit)
+    assert {tuple(r)[:5]: r["allowed"] for r in got.collect()} == want and got.count() == len(want)
+    grants = {(s, n, g, o, v) for s, n, r in bindings for gs, os, vs in rules.get(r, []) for g in gs for o in os for v in vs}
+    assert sorted(tuple(r) for r in cluster.effective_permissions(bound, roles, limit).collect()) == sorted(grants)
+
+
 def test_policies_only_add(spark):
     schema = "n int, ns string, direction string, pod_labels map<string,string>, peer_ns map<string,string>, peer_pod map<string,string>, peer_ns_name string, protocol string, port int"
     flows = [
