@@ -24,7 +24,8 @@ from fleetlens.llm.common import PIECES_PER_SHARD, expanding, stored
 
 SEQUENCE = 2048
 END_ID = 0
-WORDS_KEPT = 400_000  # of a task's word cache, which is emptied when full
+WORDS_KEPT = 250_000  # of a task's word cache, which is emptied when full
+PIECES_KEPT = 150_000
 TEXTS_AT_ONCE = 256
 
 
@@ -53,14 +54,18 @@ class WordIds:
         self.model = self.tokenizer.model
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}  # of words: they repeat where words differ by case or signs
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
+        ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        self.pieces[piece] = ids
+        return ids
 
     def _plain(self, word: str) -> bytes:
-        ids = array("I")
-        for piece in self.pattern.findall(word.lower()):
-            if not piece.isascii():
-                piece = self.byte_level.pre_tokenize_str(piece)[0][0]
-            ids.extend([t.id for t in self.model.tokenize(piece)])
-        return ids.tobytes()
+        get = self.pieces.get
+        found = [get(p) or self._piece(p) for p in self.pattern.findall(word.lower())]
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def _learn(self, words: list[str]) -> None:
         rest = []
@@ -77,6 +82,8 @@ class WordIds:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known = {"": b""}
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces = {}
         new = set().union(*split).difference(self.known)
         self._learn(list(new))
         get = self.known.__getitem__
