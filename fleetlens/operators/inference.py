@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,23 +37,26 @@ def predict(
 ) -> DataFrame:
     """Run a model over ``prompt``: the factory once per task, then calls of ``batch_rows`` prompts.
 
-    Null prompts are passed over. ``concurrency`` sets the number of tasks, and so of model instances.
+    Null prompts are passed over. ``concurrency`` sets the number of tasks, and so of model instances. Rows stay in
+    Arrow, so that a task holds Python objects for one call's prompts only.
     """
     rows = df.repartition(concurrency, *(spread or df.columns)) if concurrency else df
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_call = None
-        for pdf in batches:
-            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            given = pdf.index[pdf[prompt].notna()]
+        for batch in batches:
+            prompts, out = batch.column(prompt), [None] * batch.num_rows
+            given = np.flatnonzero(prompts.is_valid().to_numpy(zero_copy_only=False)).tolist()
             for a in range(0, len(given), batch_rows):
                 model_call = model_call or factory()
                 part = given[a : a + batch_rows]
-                out.loc[part] = model_call(pdf.loc[part, prompt].tolist())
-            yield pdf.assign(generated_text=out)
+                for i, text in zip(part, model_call(prompts.take(pa.array(part)).to_pylist()), strict=True):
+                    out[i] = text
+            columns = [*batch.columns, pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "generated_text"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("generated_text", T.StringType())])
-    return rows.mapInPandas(run, schema).withColumns({"model": F.lit(model), "timestamp": as_of})
+    return rows.mapInArrow(run, schema).withColumns({"model": F.lit(model), "timestamp": as_of})
 
 
 def triage(

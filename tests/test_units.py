@@ -1,6 +1,7 @@
 """Literal fixtures and edge cases."""
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from fleetlens.operators import cluster, metrics, relations, rows, slo, tracking
 from fleetlens.operators.inference import predict
 from fleetlens.plans.joins_q import tenant_policies
 from fleetlens.sources import files, queue
+from fleetlens.streaming.runs import run_to_end
 
 T0 = datetime(2024, 1, 1)
 
@@ -525,3 +527,15 @@ def test_empty_inputs(spark):
     from fleetlens.operators.intake import throttle
 
     assert throttle(empty, ["k"], "ts", "id", 1, 1).count() == 0
+
+
+def test_a_models_task_keeps_rows_in_arrow(spark):
+    """Only one call's prompts become Python objects, and the other columns pass unchanged."""
+    calls = lambda: lambda prompts: [f"{len(prompts)} {max(map(len, prompts))}" for prompts in [prompts] for _ in prompts]
+    df = spark.createDataFrame([(i, "x" * (i % 90 + 1) if i % 9 else None, [i]) for i in range(100)], "id long, item string, more array<long>").coalesce(1)
+    out = predict(df, "item", calls, "m", F.lit("2024-01-01"))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 100 and all(r["more"] == [i] for i, r in got.items())
+    assert {r["generated_text"].split()[0] for r in got.values() if r["item"]} == {"32", "24"}
+    assert all(r["generated_text"] is None for r in got.values() if r["item"] is None)
