@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlens.operators.components import components
-from fleetlens.operators.segments import ROWS_PER_TASK, Scan, running
+from fleetlens.operators.segments import ROWS_PER_TASK, Scan, bounded_broadcast, large_keys, running
 from fleetlens.session import written
 
 PAGE_ROWS = 1000
@@ -58,21 +58,54 @@ def nest2(
     return nest(top, inner, top_key, middle_top, as_[0], [middle_key, "part"], [*middle_fields, "part", as_[1]], page_rows)
 
 
-def enforce_fk(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> tuple[DataFrame, DataFrame]:
+KEY_ROWS = 500_000  # rows that one task sorts to look their keys up
+
+
+def _dealt(rows: DataFrame, keys: DataFrame, key: str, rows_per_task: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and ``keys`` (of column ``_key``) dealt by key over tasks of about ``rows_per_task`` rows, and the columns
+    that they meet on. The session's number of partitions would let one task's sort grow with the table.
+
+    Skewed partitions of a given number are not split by Spark, so a key of more rows is cut into pieces by a hash of
+    the row, each of which meets its own copy of the key. Null meets nothing and needs no copies."""
+    rows = rows.withColumn("_key", F.col(key))
+    n = -(-rows.count() // rows_per_task)
+    if n <= 1 or keys.schema["_key"].dataType != rows.schema[key].dataType:
+        return rows, keys, ["_key"]
+    large, _ = large_keys(rows.select("_key"), ["_key"], rows_per_task)
+    if not large:
+        return rows.repartition(n, "_key"), keys.repartition(n, "_key"), ["_key"]
+    schema = T.StructType([rows.schema["_key"], T.StructField("_cuts", T.LongType())])
+    known = [(r["_key"], -(-r["_n"] // rows_per_task)) for r in large if r["_key"] is not None]
+    cuts, many = bounded_broadcast(rows.sparkSession.createDataFrame(known, schema), len(known)), F.coalesce("_cuts", F.lit(1))
+    spread = F.xxhash64(*[c for c, kind in rows.dtypes if not any(k in kind for k in ("map<", "variant"))])
+    pieces = F.when(F.col("_key").isNull(), F.lit(n)).otherwise(many)
+    rows = rows.join(cuts, "_key", "left").withColumn("_piece", F.pmod(spread, pieces)).drop("_cuts")
+    keys = keys.join(cuts, "_key", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("_cuts")
+    on = ["_key", "_piece"]
+    return rows.repartition(n, *on), keys.repartition(n, *on), on
+
+
+def _looked_up(rows: DataFrame, keys: DataFrame, key: str, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is among ``keys`` (of column ``_key``), and the others."""
+    dealt, keys, on = _dealt(rows, keys, key, rows_per_task)
+    # an outer join, as Spark would move a semi or anti join before the dealing
+    met = dealt.join(keys.distinct().withColumn("_met", F.lit(True)), on, "left")
+    return met.filter("_met").select(*rows.columns), met.filter("_met IS NULL").select(*rows.columns)
+
+
+def enforce_fk(
+    child: DataFrame, parent: DataFrame, fk: str, pk: str, rows_per_task: int = KEY_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """Children whose parent exists, and orphans."""
-    on = child[fk] == parent[pk]
-    return child.join(parent, on, "left_semi"), child.join(parent, on, "left_anti")
+    return _looked_up(child, parent.select(F.col(pk).alias("_key")), fk, rows_per_task)
 
 
 def delete_cascade(
-    parent: DataFrame, child: DataFrame, keys: DataFrame, pk: str, fk: str
+    parent: DataFrame, child: DataFrame, keys: DataFrame, pk: str, fk: str, rows_per_task: int = KEY_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables without the parents in ``keys`` (column pk) and their children."""
-    gone = keys.select(F.col(pk).alias("_gone"))
-    return (
-        parent.join(gone, parent[pk] == gone["_gone"], "left_anti"),
-        child.join(gone, child[fk] == gone["_gone"], "left_anti"),
-    )
+    gone = keys.select(F.col(pk).alias("_key"))
+    return _looked_up(parent, gone, pk, rows_per_task)[1], _looked_up(child, gone, fk, rows_per_task)[1]
 
 
 def _least(rows: DataFrame, value: str, place: Column, named: str) -> DataFrame:

@@ -539,3 +539,24 @@ def test_a_models_task_keeps_rows_in_arrow(spark):
     assert len(got) == 100 and all(r["more"] == [i] for i, r in got.items())
     assert {r["generated_text"].split()[0] for r in got.values() if r["item"]} == {"32", "24"}
     assert all(r["generated_text"] is None for r in got.values() if r["item"] is None)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_keys_are_looked_up_in_tasks_of_bounded_rows(spark, hot):
+    """As many tasks as the rows need, also where one key, or null, holds most of the rows."""
+    key = F.col("id") % 500
+    if hot:
+        key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(key)
+    child = spark.range(6000).select(key.cast("long").alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    parent = spark.range(0, 500, 2).unionAll(spark.range(7, 8)).unionAll(spark.range(7, 8)).withColumnRenamed("id", "pk")
+    known = {*range(0, 500, 2), 7}
+    ok, orphan = relations.enforce_fk(child, parent, "k", "pk", rows_per_task=200)
+    rows = [(r["k"], r["id"]) for r in child.collect()]
+    got = [sorted(r["id"] for r in df.collect()) for df in (ok, orphan)]
+    assert got == [sorted(i for k, i in rows if (k in known) == met) for met in (True, False)]
+    assert orphan.columns == child.columns
+    sizes = orphan.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert orphan.rdd.getNumPartitions() == 30 and sizes < 600
+    parents, left = relations.delete_cascade(parent, child, parent.filter("pk < 100"), "pk", "k", rows_per_task=200)
+    assert parents.count() == 200
+    assert sorted(r["id"] for r in left.collect()) == sorted(i for k, i in rows if k is None or k not in {p for p in known if p < 100})
