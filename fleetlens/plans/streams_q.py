@@ -1,6 +1,6 @@
 """Streams run to their end over the given tables, and batched prediction."""
 
-from contextlib import suppress
+from contextlib import nullcontext, suppress
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -40,27 +40,34 @@ def s2(t):
     "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey, o_orderstatus, TRUE AS within FROM orders",
 )
 def s2_bounded(t):
-    """Fetches of at most 4,000 messages; the first one fails after its work is done, and the query is started again."""
+    """Fetches of at most 4,000 messages by one consumer for each core; the first one of each fails after its work is
+    done, and its query is started again."""
     path, sink, limit = new_folder(t.spark, "queue"), new_folder(t.spark, "fetched"), 4000
+    consumers = t.spark.sparkContext.defaultParallelism
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
-    queue.write_jobs(queue.to_messages(rows, "o_custkey"), path, per_file=1000)
-    fetched = queue.from_messages(queue.read_jobs_stream(t.spark, path, fetch_limit=limit, per_file=1000), rows.schema)
+    queue.write_jobs(queue.to_messages(rows, "o_custkey"), path, per_file=1000, partitions=consumers)
 
-    def run(fails: bool) -> None:
+    def started(consumer: int, fails: bool):
         def each(batch, epoch):
-            batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+            # a fetch is few rows, so one task's work
+            batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/consumer={consumer}/epoch={epoch}")
             if fails:
                 raise RuntimeError("the worker is lost")
 
-        stream = fetched.writeStream.foreachBatch(each).option("checkpointLocation", sink + "-checkpoint")
-        stream.trigger(availableNow=True).start().awaitTermination()
-
-    with suppress(StreamingQueryException):
-        run(fails=True)
-    run(fails=False)
+        asked = queue.read_jobs_stream(t.spark, queue.partition_path(path, consumer), fetch_limit=limit, per_file=1000)
+        stream = queue.from_messages(asked, rows.schema).writeStream.foreachBatch(each)
+        return stream.option("checkpointLocation", f"{sink}-checkpoint/{consumer}").trigger(availableNow=True).start()
+
+    for fails in (True, False):
+        for query_ in [started(consumer, fails) for consumer in range(consumers)]:
+            with suppress(StreamingQueryException) if fails else nullcontext():
+                query_.awaitTermination()
+    # the folder must be there, also when nothing was fetched
+    empty = rows.limit(0).select(F.lit("").alias("key"), "*")
+    empty.write.parquet(f"{sink}/consumer=0/epoch=-1")
     got = t.spark.read.parquet(sink)
-    sizes = got.groupBy("epoch").agg((F.count(F.lit(1)) <= limit).alias("within"))
-    return got.join(sizes, "epoch").select("key", "o_orderkey", "o_orderstatus", "within")
+    sizes = got.groupBy("consumer", "epoch").agg((F.count(F.lit(1)) <= limit).alias("within"))
+    return got.join(sizes, ["consumer", "epoch"]).select("key", "o_orderkey", "o_orderstatus", "within")
 
 
 @query(
@@ -106,6 +113,7 @@ def t2(t):
     rules = intake.SlidingThrottle(2, 2, HOUR_US, DAY_US)
     held = state_at_end(intake_s.intake_stream(requests, rules, intake.TtlLocks(3 * DAY_US)), "t2", "intake")
     window = lambda i: F.size(F.from_json(F.get_json_object("value.saved", f"$[0][{i}]"), "array<bigint>")).cast("long")
+    held = held.filter("value.saved IS NOT NULL")  # others only wait
     return held.select("key.organization_id", window(0).alias("short_held"), window(1).alias("long_held"))
 
 

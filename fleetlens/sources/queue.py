@@ -31,20 +31,31 @@ MESSAGES_PER_FILE = 10_000
 
 def write_jobs(
     messages: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None, order: list[str] | None = None,
-    per_file: int = MESSAGES_PER_FILE,
+    per_file: int = MESSAGES_PER_FILE, partitions: int | None = None,
 ) -> None:
     """Write (key, value). Kafka's own partitioner keeps a tenant on one partition; a folder's files hold at most
     ``per_file`` messages, so that whole files make up a bounded fetch.
 
     With ``order`` a tenant's messages also arrive in that order, which takes one writer per tenant;
-    without it a large tenant is written by many tasks.
+    without it a large tenant is written by many tasks. ``partitions`` deals a folder's messages into as many folders
+    (``partition_path``), for one consumer each; with ``order`` a tenant's messages stay in one of them.
     """
+    dealt_by = ["key"] if order else ["key", "value"]
     if order:
         messages = messages.repartition("key").sortWithinPartitions("key", *order).drop(*order)
     if kafka:
         messages.write.format("kafka").options(**{"kafka.acks": "all", **kafka}).save()
     else:
-        messages.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+        writer = messages.write
+        if partitions:
+            dealt = F.pmod(F.xxhash64(*dealt_by), F.lit(partitions))
+            writer = messages.withColumn("partition", dealt).write.partitionBy("partition")
+        writer.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+
+
+def partition_path(path: str, partition: int) -> str:
+    """One partition's folder, as a pattern, so that a stream may read it before its first message."""
+    return f"{path}/partition={{{partition}}}"
 
 
 def write_jobs_stream(

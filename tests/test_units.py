@@ -560,3 +560,16 @@ def test_keys_are_looked_up_in_tasks_of_bounded_rows(spark, hot):
     parents, left = relations.delete_cascade(parent, child, parent.filter("pk < 100"), "pk", "k", rows_per_task=200)
     assert parents.count() == 200
     assert sorted(r["id"] for r in left.collect()) == sorted(i for k, i in rows if k is None or k not in {p for p in known if p < 100})
+
+
+def test_queue_partitions_share_out_the_messages(spark, tmp_path):
+    path = str(tmp_path / "q")
+    rows = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("value"))
+    queue.write_jobs(rows, path, per_file=100, partitions=3)
+    read = [spark.read.schema("key string, value string").parquet(queue.partition_path(path, p)) for p in range(3)]
+    sizes = [df.count() for df in read]
+    assert sum(sizes) == 1000 and min(sizes) > 200
+    assert reduce(lambda a, b: a.unionByName(b), read).distinct().count() == 1000
+    # a partition without messages is an empty stream
+    none = queue.read_jobs_stream(spark, queue.partition_path(path, 99), fetch_limit=200, per_file=100)
+    assert run_to_end(none, "none").count() == 0
