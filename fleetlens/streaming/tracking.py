@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +27,14 @@ CHANGES = T.StructType(
 )
 
 
+LISTING = ["poll", "listing_pos", "job_id", "name", "status", "conclusion", "run_status", "run_conclusion"]
+
+
+def _values(column: pd.Series) -> list:
+    """The column's values, with None for what is missing."""
+    return [None if v is None or v != v else v for v in column.tolist()]
+
+
 class ChangeProcessor(StatefulProcessor):
     """Per run: each job's state in the last poll; silent after the run has ended, when only that is remembered.
 
@@ -39,19 +48,20 @@ class ChangeProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.ended.exists():
             return
-        batch = pd.concat(list(rows)).sort_values(["poll", "listing_pos"], kind="stable")
-        batch = batch.astype(object).where(batch.notna(), None)
+        # plain values: most runs have few rows in a batch, for which a frame's operations cost more than the work
+        listings = [r for part in rows for r in zip(*(_values(part[c]) for c in LISTING)) if r[0] is not None]
+        listings.sort(key=lambda r: (r[0], r[1] is None, 0 if r[1] is None else r[1]))
         seen = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
         before, out = dict(seen), []
-        for poll, group in batch.groupby("poll", sort=True):
-            listed = {}
-            for r in group.itertuples():
-                now = (r.status, r.conclusion)
-                if seen.get(r.job_id) != now:
-                    out.append((key[0], poll, "log", r.name, r.status, r.conclusion, r.job_id not in seen))
-                listed[r.job_id] = now
+        for poll, group in groupby(listings, key=lambda r: r[0]):
+            listed, group = {}, list(group)
+            for _, _, job, name, job_status, job_conclusion, _, _ in group:
+                now = (job_status, job_conclusion)
+                if seen.get(job) != now:
+                    out.append((key[0], poll, "log", name, job_status, job_conclusion, job not in seen))
+                listed[job] = now
             seen = listed
-            status, conclusion = group["run_status"].iloc[0], group["run_conclusion"].iloc[0]
+            status, conclusion = group[0][-2:]
             out.append((key[0], poll, "status", None, status, conclusion, None))
             if status == "completed":
                 out.append((key[0], poll, "complete", None, status, conclusion, None))

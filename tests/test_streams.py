@@ -14,7 +14,7 @@ from fleetlens.operators.intake import REQUEST_SCHEMA, IntakeMachine, SlidingThr
 from fleetlens.streaming.intake import WAITING, IntakeProcessor, intake_stream
 from fleetlens.streaming.metrics import alert_stream, counter_stream
 from fleetlens.streaming.runs import folder_stream, new_folder, run_to_end
-from fleetlens.streaming.tracking import change_stream, correlate_stream, job_state_stream
+from fleetlens.streaming.tracking import ChangeProcessor, change_stream, correlate_stream, job_state_stream
 
 T0 = datetime(2024, 1, 1)
 
@@ -232,3 +232,19 @@ def test_a_release_gives_back_the_lock_it_knows(spark):
     list(p.handleInputRows(("o",), iter([pd.DataFrame(rows, columns=WAITING)]), None))
     frame = pd.concat(p.handleExpiredTimer(("o",), Watermark(us(100) // 1000), None))
     assert dict(zip(frame.request_id, frame.outcome)) == {"a": "accepted", "b": "duplicate", "c": "accepted", "d": "duplicate"}
+
+
+def test_many_polls_of_a_run_are_plain_work():
+    """20,000 polls of a job; a frame for each of them would take most of a minute."""
+    p, store = ChangeProcessor(), Store()
+    p.init(store)
+    store.iterator = lambda: iter(())
+    polls = pd.DataFrame({
+        "poll": range(20_000), "listing_pos": 0, "job_id": 1, "name": "build", "status": ["queued", "in_progress"] * 10_000,
+        "conclusion": None, "run_status": "in_progress", "run_conclusion": None,
+    })
+    start = time.process_time()
+    out = pd.concat(p.handleInputRows((1,), iter([polls.sample(frac=1, random_state=1)]), None))
+    assert time.process_time() - start < 2
+    assert list(out.poll) == [i for i in range(20_000) for _ in "ab"] and set(out.kind) == {"log", "status"}
+    assert store.values == {(1,): ("in_progress", None)}
