@@ -1,8 +1,8 @@
 """Streaming intake: the batch machine with its state in the state store.
 
-Requests wait, within the watermark's delay, until none can come before them. They wait in pieces of bounded size under
-keys of a map, so that a trigger reads the pieces that hold due requests and no others. A tenant has one timer, at its
-next due request or expiry. State per tenant is bounded by the limits (admitted instants of the long window, live locks)
+Requests wait, within the watermark's delay, until none can come before them. A few wait beside the tenant's state, which
+is then read and written once a trigger. More wait in pieces of bounded size under keys of a map, so that a trigger reads
+the pieces that hold due requests and no others. A tenant has one timer, at its next due request or expiry. State per tenant is bounded by the limits (admitted instants of the long window, live locks)
 and by what waits. A silent tenant's short window is forgotten first and all of its state after the long window. These
 expiries follow event time, for which Spark's own time-to-live, which follows the clock, cannot be set.
 """
@@ -40,7 +40,7 @@ OUTPUT = T.StructType(
 
 
 WAITING = ["us", "request_id", "error", "lock_key", "envelope", "release_us"]
-PIECE = 256  # requests that wait under one key
+PIECE = 256  # requests that wait under one key, or beside the state
 
 
 class IntakeProcessor(StatefulProcessor):
@@ -56,44 +56,51 @@ class IntakeProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("intake", "saved string, last bigint")
-        # first instant and key of every waiting piece, and the timer that is set
-        self.plan = handle.getValueState("plan", "pieces string, timer bigint")
+        # the machine's state (null before the first decision) and last instant, the few requests that wait here, first
+        # instant and key of every waiting piece, and the timer that is set: one value, as every access is a round trip
+        self.state = handle.getValueState("intake", "saved string, last bigint, few string, pieces string, timer bigint")
         self.waiting = handle.getMapState("waiting", "piece bigint", "requests string")
 
-    def _wake(self, pieces: list, timer: int | None, at: int | None) -> None:
-        """Keep the plan, with the timer moved to ``at`` (null: none)."""
+    def _keep(self, saved: str | None, last: int | None, few: list, pieces: list, timer: int | None, at: int | None) -> None:
+        """Keep the state, with the timer moved to ``at`` (null: none)."""
         if timer != at:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if at is not None:
                 self.handle.registerTimer(at)
-        if pieces or at is not None:
-            self.plan.update((json.dumps(pieces), at))
+        if saved is not None or at is not None:
+            self.state.update((saved, last, json.dumps(few), json.dumps(pieces), at))
         else:
-            self.plan.clear()
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved, timer = self.plan.get() if self.plan.exists() else ("[]", None)
-        pieces = json.loads(saved)
+        saved, last, few, pieces, timer = self.state.get() if self.state.exists() else (None, None, "[]", "[]", None)
+        few, pieces = json.loads(few), json.loads(pieces)
         number = max((n for _, n in pieces), default=0)
         for part in rows:
-            part = part[WAITING].sort_values(["us", "request_id"])
-            requests = part.astype(object).where(part.notna(), None).values.tolist()
+            # plain values: most tenants have few rows in a batch, for which a frame's operations cost more than the work
+            columns = ([None if v is None or v != v else v for v in part[c].tolist()] for c in WAITING)
+            requests = [list(r) for r in zip(*columns)]
+            requests.sort(key=lambda r: (r[0], r[1] is None, r[1] or ""))
             for r in requests:
                 r[5] = None if r[5] is None else int(r[5])
+            if len(few) + len(requests) <= PIECE:
+                few += requests
+                continue
             for at in range(0, len(requests), PIECE):
                 number += 1
                 pieces.append([int(requests[at][0]), number])
                 self.waiting.updateValue((number,), (json.dumps(requests[at : at + PIECE]),))
         pieces.sort()
-        due = pieces[0][0] // 1000 + 1
-        self._wake(pieces, timer, due if timer is None else min(due, timer))
+        due = min([r[0] for r in few] + [p[0] for p in pieces[:1]]) // 1000 + 1
+        self._keep(saved, last, few, pieces, timer, due if timer is None else min(due, timer))
         return iter(())
 
-    def _take(self, pieces: list, now: int) -> list:
-        """Requests before ``now`` in order, out of the pieces that begin before it; ``pieces`` is brought up to date."""
-        due, begun = [], [p for p in pieces if p[0] < now]
+    def _take(self, few: list, pieces: list, now: int) -> list:
+        """Requests before ``now`` in order, out of the few and the pieces that begin before it; both are brought up to
+        date."""
+        due, begun = [r for r in few if r[0] < now], [p for p in pieces if p[0] < now]
+        few[:] = [r for r in few if r[0] >= now]
         for piece in begun:
             requests = json.loads(self.waiting.getValue((piece[1],))[0])
             rest = [r for r in requests if r[0] >= now]
@@ -123,9 +130,9 @@ class IntakeProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        pieces = json.loads(self.plan.get()[0]) if self.plan.exists() else []
-        due = self._take(pieces, now)
-        saved, last = self.state.get() if self.state.exists() else (None, None)
+        saved, last, few, pieces, _ = self.state.get()
+        few, pieces = json.loads(few), json.loads(pieces)
+        due = self._take(few, pieces, now)
         state = self.machine.start() if saved is None else self.machine.load(saved)
         if due:
             outcome, last = self._decide(state, due), max(int(due[-1][0]), last or 0)
@@ -136,14 +143,14 @@ class IntakeProcessor(StatefulProcessor):
                 columns = [request, [key[0]] * len(asked), error, outcome, lock, envelope, us.astype(np.int64)]
                 yield pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns)))
         ends = [] if last is None else [last + self.short_us, last + self.keep_us]
-        if ends and now >= ends[1] and not pieces:
-            self.state.clear()
+        if ends and now >= ends[1] and not pieces and not few:
+            saved = last = None
         elif ends:
             if now >= ends[0]:
                 state["throttle"]["short"].clear()
-            self.state.update((self.machine.dump(state), last))
-        to_come = [p[0] for p in pieces[:1]] + [e for e in ends if e > now]
-        self._wake(pieces, None, min(to_come) // 1000 + 1 if to_come else None)
+            saved = self.machine.dump(state)
+        to_come = [r[0] for r in few] + [p[0] for p in pieces[:1]] + [e for e in ends if e > now]
+        self._keep(saved, last, few, pieces, None, min(to_come) // 1000 + 1 if to_come else None)
 
     def close(self) -> None:
         pass
@@ -160,7 +167,7 @@ def _decided(
     if releases is not None:
         rows = rows.unionByName(releases, allowMissingColumns=True)
     # one watermark behind the union: a second one would hold it back for as long as nothing is released
-    rows = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    rows = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).select("organization_id", "ts", *WAITING)
     return rows.groupBy("organization_id").transformWithStateInPandas(
         IntakeProcessor(throttle, locks or TtlLocks()), OUTPUT, "append", "EventTime"
     )

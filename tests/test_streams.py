@@ -248,3 +248,30 @@ def test_many_polls_of_a_run_are_plain_work():
     assert time.process_time() - start < 2
     assert list(out.poll) == [i for i in range(20_000) for _ in "ab"] and set(out.kind) == {"log", "status"}
     assert store.values == {(1,): ("in_progress", None)}
+
+
+class CountedValue(Value):
+    def __init__(self, values, name, counts):
+        super().__init__(values, name)
+        self.counts = counts
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "clear"):
+            self.counts.append(name)
+        return super().__getattribute__(name)
+
+
+def test_a_small_tenant_takes_few_accesses():
+    """Every access of state is a round trip: three and a timer for new requests, two and a timer for due ones."""
+    store, counts = Store(), []
+    store.getValueState = lambda name, schema: CountedValue(store.values, name, counts)
+    p = IntakeProcessor(SlidingThrottle(100, 100), TtlLocks())
+    p.init(store)
+    rows = [(10**12 + i, f"r{i}", None, f"k{i}", "e", None) for i in range(50)]
+    for part in (rows[30:], rows[:30]):
+        list(p.handleInputRows(("o",), iter([pd.DataFrame(part, columns=WAITING)]), None))
+    assert len(counts) == 2 + 3 and list(store.values) == ["intake"]
+    counts.clear()
+    frame = pd.concat(p.handleExpiredTimer(("o",), Watermark(10**9 + 1), None))
+    assert list(frame.request_id) == [r[1] for r in rows] and set(frame.outcome) == {"accepted"}
+    assert len(counts) == 2 and store.read == 0
