@@ -13,7 +13,9 @@ from fleetlens.sources import files, queue
 from fleetlens.streaming import intake as intake_s
 from fleetlens.streaming import metrics as metrics_s
 from fleetlens.streaming import tracking as tracking_s
-from fleetlens.streaming.runs import Drain, folder_stream, new_folder, run_to_end, state_at_end, table_stream
+from fleetlens.streaming.runs import (
+    Drain, folder_stream, new_folder, plain_checkpoints, run_to_end, state_at_end, table_stream,
+)
 
 
 def drained(t, table, rows):
@@ -40,17 +42,18 @@ def s2(t):
     "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey, o_orderstatus, TRUE AS within FROM orders",
 )
 def s2_bounded(t):
-    """Fetches of at most 4,000 messages by one consumer for each core; the first one of each fails after its work is
-    done, and its query is started again."""
+    """Fetches of at most 4,000 messages by two consumers for each core, as one waits for its logs while the other works;
+    the first one of each fails after its work is done, and its query is started again."""
     path, sink, limit = new_folder(t.spark, "queue"), new_folder(t.spark, "fetched"), 4000
-    consumers = t.spark.sparkContext.defaultParallelism
+    consumers = 2 * t.spark.sparkContext.defaultParallelism
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     queue.write_jobs(queue.to_messages(rows, "o_custkey"), path, per_file=1000, partitions=consumers)
 
     def started(consumer: int, fails: bool):
         def each(batch, epoch):
-            # a fetch is few rows, so one task's work
-            batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/consumer={consumer}/epoch={epoch}")
+            # a fetch is few rows, so one task's work; nobody reads a mark of success
+            writer = batch.coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+            writer.parquet(f"{sink}/consumer={consumer}/epoch={epoch}")
             if fails:
                 raise RuntimeError("the worker is lost")
 
@@ -58,10 +61,11 @@ def s2_bounded(t):
         stream = queue.from_messages(asked, rows.schema).writeStream.foreachBatch(each)
         return stream.option("checkpointLocation", f"{sink}-checkpoint/{consumer}").trigger(availableNow=True).start()
 
-    for fails in (True, False):
-        for query_ in [started(consumer, fails) for consumer in range(consumers)]:
-            with suppress(StreamingQueryException) if fails else nullcontext():
-                query_.awaitTermination()
+    with plain_checkpoints(t.spark, sink):
+        for fails in (True, False):
+            for query_ in [started(consumer, fails) for consumer in range(consumers)]:
+                with suppress(StreamingQueryException) if fails else nullcontext():
+                    query_.awaitTermination()
     # the folder must be there, also when nothing was fetched
     empty = rows.limit(0).select(F.lit("").alias("key"), "*")
     empty.write.parquet(f"{sink}/consumer=0/epoch=-1")

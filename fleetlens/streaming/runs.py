@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,37 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+CHECKPOINT_FILES = "spark.sql.streaming.checkpointFileManagerClass"
+_STREAMING = "org.apache.spark.sql.execution.streaming"
+FILE_SYSTEM_FILES = [f"{_STREAMING}{package}.FileSystemBasedCheckpointFileManager" for package in (".checkpointing", "")]
+SOURCE_LOG_DELAY = "spark.sql.streaming.fileSource.log.cleanupDelay"
+
+
+@contextmanager
+def plain_checkpoints(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Streams that start and end in here have cheaper logs, when ``folder``, where they lie, is on a local disk.
+
+    Spark's choice for logs, Hadoop's file context, starts a program there for each link it asks about and each
+    permission, some thirty in a micro-batch, and small micro-batches wait for little else. A file system starts few. Either
+    way a log is written beside its name and renamed, which is atomic on a local disk, and either reads what the other
+    wrote. Logs of a source's files that are no longer needed (of all but the last 100 micro-batches) go at once, as each
+    micro-batch lists those that are there. Other folders, and what the session sets itself, are left alone.
+    """
+    jvm = spark._jvm
+    known = [name for name in FILE_SYSTEM_FILES if jvm.org.apache.spark.util.Utils.classIsLoadable(name)]
+    where = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    settings = {CHECKPOINT_FILES: known[0], SOURCE_LOG_DELAY: "0"} if known and where.getUri().getScheme() == "file" else {}
+    held = spark.conf.getAll
+    settings = {k: v for k, v in settings.items() if k not in held}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
     """A given table as a stream; event time becomes a UTC instant, which watermarks require.
 

@@ -3,17 +3,23 @@
 import json
 import random
 import time
+from contextlib import nullcontext, suppress
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from fleetlens.operators import slo, tracking
 from fleetlens.operators.intake import REQUEST_SCHEMA, IntakeMachine, SlidingThrottle, TtlLocks, intake
+from fleetlens.plans.registry import QUERIES
+from fleetlens.sources import queue
 from fleetlens.streaming.intake import WAITING, IntakeProcessor, intake_stream
 from fleetlens.streaming.metrics import alert_stream, counter_stream
-from fleetlens.streaming.runs import folder_stream, new_folder, run_to_end
+from fleetlens.streaming.runs import (
+    CHECKPOINT_FILES, SOURCE_LOG_DELAY, folder_stream, new_folder, plain_checkpoints, run_to_end,
+)
 from fleetlens.streaming.tracking import ChangeProcessor, change_stream, correlate_stream, job_state_stream
 
 T0 = datetime(2024, 1, 1)
@@ -275,3 +281,59 @@ def test_a_small_tenant_takes_few_accesses():
     frame = pd.concat(p.handleExpiredTimer(("o",), Watermark(10**9 + 1), None))
     assert list(frame.request_id) == [r[1] for r in rows] and set(frame.outcome) == {"accepted"}
     assert len(counts) == 2 and store.read == 0
+
+
+def test_plain_checkpoints_go_on_where_a_stream_failed(spark):
+    path, checkpoint = new_folder(spark, "rows"), new_folder(spark, "checkpoint")
+    settings = lambda: [spark.conf.get(k, None) for k in (CHECKPOINT_FILES, SOURCE_LOG_DELAY)]
+    before, seen = settings(), []
+    spark.range(4).repartitionByRange(4, "id").write.parquet(path)
+
+    def run(fails=False):
+        def each(batch, epoch):
+            seen.append((epoch, [r["id"] for r in batch.collect()]))
+            if fails:
+                raise RuntimeError("the worker is lost")
+
+        stream = folder_stream(spark, path, "id long", files_per_batch=1).writeStream.foreachBatch(each)
+        query = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with suppress(StreamingQueryException) if fails else nullcontext():
+            query.awaitTermination()
+
+    with plain_checkpoints(spark, checkpoint):
+        assert settings()[0].endswith("FileSystemBasedCheckpointFileManager") and settings()[1] == "0"
+        run(fails=True)
+        run()
+    assert settings() == before
+    # Spark's own logs go on from those
+    spark.range(4, 5, numPartitions=1).write.mode("append").parquet(path)
+    run()
+    assert seen[0] == seen[1] and [epoch for epoch, _ in seen] == [0, 0, 1, 2, 3, 4]
+    assert sorted(i for _, ids in seen[1:] for i in ids) == [0, 1, 2, 3, 4]
+
+
+def test_plain_checkpoints_leave_what_the_session_sets(spark):
+    spark.conf.set(SOURCE_LOG_DELAY, "600000")
+    try:
+        with plain_checkpoints(spark, new_folder(spark, "checkpoint")):
+            assert spark.conf.get(SOURCE_LOG_DELAY) == "600000"
+        assert spark.conf.get(SOURCE_LOG_DELAY) == "600000"
+    finally:
+        spark.conf.unset(SOURCE_LOG_DELAY)
+
+
+def test_bounded_fetches_have_plain_checkpoints(spark, tmp_path, monkeypatch):
+    columns = ["id AS o_orderkey", "if(id % 3 = 0, NULL, 1) AS o_custkey", "'O' AS o_orderstatus"]
+    spark.range(90_000, numPartitions=1).selectExpr(*columns).write.parquet(f"{tmp_path}/orders.parquet")
+    read, asked = queue.read_jobs_stream, []
+
+    def asks(*args, **limits):
+        asked.append((limits["fetch_limit"], limits["per_file"], spark.conf.get(CHECKPOINT_FILES, "")))
+        return read(*args, **limits)
+
+    monkeypatch.setattr(queue, "read_jobs_stream", asks)
+    rows = QUERIES["s2_bounded_fetch"](spark, str(tmp_path)).collect()
+    assert sorted(r["o_orderkey"] for r in rows) == list(range(90_000)) and all(r["within"] for r in rows)
+    # each consumer fails once and is started again
+    assert len(asked) == 2 * 2 * spark.sparkContext.defaultParallelism
+    assert all(a[:2] == (4000, 1000) and a[2].endswith("FileSystemBasedCheckpointFileManager") for a in asked)
