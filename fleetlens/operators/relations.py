@@ -207,7 +207,7 @@ def reject_duplicates(
     old = holders(rows, existing, "old")
     taken = F.coalesce(*[F.col(f"_old{i}_at") for i in range(len(keys))]).isNotNull()
     open_ = written(old.filter(~taken).select(*rows.columns), "open")
-    if open_.count() <= whole:
+    if open_.select()._jdf.javaRDD().count() <= whole:  # one job, where count() of the DataFrame takes two
         parts = [_settle_whole(open_.withColumn("_bucket", F.lit(0).cast("long")), names, order)]
     else:
         few, many = _clash_buckets(open_, names, whole)
